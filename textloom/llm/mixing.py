@@ -23,6 +23,7 @@ import random
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,50 +73,52 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     )
 
 
-def flight(sizes: list[float], chances: list[float], rng: random.Random, land: bool) -> list[float]:
+def null_direction(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """A direction that moves the first unit and keeps the sum and the size-weighted sum of all.
+
+    The other units share the compensation, those with chances near one half most. If the others all have one
+    size and the first has not, two of the others move against each other.
+    """
+    both = np.stack([np.ones_like(sizes), sizes / max(sizes[0], 1.0)])
+    spread = chances[1:] * (1 - chances[1:])
+    rest = both[:, 1:]
+    share = np.linalg.pinv((rest * spread) @ rest.T, rcond=1e-12) @ both[:, 0]
+    u = np.concatenate([[1.0], -spread * (rest.T @ share)])
+    if np.abs(both @ u).max() > 1e-7:
+        u = np.zeros_like(sizes)
+        u[-2:] = 1.0, -1.0
+    return u
+
+
+def flight(sizes: list[float], chances: list[float], rng: random.Random, land: bool) -> np.ndarray:
     """Move ``chances`` to 0 or 1, keeping their sum and their sum weighted by ``sizes``.
 
-    At most two stay undecided, or none with ``land``. Large documents are decided first, so what is left to land
-    is small.
+    The largest undecided document moves in each step and all others make up for it, so large documents are
+    decided while there are many to balance them. At most two, the smallest, stay undecided, or none with
+    ``land``.
     """
-    chances = list(chances)
-    waiting = [i for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]) if EPS < chances[i] < 1 - EPS]
-    waiting.reverse()
-    active: list[int] = []
-    while True:
-        while waiting and len(active) < 3:
-            active.append(waiting.pop())
-        if len(active) == 3:
-            a, b, c = (sizes[i] for i in active)
-            u = [c - b, a - c, b - a]
-            if not any(u):
-                u = [1.0, -1.0, 0.0]
-        elif len(active) == 2 and (land or sizes[active[0]] == sizes[active[1]]):
-            u = [1.0, -1.0]
-        elif len(active) == 1 and land:
-            i = active.pop()
-            chances[i] = float(rng.random() < chances[i])
-            continue
+    sizes, out = np.asarray(sizes, dtype=float), np.array(chances, dtype=float)
+    open_ = np.argsort(-sizes, kind="stable")
+    open_ = open_[(out[open_] > EPS) & (out[open_] < 1 - EPS)]
+    while len(open_):
+        p = out[open_]
+        if len(open_) > 2:
+            u = null_direction(sizes[open_], p)
+        elif len(open_) == 2 and (land or sizes[open_[0]] == sizes[open_[1]]):
+            u = np.array([1.0, -1.0])
+        elif len(open_) == 1 and land:
+            u = np.array([1.0])
         else:
             break
-        up = down = float("inf")
-        for i, x in zip(active, u, strict=True):
-            if x > 0:
-                up, down = min(up, (1 - chances[i]) / x), min(down, chances[i] / x)
-            elif x < 0:
-                up, down = min(up, chances[i] / -x), min(down, (1 - chances[i]) / -x)
-        step = up if rng.random() * (up + down) < down else -down
-        left = []
-        for i, x in zip(active, u, strict=True):
-            chances[i] += step * x
-            if chances[i] < EPS:
-                chances[i] = 0.0
-            elif chances[i] > 1 - EPS:
-                chances[i] = 1.0
-            else:
-                left.append(i)
-        active = left
-    return chances
+        moves = np.abs(u) > 1e-12
+        to_one, to_zero = ((1 - p[moves]) / np.abs(u[moves])), (p[moves] / np.abs(u[moves]))
+        positive = u[moves] > 0
+        up, down = np.where(positive, to_one, to_zero).min(), np.where(positive, to_zero, to_one).min()
+        p = p + u * (up if rng.random() * (up + down) < down else -down)
+        p[p < EPS], p[p > 1 - EPS] = 0.0, 1.0
+        out[open_] = p
+        open_ = open_[(p > 0) & (p < 1)]
+    return out
 
 
 def _fly(level: int, last: bool):
@@ -123,7 +126,7 @@ def _fly(level: int, last: bool):
         frames = frames.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         name, block = frames["source"].iloc[0], int(frames["block"].iloc[0])
         seed = zlib.crc32(f"{'' if name is None else 's' + str(name)}|{level}|{block}".encode())
-        frames["chance"] = flight(frames["size"].tolist(), frames["chance"].tolist(), random.Random(seed), last)
+        frames["chance"] = flight(frames["size"], frames["chance"], random.Random(seed), last)
         return frames
 
     return run
