@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.decontaminate import op1_spaced_seed_decontamination
+from textloom.llm.language import op8_word_crf_language
 from textloom.llm.line_rules import op7_line_crf_rules
 from textloom.llm.mixing import op3_cube_mix
+from textloom.llm.quality_model import op6_attention_quality
 from textloom.llm.sharding import op5_virtual_slots
 
-_QUERIES = [op1_spaced_seed_decontamination, op3_cube_mix, op5_virtual_slots, op7_line_crf_rules]
+_QUERIES = [op1_spaced_seed_decontamination, op3_cube_mix, op5_virtual_slots, op6_attention_quality, op7_line_crf_rules, op8_word_crf_language]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
