@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.decontaminate import op1_spaced_seed_decontamination
+from textloom.llm.jaccard_join import op4_token_group_join
 from textloom.llm.language import op8_word_crf_language
 from textloom.llm.line_rules import op7_line_crf_rules
 from textloom.llm.mixing import op3_cube_mix
@@ -16,7 +17,7 @@ from textloom.llm.substrings import op10_block_anchor_dedup
 from textloom.llm.url_filter import op2_segmented_url_bayes
 from textloom.llm.wrapper import op9_wrapper_extraction
 
-_QUERIES = [op1_spaced_seed_decontamination, op2_segmented_url_bayes, op3_cube_mix, op5_virtual_slots, op6_attention_quality, op7_line_crf_rules, op8_word_crf_language, op9_wrapper_extraction, op10_block_anchor_dedup]
+_QUERIES = [op1_spaced_seed_decontamination, op2_segmented_url_bayes, op3_cube_mix, op4_token_group_join, op5_virtual_slots, op6_attention_quality, op7_line_crf_rules, op8_word_crf_language, op9_wrapper_extraction, op10_block_anchor_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
