@@ -191,13 +191,13 @@ def fitted(rows: list[tuple[int, str, str]], rounds: int = 40) -> LanguageModel
 
 def fit(docs: DataFrame, limit: int = FIT_DOCS) -> LanguageModel | None:
     """Learn from ``text`` and ``lang`` of at most ``limit`` documents with a language, none of them held out."""
-    sample = (
-        docs.select("doc_id", "text", "lang")
-        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~sampling.held_out())
-        .withColumn("mix", F.xxhash64("doc_id"))
-        .orderBy("mix", "doc_id", "text")
-        .limit(limit)
+    usable = docs.select("doc_id", "text", "lang").filter(
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~sampling.held_out()
     )
+    # ids first: texts only move for the sample, and a repeated id counts once
+    ids = usable.groupBy("doc_id").count().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
+    row = F.min(F.struct("text", "lang")).alias("r")
+    sample = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(row).select("doc_id", "r.*").orderBy("doc_id")
     return fitted([(r["doc_id"], r["text"], r["lang"]) for r in sample.collect()])
 
 

@@ -17,7 +17,7 @@ def held_out(key: str = "doc_id"):
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str = "doc_id") -> DataFrame:
     """``key, text, label`` of at most ``limit`` labelled rows, those with the smallest hashes of the id.
 
-    The ids of the sample are ``limit`` rows at most, so they may be broadcast.
+    The ids of the sample are ``limit`` rows at most, so they may be broadcast. A repeated id counts once.
     """
     chosen = (
         labels.select(key, F.col(label).alias("label"))
@@ -27,4 +27,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, k
         .orderBy(F.xxhash64(key), key)
         .limit(limit)
     )
-    return docs.select(key, "text").join(F.broadcast(chosen), key)
+    found = docs.select(key, "text").join(F.broadcast(chosen), key)
+    return found.groupBy(key).agg(F.min("text").alias("text"), F.max("label").alias("label"))
