@@ -123,7 +123,7 @@ def flight(sizes: list[float], chances: list[float], rng: random.Random, land: b
 
 def _fly(level: int, last: bool):
     def run(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        frames = frames.sort_values(["size", "doc_id", "row_key"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         name, block = frames["source"].iloc[0], int(frames["block"].iloc[0])
         seed = zlib.crc32(f"{'' if name is None else 's' + str(name)}|{level}|{block}".encode())
         frames["chance"] = flight(frames["size"], frames["chance"], random.Random(seed), last)
@@ -150,9 +150,17 @@ def mix(
     max_repeat: int = MAX_REPEAT,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every document."""
+    """``doc_id, source, size, source_size, target, copies, taken, row_key`` for every document.
+
+    ``row_key`` hashes id, source and text.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    sized = docs.select(
+        F.col(key).alias("doc_id"),
+        F.col(source).alias("source"),
+        n_words(F.col(text)).alias("size"),
+        F.xxhash64(key, source, text).alias("row_key"),
+    )
     targets = source_targets(sized, weights, max_repeat).checkpoint()
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -160,7 +168,7 @@ def mix(
     state = (
         sized.alias("d")
         .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.n_docs", rate.alias("rate"))
+        .select("d.doc_id", "d.source", "d.size", "d.row_key", "t.source_size", "t.target", "t.n_docs", rate.alias("rate"))
         .withColumn("whole", F.floor(F.col("rate") + EPS).cast("long"))
         .withColumn("chance", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     )
@@ -168,7 +176,7 @@ def mix(
     for level, span in enumerate(spans):
         last = level == len(spans) - 1
         n_blocks = F.greatest(F.ceil(F.col("n_docs") / span), F.lit(1)).cast("long")
-        number = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("doc_id", F.lit(level)), n_blocks)
+        number = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("doc_id", "row_key", F.lit(level)), n_blocks)
         blocked = state.withColumn("block", number)
         state = blocked.groupBy("source", "block").applyInPandas(_fly(level, last), blocked.schema).drop("block")
         if not last:
@@ -179,11 +187,27 @@ def mix(
     for part in done:
         state = state.unionByName(part)
     copies = (F.col("whole") + F.when(F.col("chance") > 0.5, 1).otherwise(0)).cast("long")
+    taken = (F.col("copies") * F.col("size")).alias("taken")
     return state.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", taken, "row_key"
     )
 
 
+def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with the columns of ``docs``.
+
+    Rows that agree in id, source and text share their copies evenly.
+    """
+    drawn = mix(docs, key, text, source, **options)
+    totals = drawn.groupBy("row_key").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    keyed = docs.withColumn("row_key", F.xxhash64(key, source, text)).join(totals.filter("__copies > 0"), "row_key")
+    rank = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1)))
+    whole = F.floor(F.col("__copies") / F.col("__rows")).cast("int")
+    own = whole + F.when(rank <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    counted = keyed.withColumn("__own", own).filter("__own > 0")
+    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*docs.columns)
+
+
 def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; weights 5, 2, 1 over the sources in order."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
