@@ -138,40 +138,52 @@ def _later(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids[cut], pa.int64()), "late": pa.array(packed, pa.binary())})
 
 
-def _finished(names: list[str], window: int):
-    """Final rows: what is left of each text."""
+_RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+_PENDING = f"{_RESULT}, id long, text string, places array<long>"
+
+
+def _finished(names: list[str], window: int, keep_text: bool):
+    """Final rows of the texts about which all is known; texts with ``places`` pass through to be extended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = {name: batch.column(i).to_pylist() for i, name in enumerate(names)}
-            n_words, n_removed, kept = [], [], []
-            for text, copy, late in zip(row["text"], row["copy"], row["late"], strict=True):
+            out: list[tuple] = []
+            for i, text in enumerate(row["text"]):
+                if row["places"][i] is not None:
+                    out.append((row["doc_id"][i], None, None, None, None, row["id"][i], text, row["places"][i]))
+                    continue
                 words = (text or "").encode().split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
-                if copy and len(words) >= window:
+                if row["copy"][i] and len(words) >= window:
                     gone[0] = 1
-                elif late:
-                    starts = buckets.joined(late, np.uint32).astype(np.int64)
+                elif row["late"][i]:
+                    starts = buckets.joined(row["late"][i], np.uint32).astype(np.int64)
                     np.add.at(gone, starts, 1)
                     np.add.at(gone, starts + window, -1)
                 covered = np.cumsum(gone)[:-1] > 0
                 if covered.any():
                     words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                n_words.append(len(covered))
-                n_removed.append(int(covered.sum()))
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(names.index("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(kept, pa.string()),
-                 pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
-            )
+                kept = b" ".join(words)
+                digest = hashlib.sha256(kept).hexdigest()
+                own = kept.decode() if keep_text else None
+                out.append((row["doc_id"][i], len(covered), int(covered.sum()), own, digest, row["id"][i], None, None))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.list_(pa.int64())]
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            fields = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "id", "text", "places"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=fields)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept, kept_sha256`` for every document."""
+def dedup_substrings(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = True
+) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept, kept_sha256`` for every document; ``kept`` is null without ``keep_text``.
+
+    The corpus's texts are shuffled once, to meet what is known of them; only those with met blocks are written with
+    their text to be extended.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     block = window // 2
     own = docs.select(
@@ -187,27 +199,27 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     rows = own.select("id", "text").mapInArrow(_block_rows(buckets.n_buckets(total // 4), block), _BLOCK_SCHEMA)
     met = rows.groupBy("bucket").applyInArrow(_met, "id long, place long")
     met = met.groupBy("id").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    about = met.join(copies, "id", "full").checkpoint()
-
-    # one pass joins texts with what is known of them; only texts with met blocks are kept whole for the next steps
-    known = own.join(about, "id", "left")
-    open_ = F.col("places").isNotNull() & F.col("copy").isNull()
-    pending = known.filter(open_).select("id", "doc_id", "text", "places").checkpoint()
-    n_windows = pending.agg(F.sum(F.size("places")).cast("long")).first()[0] or 0
+    about = met.join(copies, "id", "full").withColumn("places", F.when(F.col("copy").isNull(), F.col("places")))
+
+    names = ["id", "doc_id", "text", "copy", "late", "places"]
+    known = own.join(about, "id", "left").withColumn("late", F.lit(None).cast("array<binary>"))
+    first = known.select(names).mapInArrow(_finished(names, window, keep_text), _PENDING).checkpoint()
+    result = [c.split()[0] for c in _RESULT.split(", ")]
+    pending = first.filter("places is not null")
+    n_windows = (pending.agg(F.sum(F.size("places")).cast("long")).first()[0] or 0) * block
     found = pending.select("id", "text", "places").mapInArrow(
-        _window_rows(buckets.n_buckets(n_windows * block), window), "bucket int, codes binary, ids binary, positions binary"
+        _window_rows(buckets.n_buckets(n_windows), window), "bucket int, codes binary, ids binary, positions binary"
     )
     late = found.groupBy("bucket").applyInArrow(_later, "id long, late binary")
     late = late.groupBy("id").agg(F.collect_list("late").alias("late"))
-    nothing = F.lit(None).cast("array<binary>")
-    plain = known.filter(~open_).select("doc_id", "text", "copy", nothing.alias("late"))
-    marked = pending.join(late, "id", "left").select("doc_id", "text", F.lit(None).cast("boolean").alias("copy"), "late")
-    schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    names = ["doc_id", "text", "copy", "late"]
-    return plain.unionByName(marked).select(names).mapInArrow(_finished(names, window), schema)
+    marked = pending.drop("places").join(late, "id", "left").withColumns(
+        {"copy": F.lit(None).cast("boolean"), "places": F.lit(None).cast("array<long>")}
+    )
+    extended = marked.select(names).mapInArrow(_finished(names, window, keep_text), _PENDING)
+    return first.filter("places is null").select(result).unionByName(extended.select(result))
 
 
 def op10_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeats of 20 words and more leave of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup_substrings(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
