@@ -178,7 +178,9 @@ def mix(
         n_blocks = F.greatest(F.ceil(F.col("n_docs") / span), F.lit(1)).cast("long")
         number = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("doc_id", "row_key", F.lit(level)), n_blocks)
         blocked = state.withColumn("block", number)
-        state = blocked.groupBy("source", "block").applyInPandas(_fly(level, last), blocked.schema).drop("block")
+        # one key for a block: two would let Spark keep all blocks of a source in the source's partition
+        blocked = blocked.withColumn("unit", F.struct("source", "block"))
+        state = blocked.groupBy("unit").applyInPandas(_fly(level, last), blocked.schema).drop("block", "unit")
         if not last:
             state = state.checkpoint()
             undecided = (F.col("chance") > EPS) & (F.col("chance") < 1 - EPS)
