@@ -24,6 +24,8 @@ from textloom.llm import chain, sampling
 from textloom.llm.wordcodes import Texts, owners, per_text, repeated, slices, windows
 
 FIT_DOCS = 3000
+#: Bytes of text measured at once; the running counts of character kinds take some 100 bytes for each.
+SLICE = 1 << 20
 MIN_CONTENT = 0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -170,7 +172,7 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in slices(batch.column("text")):
+        for texts in slices(batch.column("text"), SLICE):
             measured = Measured(texts)
             cut = measured.line_first
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +208,7 @@ def judge(docs: DataFrame, model: LineModel, text: str = "text", min_content: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(names.index(text))):
+            for texts in slices(batch.column(names.index(text)), SLICE):
                 m = Measured(texts)
                 content = (model.boilerplate(m) == CONTENT) * m.line_words
                 share = per_text(m.line_first, content) / np.maximum(m.n_words, 1)

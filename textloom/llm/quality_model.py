@@ -25,6 +25,8 @@ from textloom.llm import chain, sampling
 from textloom.llm.wordcodes import Texts, owners, repeated, slices, windows
 
 FIT_DOCS = 3000
+#: Bytes of text measured at once; the running counts of character kinds take some 100 bytes for each.
+SLICE = 1 << 20
 PASSAGE = 64
 HIDDEN = 24
 GATE = 12
@@ -149,7 +151,7 @@ class AttentionModel:
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in slices(batch.column("text")):
+        for texts in slices(batch.column("text"), SLICE):
             x, cut = passages(texts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -184,7 +186,7 @@ def score(docs: DataFrame, model: AttentionModel, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(names.index(text))):
+            for texts in slices(batch.column(names.index(text)), SLICE):
                 rows = batch.slice(texts.lo, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array(model.predict(texts), pa.float64())], names=[*names, "score"]
