@@ -104,44 +104,61 @@ def character_tokens(text: Column) -> Column:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: in a lambda, an outer expression is computed for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def word_tokens(text: Column) -> Column:
     """A token for each run without white space."""
-    words = F.regexp_extract_all(text, F.lit(f"[^{WS}]+"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,special:boolean>>").alias("out"))
 
-    def step(acc: Column, word: Column) -> Column:
-        begin = (F.position(word, text, acc["at"] + 1) - 1).cast("int")
-        token = F.struct(begin.alias("start"), (begin + F.length(word)).alias("end"), F.lit(False).alias("special"))
-        return F.struct((begin + F.length(word)).alias("at"), F.concat(acc["out"], F.array(token)).alias("out"))
+    def tokens(chars: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(chars) - 1)
+
+        def white(i: Column) -> Column:
+            return F.coalesce(F.rlike(F.get(chars, i), F.lit(f"^[{WS}]$")), F.lit(True))
+
+        starts = F.filter(places, lambda i: ~white(i) & white(i - 1))
+        ends = F.filter(places, lambda i: ~white(i) & white(i + 1))
+        return F.zip_with(
+            starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end"), F.lit(False).alias("special"))
+        )
 
-    return F.aggregate(words, start, step, lambda acc: acc["out"])
+    empty = F.array().cast("array<struct<start:int,end:int,special:boolean>>")
+    return F.when(F.length(text) == 0, empty).otherwise(_let(F.split(text, ""), tokens))
 
 
 def bio_tags(spans: Column, tokens: Column) -> Column:
     """Tag of each token; null for special ones.
 
     A token takes the first span by start that it overlaps: I when the last non-special token had the same span,
-    else B.
+    else B. Every step is a pass over the tokens.
     """
-    ordered = F.array_sort(spans)
-    state = "struct<prev:int,out:array<string>>"
-    start = F.struct(F.lit(-1).alias("prev"), F.array().cast("array<string>").alias("out")).cast(state)
-
-    def hit(token: Column) -> Column:
-        over = F.transform(ordered, lambda s: (token["start"] < s["end"]) & (token["end"] > s["start"]))
-        return (F.array_position(over, True) - 1).cast("int")
-
-    def step(acc: Column, token: Column) -> Column:
-        index = hit(token)
-        prefix = F.when(index == acc["prev"], "I-").otherwise("B-")
-        tag = F.when(index < 0, OUTSIDE).otherwise(F.concat(prefix, F.get(ordered, index)["label"]))
-        tag = F.when(token["special"], F.lit(None)).otherwise(tag)
-        return F.struct(
-            F.when(token["special"], acc["prev"]).otherwise(index).alias("prev"),
-            F.concat(acc["out"], F.array(tag)).alias("out"),
-        )
 
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    def tagged(real: Column, ordered: Column) -> Column:
+        def hit(token: Column) -> Column:
+            over = F.transform(ordered, lambda s: (token["start"] < s["end"]) & (token["end"] > s["start"]))
+            return F.array_position(over, True) - 1
+
+        def tag(hits: Column, index: Column, i: Column) -> Column:
+            prefix = F.when(index == F.get(hits, i - 1), "I-").otherwise("B-")
+            return F.when(index < 0, OUTSIDE).otherwise(F.concat(prefix, F.get(ordered, index.cast("int"))["label"]))
+
+        return _let(F.transform(real, hit), lambda hits: F.transform(hits, lambda h, i: tag(hits, h, i)))
+
+    def spread(real_tags: Column) -> Column:
+        special = F.filter(F.transform(tokens, lambda t, j: F.when(t["special"], j)), lambda j: j.isNotNull())
+
+        def place(skipped: Column) -> Column:
+            return F.transform(
+                tokens,
+                lambda t, j: F.when(~t["special"], F.get(real_tags, j - F.size(F.filter(skipped, lambda k: k < j)))),
+            )
+
+        return _let(special, place)
+
+    real = F.filter(tokens, lambda t: ~t["special"])
+    return _let(_let(F.array_sort(spans), lambda o: tagged(real, o)), spread)
 
 
 def bio_ids(spec: TaskSpec, tags: Column) -> Column:
@@ -184,14 +201,28 @@ def span_score(span: Column, tokens: Column) -> Column:
 
 def unreachable(text: Column, spans: Column, tokens: Column) -> Column:
     """How many gold spans no tagging of the tokens can express: a boundary is no token's, trimmed or not."""
-    real = F.filter(tokens, lambda t: ~t["special"] & (t["start"] < t["end"]))
-    edge = F.transform(
-        real, lambda t: trimmed(text, F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("label")))
-    )
-    starts = F.concat(F.transform(real, lambda t: t["start"]), F.transform(edge, lambda t: t["start"]))
-    ends = F.concat(F.transform(real, lambda t: t["end"]), F.transform(edge, lambda t: t["end"]))
-    lost = F.filter(spans, lambda s: ~(F.array_contains(starts, s["start"]) & F.array_contains(ends, s["end"])))
-    return F.size(lost)
+
+    def edges(real: Column) -> Column:
+        def trim(t: Column) -> Column:
+            return trimmed(text, F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("label")))
+
+        return F.concat(
+            F.transform(real, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("label"))),
+            F.transform(real, trim),
+        )
+
+    def lost(known: Column) -> Column:
+        def split(s: Column) -> Column:
+            return ~(F.exists(known, lambda e: e["start"] == s["start"]) & F.exists(known, lambda e: e["end"] == s["end"]))
+
+        return F.size(F.filter(spans, split))
+
+    # only tokens that touch a span's boundary matter
+    def near(t: Column) -> Column:
+        return F.exists(spans, lambda s: (t["start"] <= s["end"]) & (t["end"] >= s["start"]))
+
+    real = F.filter(tokens, lambda t: ~t["special"] & (t["start"] < t["end"]) & near(t))
+    return _let(edges(real), lost)
 
 
 def needs_characters(spans: int, lost: int, limit: float = 0.01) -> bool:

@@ -196,7 +196,7 @@ def cell_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_rule(text: Column) -> Column:
     """The language with the most stop words; the first in order at a tie."""
     low = F.lower(text)
-    counts = F.array(*[F.regexp_count(low, F.lit(rf"\b({STOP_WORDS[n]})\b")) for n in LANGS])
+    counts = F.array(*[F.regexp_count(low, F.lit(rf"(^|[ \n])({STOP_WORDS[n]})[ .,\n]")) for n in LANGS])
     return metrics.argmax_label(list(LANGS), counts)
 
 

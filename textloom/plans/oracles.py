@@ -15,7 +15,7 @@ _SYMBOLS = r"len(regexp_extract_all(text, '[#*$%&|!]'))"
 
 
 def _stop(words: str) -> str:
-    return rf"len(regexp_extract_all(lower(text), '\b({words})\b'))"
+    return rf"len(regexp_extract_all(lower(text), '(^|[ \n])({words})[ .,\n]'))"
 
 
 _COUNTS = "[" + ", ".join(_stop(w) for w in ("der|die|das|und", "the|and|of|that", "el|los|que|para", "le|les|des|une")) + "]"
@@ -186,9 +186,9 @@ SQL: dict[str, str] = {
     "error_listing": f"{_FLAGGED} SELECT id FROM pairs WHERE q <> pq OR t <> pt",
     "error_sample": f"""{_FLAGGED}, e AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM pairs WHERE q <> pq OR t <> pt)
         SELECT id FROM e WHERE rn % greatest(1, n // 20) = 0 ORDER BY id LIMIT 20""",
-    "best_round": """WITH r AS (SELECT lang, min(doc_id) AS round, round(avg((n_chars > 1000)::INTEGER), 1) AS primary,
+    "best_round": """WITH r AS (SELECT lang, min(doc_id) AS round, round(avg((n_chars > 1000)::INTEGER), 1) AS "primary",
         CASE WHEN lang <> 'en' THEN round(avg((n_chars > 2000)::INTEGER), 3) END AS valid FROM documents GROUP BY lang)
-        SELECT round, primary FROM r ORDER BY primary DESC, coalesce(valid, 0) DESC, round LIMIT 1""",
+        SELECT round, "primary" FROM r ORDER BY "primary" DESC, coalesce(valid, 0) DESC, round LIMIT 1""",
     "decision_rules": """SELECT vec_id, ['de', 'en', 'es', 'fr'][list_position(embedding[1:4], list_max(embedding[1:4]))] AS best,
         concat_ws(',', CASE WHEN embedding[1] > 0 THEN 'de' END, CASE WHEN embedding[2] > 0 THEN 'en' END, CASE WHEN embedding[3] > 0 THEN 'es' END,
         CASE WHEN embedding[4] > 0 THEN 'fr' END) AS "over" FROM embeddings""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,11 +37,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
 
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of phases that have ended in a checkpoint and that nothing refers to.
-
-    Spark's cleaner follows the driver's garbage collector, which may not run for long on a driver that does little.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
