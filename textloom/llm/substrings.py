@@ -34,6 +34,8 @@ from textloom.llm.wordcodes import Texts, owners, slices, windows
 from textloom.session import ensure_checkpoint_dir
 
 WINDOW = 20
+#: Ids (8 bytes each) that are broadcast at most.
+BROADCAST_IDS = 2_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -181,8 +183,8 @@ def dedup_substrings(
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept, kept_sha256`` for every document; ``kept`` is null without ``keep_text``.
 
-    The corpus's texts are shuffled once, to meet what is known of them; only those with met blocks are written with
-    their text to be extended.
+    Texts with met blocks or an earlier copy are shuffled once, to meet what is known of them, and those with met blocks
+    are written to be extended. All texts are shuffled instead when the ids of the former are too many to broadcast.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     block = window // 2
@@ -194,16 +196,27 @@ def dedup_substrings(
     hashed = own.select("id", F.md5("text").alias("sum"), F.length("text").alias("size"))
     total = hashed.agg(F.sum("size")).first()[0] or 0
     firsts = hashed.groupBy("sum").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = firsts.checkpoint()  # small; joined as a table of its own, so a large group of copies can be split
     copies = hashed.join(firsts, "sum").filter("id > first").select("id", F.lit(True).alias("copy")).distinct()
 
     rows = own.select("id", "text").mapInArrow(_block_rows(buckets.n_buckets(total // 4), block), _BLOCK_SCHEMA)
     met = rows.groupBy("bucket").applyInArrow(_met, "id long, place long")
     met = met.groupBy("id").agg(F.array_sort(F.collect_set("place")).alias("places"))
     about = met.join(copies, "id", "full").withColumn("places", F.when(F.col("copy").isNull(), F.col("places")))
+    about = about.checkpoint()
 
+    # texts about which nothing is known are finished where they are read; the others move to meet what is known
     names = ["id", "doc_id", "text", "copy", "late", "places"]
-    known = own.join(about, "id", "left").withColumn("late", F.lit(None).cast("array<binary>"))
-    first = known.select(names).mapInArrow(_finished(names, window, keep_text), _PENDING).checkpoint()
+    blank = {"copy": F.lit(None).cast("boolean"), "late": F.lit(None).cast("array<binary>"), "places": F.lit(None).cast("array<long>")}
+    ids = about.select("id")
+    if about.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+        told = own.join(ids, "id", "left_semi").join(about, "id").withColumn("late", F.lit(None).cast("array<binary>"))
+        plain = own.join(ids, "id", "left_anti").withColumns(blank)
+    else:
+        told = own.join(about, "id", "left").withColumn("late", F.lit(None).cast("array<binary>"))
+        plain = None
+    first = told.select(names).mapInArrow(_finished(names, window, keep_text), _PENDING).checkpoint()
     result = [c.split()[0] for c in _RESULT.split(", ")]
     pending = first.filter("places is not null")
     n_windows = (pending.agg(F.sum(F.size("places")).cast("long")).first()[0] or 0) * block
@@ -216,7 +229,11 @@ def dedup_substrings(
         {"copy": F.lit(None).cast("boolean"), "places": F.lit(None).cast("array<long>")}
     )
     extended = marked.select(names).mapInArrow(_finished(names, window, keep_text), _PENDING)
-    return first.filter("places is null").select(result).unionByName(extended.select(result))
+    found = first.filter("places is null").select(result).unionByName(extended.select(result))
+    if plain is None:
+        return found
+    quiet = plain.select(names).mapInArrow(_finished(names, window, keep_text), _PENDING)
+    return found.unionByName(quiet.select(result))
 
 
 def op10_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
