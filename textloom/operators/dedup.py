@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import normalized
+from textloom.functions.text import normalized, strip
 from textloom.types import Split
 
 MAX_SEED_CHARS = 200
@@ -53,18 +53,18 @@ def isolated(new: DataFrame, held_out: DataFrame) -> DataFrame:
 def clean_seeds(seeds: DataFrame, order: str = "pos", text: str = "text") -> DataFrame:
     """Seeds: first of each norm, then 1 to 200 characters, then the first 40 in order."""
     unique = first_per_norm(with_norm(seeds, text), order)
-    length = F.length(F.trim(F.col(text)))
+    length = F.length(strip(F.col(text)))
     return unique.filter((length > 0) & (length <= MAX_SEED_CHARS)).orderBy(order).limit(MAX_SEEDS)
 
 
 def split_notes(notes: Column, marker: str = "EXAMPLES") -> Column:
     """Research notes up to the first line that holds only the marker and decoration."""
-    return F.trim(F.get(F.split(notes, rf"(?m)^\W*{marker}\W*$", 2), 0))
+    return strip(F.get(F.split(notes, rf"(?m)^\W*{marker}\W*$", 2), 0))
 
 
 def clean_values(values: Column, least: int = 3, most: int = 8) -> Column:
     """Axis values: stripped, distinct, not blank, at most ``most``; null when fewer than ``least`` are left."""
-    kept = F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != ""))
+    kept = F.array_distinct(F.filter(F.transform(values, strip), lambda v: v != ""))
     return F.when(F.size(kept) >= least, F.slice(kept, 1, most))
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import WS
+from textloom.functions.text import WS, strip
 from textloom.types import SPANS, TaskKind, TaskSpec
 
 OUTSIDE = "O"
@@ -23,7 +23,7 @@ def count_of(text: Column, sub: Column) -> Column:
 def class_items(items: DataFrame, spec: TaskSpec) -> DataFrame:
     """Written items with a text, known labels, and exactly one label where labels exclude each other."""
     known = F.array(*map(F.lit, spec.names))
-    kept = items.withColumn("text", F.trim("text")).withColumn("labels", F.array_distinct("labels"))
+    kept = items.withColumn("text", strip(F.col("text"))).withColumn("labels", F.array_distinct("labels"))
     kept = kept.filter((F.col("text") != "") & (F.size(F.array_except("labels", known)) == 0))
     return kept.filter(F.size("labels") == 1) if spec.exclusive else kept
 
@@ -37,7 +37,7 @@ def span_items(items: DataFrame, spec: TaskSpec) -> DataFrame:
         listed = F.size(F.filter(F.col("quoted"), lambda o: o["text"] == q["text"]))
         return F.array_contains(known, q["label"]) & (F.length(q["text"]) > 0) & (count_of(text, q["text"]) == listed)
 
-    kept = items.withColumn("text", F.trim("text")).filter((text != "") & F.forall("quoted", fits))
+    kept = items.withColumn("text", strip(F.col("text"))).filter((text != "") & F.forall("quoted", fits))
     return kept.withColumn("spans", located(F.col("text"), F.col("quoted"))).filter("spans is not null")
 
 
