@@ -114,23 +114,26 @@ class UrlModel:
 
     def segment(self, name: str) -> list[str]:
         """The most likely words of a name; runs outside the vocabulary come back as they are."""
-        best: list[tuple[float, int, bool]] = [(0.0, 0, True)]
+        none = (-math.inf, 0, False)
+        # at each end: the best way whose last piece is a word, and the one whose last piece is a run outside
+        word: list[tuple[float, int, bool]] = [(0.0, 0, True)]
+        run: list[tuple[float, int, bool]] = [none]
         for end in range(1, len(name) + 1):
-            score, begin, known = best[end - 1]
-            run = 0.0 if not known else UNKNOWN_RUN
-            options = [(score - run - UNKNOWN_LETTER, end - 1, False)]
+            opened = (word[end - 1][0] - UNKNOWN_RUN - UNKNOWN_LETTER, end - 1, True)
+            run.append(max(opened, (run[end - 1][0] - UNKNOWN_LETTER, run[end - 1][1], True)))
+            found = none
             for begin in range(max(0, end - self.longest), end):
                 chance = self.unigram.get(name[begin:end])
                 if chance is not None:
-                    options.append((best[begin][0] + chance, begin, True))
-            best.append(max(options))
+                    after_word = word[begin][0] >= run[begin][0]
+                    found = max(found, (max(word[begin][0], run[begin][0]) + chance, begin, after_word))
+            word.append(found)
         words, end = [], len(name)
+        in_word = word[end][0] >= run[end][0]
         while end:
-            _, begin, known = best[end]
-            while not known and begin and not best[begin][2]:
-                begin = best[begin][1]
+            _, begin, after_word = word[end] if in_word else run[end]
             words.append(name[begin:end])
-            end = begin
+            end, in_word = begin, after_word
         return words[::-1]
 
     def words(self, host: str, path: str) -> list[str]:
