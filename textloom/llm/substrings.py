@@ -135,7 +135,7 @@ def _later(table: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     ids, positions = ids[order], positions[order]
     cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
-    ends = np.append(cut[1:], len(ids))
+    ends = np.append(cut[1:], len(ids))[: len(cut)]
     packed = [positions[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
     return pa.table({"id": pa.array(ids[cut], pa.int64()), "late": pa.array(packed, pa.binary())})
 
