@@ -11,6 +11,7 @@ from textloom.llm.jaccard_join import op4_token_group_join
 from textloom.llm.language import op8_word_crf_language
 from textloom.llm.line_rules import op7_line_crf_rules
 from textloom.llm.mixing import op3_cube_mix
+from textloom.llm.oracles import SQL
 from textloom.llm.quality_model import op6_attention_quality
 from textloom.llm.sharding import op5_virtual_slots
 from textloom.llm.substrings import op10_block_anchor_dedup
@@ -27,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where an operator's result can be told by SQL on whole tables."""
-    return {}
+    return dict(SQL)
