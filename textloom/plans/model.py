@@ -5,6 +5,7 @@ Encoder fine-tuning plugs in as another ``train`` and ``predict`` pair; the torc
 
 from __future__ import annotations
 
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -168,4 +169,8 @@ def save(model: PipelineModel, path: Path) -> None:
 def evaluate(spec: TaskSpec, model: PipelineModel, rows: DataFrame):
     """Metrics of a model on ``id, text, labels, spans``."""
     predicted = predict(spec, model, rows).drop("text")
-    return metrics.evaluate(rows.join(predicted, "id"), spec)
+    found = metrics.evaluate(rows.join(predicted, "id"), spec)
+    if spec.kind is not TaskKind.SPAN:
+        return found
+    lost = spans.unreachable(F.col("text"), F.col("spans"), spans.word_tokens(F.col("text")))
+    return replace(found, unreachable_spans=rows.agg(F.coalesce(F.sum(lost), F.lit(0))).first()[0])
