@@ -5,8 +5,8 @@ ignored. Every position of every training text and of every test item gives one
 are hits, so a hit survives substituted tokens under the zeros, and several masks of different shape make it likely
 that one of them fits between the substitutions of a passage. Around each hit the two token sequences are compared
 along the hit's diagonal over the whole item: the best segment (a match adds 1, a substitution takes 1.5) tells how
-many of the item's tokens the document holds. A document is contaminated by an item when at least ``min_share`` of
-the item's tokens, and at least ``min_tokens``, lie in that segment.
+many of the item's tokens the document holds. A document is contaminated by an item when the segment holds at least
+``min_share`` of the item's tokens or ``enough`` tokens, and ``min_tokens`` in any case.
 
 Everything is DataFrame functions. The test items' hashes are broadcast when their counted number is within
 ``BROADCAST_SEEDS``; beyond it the hashes are joined by a shuffle. The corpus side is never shuffled for a
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 MASKS = ("11101011", "1101100101", "110010100111")
 MIN_TOKENS = 8
 MIN_SHARE = 0.6
+#: Tokens of a long item that tell as much as its share.
+ENOUGH = 13
 SUBSTITUTION = 1.5
 #: Rows of (hash, item, position) that are broadcast at most; 24 bytes each before hashing.
 BROADCAST_SEEDS = 1_000_000
@@ -90,6 +92,7 @@ def overlaps(
     item_text: str = "text",
     min_tokens: int = MIN_TOKENS,
     min_share: float = MIN_SHARE,
+    enough: int = ENOUGH,
     broadcast_seeds: int = BROADCAST_SEEDS,
 ) -> DataFrame:
     """``doc_id, item_id, n_matched, n_segment, n_item`` for each contaminated document and its item."""
@@ -109,7 +112,7 @@ def overlaps(
     )
     verified = hits.select("doc_id", "item", best_segment(equal).alias("seg"), F.size("item_hashes").alias("n_item"))
     return (
-        verified.filter((F.col("seg.matched") >= min_tokens) & (F.col("seg.matched") >= min_share * F.col("n_item")))
+        verified.filter(F.col("seg.matched") >= F.greatest(F.lit(min_tokens), F.least(min_share * F.col("n_item"), F.lit(enough))))
         .groupBy("doc_id", "item")
         .agg(
             F.max("seg.matched").alias("n_matched"),
