@@ -283,7 +283,8 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bio_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _tagged(spark, sf_dir).select("doc_id", F.posexplode("tags").alias("pos", "tag"))
+    # an inner explode would infer filters on its input, which would tag every text two more times
+    each = _tagged(spark, sf_dir).select("doc_id", F.posexplode_outer("tags").alias("pos", "tag"))
     return each.filter(F.col("tag") != spans.OUTSIDE)
 
 
