@@ -171,3 +171,21 @@ def test_spam_words_random():
     model = url_filter.UrlModel({})
     names = ["".join(r.choice(["th", "er", "on", "ti", "wh"]) for _ in range(4)) for _ in range(50)]
     assert all(model.log_odds(f"{n}.org", "/en/1") < 0 for n in names)
+
+
+def test_words_of_the_table_are_learned(spark, monkeypatch):
+    """Words outside the seeds: found by separators elsewhere, judged by urls that rules decide."""
+    rules = [url_filter.Rule("block", "bad.test", ""), url_filter.Rule("allow", "good.test", "")]
+    urls = [f"http://h{a}.bad.test/zorgel-kwimba/{a}" for a in "abcdefgh"] + [f"http://h{a}.good.test/milune-farto/{a}" for a in "abcdefgh"]
+    urls += ["http://zorgelkwimba.org/", "http://milunefarto.org/", None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = url_filter.fit(pages, rules=rules)
+    results = []
+    for limit in (1 << 20, -1):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+        found = {r["page_id"]: r for r in url_filter.judge(pages, rules, model).collect()}
+        assert (found[16]["words"], found[16]["verdict"]) == ("zorgel kwimba org", "block")
+        assert (found[17]["words"], found[17]["verdict"]) == ("milune farto org", "allow")
+        assert found[18]["words"] == found[19]["words"] == "" and len(found) == len(urls)
+        results.append(sorted((i, r["words"], round(r["log_odds"], 9)) for i, r in found.items()))
+    assert results[0] == results[1]

@@ -4,10 +4,13 @@ A url is split into host and path by built-in functions. The longest rule that f
 of it, a path that begins with the rule's) decides. For the rest, concatenated host names are segmented into words
 by unigram Viterbi, and a multinomial naive Bayes scores the words of host and path.
 
-The vocabulary is that of the labelled example urls below (fixed, under 200 words); the unigram model counts these
-words over all urls of the table, where separators set them apart, and adds the examples' own counts. The aggregate
-that reaches the driver has one row for each vocabulary word at most, however large the table is. Strings outside
-the vocabulary cost a price for each letter and carry no evidence, so unknown names are allowed.
+The lexicon is every string that separators set apart in any url of the table, with the number of hosts that use it, and
+the words of the labelled example urls below (seeds). A name is no witness for itself: as one word it counts the other
+hosts that use it. Bayes counts come from the seeds and from the urls that rules decide (hosts for each word, by their
+logarithm), without the rules' own words, which those urls hold because they were picked by them. The lexicon stays a
+table: each distinct name meets the lexicon words among its substrings in a join and is segmented once. The result for
+each name goes to all tasks when its measured size is within ``BROADCAST_BYTES``, else it is joined by a shuffle. Words
+that no labelled url holds carry no evidence, and strings outside the lexicon cost a price for each letter.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; repeated
 rows are judged each; ties between rules of equal length go to the first; an empty table gives an empty result;
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import ensure_checkpoint_dir
+
 #: Labelled example urls (fixed values): words of host and path.
 BLOCKED_EXAMPLES = """
 online casino slots bonus win | casino win big jackpot | free bets sports betting odds | best poker casino free spins
@@ -49,6 +54,8 @@ wiki article | blog post archive | garden food market
 PRIOR_BLOCK = 0.3
 #: Price in nats of each letter outside the vocabulary, and of each unknown run.
 UNKNOWN_LETTER, UNKNOWN_RUN = 3.6, 6.0
+#: Measured size of the names' table that is sent to all tasks at most.
+BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,11 +101,42 @@ def _examples(text: str) -> list[list[str]]:
     return [words.split() for words in re.split(r"[|\n]", text) if words.split()]
 
 
+def segmented(name: str, unigram: dict[str, float]) -> list[str]:
+    """The most likely words of a name; runs outside ``unigram`` come back as they are."""
+    longest = max(map(len, unigram), default=0)
+    none = (-math.inf, 0, False)
+    # at each end: the best way whose last piece is a word, and the one whose last piece is a run outside
+    word: list[tuple[float, int, bool]] = [(0.0, 0, True)]
+    run: list[tuple[float, int, bool]] = [none]
+    for end in range(1, len(name) + 1):
+        opened = (word[end - 1][0] - UNKNOWN_RUN - UNKNOWN_LETTER, end - 1, True)
+        run.append(max(opened, (run[end - 1][0] - UNKNOWN_LETTER, run[end - 1][1], True)))
+        found = none
+        for begin in range(max(0, end - longest), end):
+            chance = unigram.get(name[begin:end])
+            if chance is not None:
+                after_word = word[begin][0] >= run[begin][0]
+                found = max(found, (max(word[begin][0], run[begin][0]) + chance, begin, after_word))
+        word.append(found)
+    words, end = [], len(name)
+    in_word = word[end][0] >= run[end][0]
+    while end:
+        _, begin, after_word = word[end] if in_word else run[end]
+        words.append(name[begin:end])
+        end, in_word = begin, after_word
+    return words[::-1]
+
+
+def _seeds() -> tuple[Counter, Counter]:
+    block, allow = (Counter(w for e in _examples(t) for w in e) for t in (BLOCKED_EXAMPLES, ALLOWED_EXAMPLES))
+    return block, allow
+
+
 class UrlModel:
-    """Unigram segmentation and naive Bayes over the vocabulary of the examples."""
+    """Unigram segmentation and naive Bayes: the seeds' own words, and a ``lexicon`` of the table where it was fitted."""
 
-    def __init__(self, corpus_counts: dict[str, int]) -> None:
-        block, allow = (Counter(w for e in _examples(t) for w in e) for t in (BLOCKED_EXAMPLES, ALLOWED_EXAMPLES))
+    def __init__(self, corpus_counts: dict[str, int], lexicon: DataFrame | None = None) -> None:
+        block, allow = _seeds()
         words = sorted(block.keys() | allow.keys())
         total_block, total_allow, n = sum(block.values()), sum(allow.values()), len(words)
         self.evidence = {
@@ -109,32 +147,12 @@ class UrlModel:
         mass = {w: 1 + block[w] + allow[w] + math.log1p(corpus_counts.get(w, 0)) for w in words}
         total = sum(mass.values())
         self.unigram = {w: math.log(m / total) for w, m in mass.items()}
-        self.longest = max(map(len, words))
         self.prior = math.log(PRIOR_BLOCK / (1 - PRIOR_BLOCK))
+        self.lexicon = lexicon
 
     def segment(self, name: str) -> list[str]:
-        """The most likely words of a name; runs outside the vocabulary come back as they are."""
-        none = (-math.inf, 0, False)
-        # at each end: the best way whose last piece is a word, and the one whose last piece is a run outside
-        word: list[tuple[float, int, bool]] = [(0.0, 0, True)]
-        run: list[tuple[float, int, bool]] = [none]
-        for end in range(1, len(name) + 1):
-            opened = (word[end - 1][0] - UNKNOWN_RUN - UNKNOWN_LETTER, end - 1, True)
-            run.append(max(opened, (run[end - 1][0] - UNKNOWN_LETTER, run[end - 1][1], True)))
-            found = none
-            for begin in range(max(0, end - self.longest), end):
-                chance = self.unigram.get(name[begin:end])
-                if chance is not None:
-                    after_word = word[begin][0] >= run[begin][0]
-                    found = max(found, (max(word[begin][0], run[begin][0]) + chance, begin, after_word))
-            word.append(found)
-        words, end = [], len(name)
-        in_word = word[end][0] >= run[end][0]
-        while end:
-            _, begin, after_word = word[end] if in_word else run[end]
-            words.append(name[begin:end])
-            end, in_word = begin, after_word
-        return words[::-1]
+        """The most likely words of a name by the seeds."""
+        return segmented(name, self.unigram)
 
     def words(self, host: str, path: str) -> list[str]:
         """Segmented words of a host and a path; digits only separate."""
@@ -142,48 +160,114 @@ class UrlModel:
         return [w for name in names for w in self.segment(name)]
 
     def log_odds(self, host: str, path: str) -> float:
-        """Log-odds of block."""
+        """Log-odds of block by the seeds."""
         return self.prior + sum(self.evidence.get(w, 0.0) for w in self.words(host, path))
 
 
-def fit(pages: DataFrame, url: str = "url") -> UrlModel:
-    """Count the vocabulary over all urls."""
-    vocabulary = sorted({w for t in (BLOCKED_EXAMPLES, ALLOWED_EXAMPLES) for e in _examples(t) for w in e})
-    tokens = F.split(F.concat_ws(" ", host_of(F.col(url)), F.lower(path_of(F.col(url)))), r"[^\p{L}]+")
-    known = F.filter(tokens, lambda t: t.isin(vocabulary))
-    rows = pages.select(F.explode(known).alias("word")).groupBy("word").count().collect()
-    return UrlModel({r["word"]: r["count"] for r in rows})
-
-
-def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url") -> DataFrame:
-    """``pages`` with ``host, path, rule, verdict, words, log_odds``."""
-    added = ["host", "path", "rule", "verdict", "words", "log_odds"]
-    parsed = pages.drop(*[c for c in added if c != url]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    names = parsed.columns
+def names_of(host: Column, path: Column) -> Column:
+    """Runs of letters of host and path, lower-cased."""
+    return F.filter(F.split(F.lower(F.concat_ws(" ", host, path)), r"[^\p{L}]+"), lambda t: t != "")
+
+
+def fit(pages: DataFrame, url: str = "url", rules: list[Rule] | None = None) -> UrlModel:
+    """The lexicon of all urls: ``word, hosts, seed, block, allow``; labels are the verdicts of ``rules``."""
+    rules = RULES if rules is None else rules
+    ensure_checkpoint_dir(pages.sparkSession)
+    block, allow = _seeds()
+    own = sorted({w for r in rules for w in re.findall(r"[^\W\d_]+", r.name.lower())})
+    host, path = F.col("host"), F.col("path")
+    parsed = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    told = parsed.select("host", rule_of(host, path, rules)["verdict"].alias("verdict"), F.explode(names_of(host, path)).alias("word"))
+    label = lambda v: F.coalesce(((F.col("verdict") == v) & ~F.col("word").isin(own)).cast("int"), F.lit(0))
+    by_host = told.groupBy("word", "host").agg(F.max(label("block")).alias("block"), F.max(label("allow")).alias("allow"))
+    counted = by_host.groupBy("word").agg(
+        F.count(F.lit(1)).alias("hosts"), F.lit(0.0).alias("seed"),
+        F.log1p(F.sum("block")).alias("block"), F.log1p(F.sum("allow")).alias("allow"),
+    )
+    rows = [(w, 0, 1.0 + block[w] + allow[w], float(block[w]), float(allow[w])) for w in sorted(block.keys() | allow.keys())]
+    seeds = pages.sparkSession.createDataFrame(rows, "word string, hosts long, seed double, block double, allow double")
+    both = counted.unionByName(seeds).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("hosts", "seed", "block", "allow")))
+    return UrlModel({}, both.checkpoint())
+
+
+def name_table(lexicon: DataFrame) -> DataFrame:
+    """``name, words, odds`` (parallel arrays) for every name of the table."""
+    labelled = F.col("block") + F.col("allow") > 0
+    mass = F.col("seed") + F.log1p("hosts")
+    n, total, blocks, allows, longest = lexicon.agg(
+        F.sum(labelled.cast("int")), *(F.round(F.sum(c), 6) for c in (mass, F.col("block"), F.col("allow"))), F.max(F.length("word"))
+    ).first()
+    evidence = F.log((F.col("block") + 0.5) / (blocks + 0.5 * n)) - F.log((F.col("allow") + 0.5) / (allows + 0.5 * n))
+    words = lexicon.select("word", "hosts", "seed", F.when(labelled, evidence).otherwise(0.0).alias("odds"))
+    pieces = F.expr(
+        "explode(array_distinct(flatten(transform(sequence(1, length(name)), i -> "
+        f"transform(sequence(1, least({longest}, length(name) - i + 1)), n -> substring(name, i, n))))))"
+    )
+    names = lexicon.filter("hosts > 0").select(F.col("word").alias("name"))
+    met = names.select("name", pieces.alias("word")).join(words, "word")
+    met = met.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("word", "hosts", "seed", "odds"))).alias("met"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
         for batch in batches:
-            words, odds = [], []
-            hosts, paths = (batch.column(names.index(c)).to_pylist() for c in ("host", "path"))
-            for host, path in zip(hosts, paths, strict=True):
-                if len(known) > 10_000:
-                    known.clear()
-                if host not in known:
-                    known[host] = model.words(host, "")
-                found = known[host] + model.words("", path)
-                words.append(" ".join(found))
-                odds.append(model.prior + sum(model.evidence.get(w, 0.0) for w in found))
+            found: list[list[str]] = []
+            odds: list[list[float]] = []
+            for name, met in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # every name is in the lexicon by itself, so as one word only other hosts count
+                mass = {m["word"]: m["seed"] + math.log1p(m["hosts"] - (m["word"] == name)) for m in met}
+                found.append(segmented(name, {w: math.log(x / total) for w, x in mass.items() if x > 0}))
+                known = {m["word"]: m["odds"] for m in met}
+                odds.append([known.get(w, 0.0) for w in found[-1]])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(words, pa.string()), pa.array(odds, pa.float64())],
-                names=[*names, "words", "log_odds"],
+                [batch.column(0), pa.array(found, pa.list_(pa.string())), pa.array(odds, pa.list_(pa.float64()))],
+                names=["name", "words", "odds"],
             )
 
-    schema = parsed.select("*", F.lit("").alias("words"), F.lit(0.0).alias("log_odds")).schema
+    return met.mapInArrow(run, "name string, words array<string>, odds array<double>")
+
+
+def _scored(urls: DataFrame, table: DataFrame, prior: float) -> DataFrame:
+    """``urls`` (host, path) with ``words`` and ``log_odds``; the names' table goes to all tasks if it is small."""
+    size = table.agg(F.sum(F.length("name") * 2 + 24 * F.size("words"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        known = {r["name"]: (r["words"], r["odds"]) for r in table.toLocalIterator()}
+        shared = urls.sparkSession.sparkContext.broadcast(known)
+        fields = [c for c in urls.columns if c != "__names"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                pairs = [[known[n] for n in row] for row in batch.column("__names").to_pylist()]
+                words = [" ".join(w for ws, _ in row for w in ws) for row in pairs]
+                odds = [prior + sum(o for _, os in row for o in os) for row in pairs]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in fields), pa.array(words, pa.string()), pa.array(odds, pa.float64())],
+                    names=[*fields, "words", "log_odds"],
+                )
+
+        named = urls.withColumn("__names", names_of(F.col("host"), F.col("path")))
+        return named.mapInArrow(run, urls.select("*", F.lit("").alias("words"), F.lit(0.0).alias("log_odds")).schema)
+    each = urls.select("host", "path").distinct()
+    each = each.select("host", "path", F.posexplode(names_of(F.col("host"), F.col("path"))).alias("pos", "name"))
+    each = each.join(table, "name").groupBy("host", "path")
+    each = each.agg(F.sort_array(F.collect_list(F.struct("pos", "words", "odds"))).alias("__all"))
+    each = each.select(
+        "host", "path", F.array_join(F.flatten(F.col("__all.words")), " ").alias("words"),
+        (F.lit(prior) + F.aggregate(F.flatten(F.col("__all.odds")), F.lit(0.0), lambda a, x: a + x)).alias("log_odds"),
+    )
+    return urls.join(each, ["host", "path"], "left").select(
+        *urls.columns, F.coalesce("words", F.lit("")).alias("words"), F.coalesce("log_odds", F.lit(prior)).alias("log_odds")
+    )
+
+
+def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url") -> DataFrame:
+    """``pages`` with ``host, path, rule, verdict, words, log_odds``; ``model`` is fitted on urls that include these."""
+    added = ["host", "path", "rule", "verdict", "words", "log_odds"]
+    parsed = pages.drop(*[c for c in added if c != url]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    table = name_table(model.lexicon).checkpoint()
     rule = rule_of(F.col("host"), F.col("path"), rules)
     by_model = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
     return (
-        parsed.mapInArrow(run, schema)
+        _scored(parsed, table, model.prior)
         .withColumn("__rule", rule)
         .withColumns({"rule": F.col("__rule.name"), "verdict": F.coalesce(F.col("__rule.verdict"), by_model)})
         .drop("__rule")
