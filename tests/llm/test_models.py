@@ -189,3 +189,21 @@ def test_words_of_the_table_are_learned(spark, monkeypatch):
         assert found[18]["words"] == found[19]["words"] == "" and len(found) == len(urls)
         results.append(sorted((i, r["words"], round(r["log_odds"], 9)) for i, r in found.items()))
     assert results[0] == results[1]
+
+
+def texts_by_id(spark, pages: list[str | None]) -> list[str]:
+    rows = spark.createDataFrame([(i, "http://a.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrapper.extracted(rows).orderBy("page_id").collect()]
+
+
+def test_constants_come_from_all_distinct_pages(spark):
+    whole = "<html><body><div id=a><p>{}</p><p>Buy our things</p></div></body></html>"
+    assert texts_by_id(spark, [whole.format("copy")] * 6) == ["copy\n\nBuy our things"] * 6
+    # one empty and one differently built page, and a block that some pages share
+    texts = [f"text {i} of its own" for i in range(20)]
+    pages = [whole.format(f"{t}</p><p>{'shared by five' if i < 5 else t + ' too'}") for i, t in enumerate(texts)]
+    found = texts_by_id(spark, [*pages, "", "<b>odd"])
+    assert found == [f"{t}\n\n{'shared by five' if i < 5 else t + ' too'}" for i, t in enumerate(texts)] + ["", "odd"]
+    # a second template on the host has constants of its own
+    other = "<html><body><section><div class=x><p>{}</p><p>Second slogan</p></div></section></body></html>"
+    assert texts_by_id(spark, pages + [other.format(t) for t in texts[:6]])[20:] == texts[:6]

@@ -1,17 +1,19 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are made from one template. Up to ``SAMPLE`` pages of each host (one of each residue class of the
-hashed id) are parsed into DOM trees and aligned with the first of them by simple tree matching: nodes
-that match with the same text in all sampled pages are constant and belong to the template, nodes whose text varies are
-slots. A block is template when all its texts are. The wrapper of a host says where its slots lie: the path of the region that holds the most varying text, and
-the constant texts by path. It is then applied to every page of the host.
+Pages of one host are made from one template or a few. Every page of the table is parsed into a DOM tree; its template
+is known by the containers that it has in the upper ``TEMPLATE_DEPTH`` levels. Texts are counted by their path over all
+distinct pages of a host, and of each template with ``TEMPLATE_PAGES`` pages or more: what ``CONSTANT_SHARE`` of them
+have is constant and belongs to the template, all other texts are slots. Paths have no sibling numbers, so an inserted
+or missing block shifts nothing. Copies of a page count once, pages without text not at all. A block is template when
+all its texts are.
 
 On a page, the region's text becomes blocks in page order. Template texts, and parts that mark-up names as menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments, are left out. Inside an ``article`` or
 ``main`` element a constant text is kept, since pages may share a sentence at the same place.
 
-The html of a page is only moved for the sample; wrappers are small and are broadcast when their measured size is
-within ``BROADCAST_BYTES``, else joined by a shuffle (a busy host's pages are split by adaptive skew joins).
+The html of a page is never moved: hashes of its texts are, and are counted in partial aggregates; wrappers are small
+and are broadcast when their measured size is within ``BROADCAST_BYTES``, else joined by a shuffle (a busy host's pages
+are split by adaptive skew joins).
 
 Defined results: null or empty html gives an empty text; broken html is read as far as it goes; a page on a host of its
 own takes its own region; null urls form one host (the empty name); repeated rows are extracted each; an empty table
@@ -28,13 +30,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.url_filter import host_of
 from textloom.session import ensure_checkpoint_dir
 
-SAMPLE = 4
+#: Share of the distinct pages that have a constant text, and pages (of a host, of one template) that can tell.
+CONSTANT_SHARE = 0.8
+HOST_PAGES, TEMPLATE_PAGES = 2, 3
+TEMPLATE_DEPTH = 5
 #: Share of a node's varying text that a child must hold to be the region in its place.
 REGION_SHARE = 0.7
 BROADCAST_BYTES = 32 << 20
@@ -189,22 +194,45 @@ def _matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return 1 + size[-1][-1], pairs
 
 
-def _mark(path: str, text: str) -> int:
-    return zlib.crc32(f"{path}\n{text}".encode())
+def _crc(key: str, above: int) -> int:
+    return zlib.crc32(f"/{key}".encode(), above)
 
 
-def _paths(node: Node, path: str = "") -> Iterator[tuple[Node, str, bool]]:
-    """Nodes in page order with their path and whether they are inside chrome."""
-    stack = [(node, path, False)]
+def _mark(path: int, text: str) -> int:
+    """A text at a path, as a signed number of 64 bits."""
+    mark = path << 32 | zlib.crc32(text.encode(errors="replace"))
+    return mark - (1 << 64) if mark >> 63 else mark
+
+
+def _paths(node: Node) -> Iterator[tuple[Node, int, int, bool]]:
+    """Nodes in page order with the hash of their path, their depth and whether they are inside article or main."""
+    stack = [(node, 0, 0, False)]
     while stack:
-        node, path, chrome = stack.pop()
-        path, chrome = f"{path}/{node.key}", chrome or node.chrome
-        yield node, path, chrome
-        stack.extend((child, path, chrome) for child in reversed(node.children))
+        node, path, depth, inner = stack.pop()
+        path, inner = _crc(node.key, path), inner or node.tag in ("article", "main")
+        yield node, path, depth, inner
+        stack.extend((child, path, depth + 1, inner) for child in reversed(node.children))
+
+
+#: Elements that build a template, not the text in it.
+CONTAINERS = set("article aside body center details dialog div fieldset footer form header html main nav section table".split())
+
+
+def texts_of(root: Node) -> tuple[int, dict[int, bool]]:
+    """The template of a page and the marks of its texts, each with whether it is inside article or main."""
+    marks, shape = {}, set()
+    for node, path, depth, inner in _paths(root):
+        if node.tag == "#text":
+            if text := _white(node.text):
+                marks[_mark(path, text)] = inner
+        elif node.tag in CONTAINERS and depth <= TEMPLATE_DEPTH and (not inner or node.tag in ("article", "main")):
+            shape.add(path)
+    template = zlib.crc32(",".join(map(str, sorted(shape))).encode())
+    return template, marks
 
 
-def _region(root: Node, varies: dict[int, bool]) -> str:
-    """Path of the region that holds the most varying text."""
+def _region(root: Node, varies: dict[int, bool]) -> Node:
+    """The region that holds the most varying text."""
     mass: dict[int, int] = {}
 
     def weigh(node: Node) -> int:
@@ -217,51 +245,29 @@ def _region(root: Node, varies: dict[int, bool]) -> str:
         mass[id(node)] = total
         return total
 
-    def deepest(node: Node, path: str) -> str:
-        path = f"{path}/{node.key}"
+    def deepest(node: Node) -> Node:
         if node.tag not in ("article", "main"):
             for child in node.children:
                 if child.tag in BLOCK and child.tag not in ("p", "li", "h1", "h2", "h3", "pre", "blockquote"):
                     if mass[id(child)] > REGION_SHARE * mass[id(node)] > 0:
-                        return deepest(child, path)
-        return path
+                        return deepest(child)
+        return node
 
     weigh(root)
     top = root
-    path = ""
     for tag in ("html", "body"):
         inner = next((c for c in top.children if c.tag == tag), None)
         if inner is not None:
-            path = f"{path}/{top.key}"
             top = inner
-    return deepest(top, path)
-
-
-def induce(pages: list[str | None]) -> dict:
-    """The wrapper of pages of one host: ``region`` and marks of the ``constant`` texts."""
-    roots = [parse(p) for p in pages]
-    reference = roots[0]
-    same: dict[int, int] = {}
-    for other in roots[1:]:
-        for x, y in match(reference, other):
-            if x.tag == "#text" and _white(x.text) == _white(y.text):
-                same[id(x)] = same.get(id(x), 0) + 1
-    constant, varies = set(), {}
-    for node, path, _ in _paths(reference):
-        if node.tag == "#text" and _white(node.text):
-            varies[id(node)] = len(roots) == 1 or same.get(id(node), 0) < len(roots) - 1
-            if not varies[id(node)] and "/article" not in path and "/main" not in path:
-                constant.add(_mark(path, _white(node.text)))
-    return {"region": _region(reference, varies), "constant": sorted(constant)}
-
-
-def extract(page: str | None, wrapper: dict) -> str:
-    """The main text of a page."""
+    return deepest(top)
+
+
+def extract(page: str | None, constants: dict[int | None, set[int]]) -> str:
+    """The main text of a page, by the constant texts of its host (key None) and of each template."""
     root = parse(page)
-    region, constant = wrapper["region"], set(wrapper["constant"])
-    places = {path for _, path, _ in _paths(root)}
-    if region not in places:
-        region = _region(root, {})
+    constant = constants.get(None, set()) | constants.get(texts_of(root)[0], set())
+    same = {id(n): _mark(p, _white(n.text)) in constant for n, p, _, _ in _paths(root) if n.tag == "#text"}
+    region = _region(root, {k: not v for k, v in same.items()})
     blocks: list[str] = []
     run: list[tuple[str, bool]] = []
 
@@ -271,15 +277,14 @@ def extract(page: str | None, wrapper: dict) -> str:
             blocks.append(_WHITE.sub(" ", "".join(text for text, _ in run)).strip(" "))
         run.clear()
 
-    def walk(node: Node, path: str, inside: bool) -> None:
+    def walk(node: Node, inside: bool) -> None:
         if node.chrome:
             flush()
             return
-        path = f"{path}/{node.key}"
-        inside = inside or path == region
+        inside = inside or node is region
         if node.tag == "#text":
             if inside:
-                run.append((node.text, bool(constant) and _mark(path, _white(node.text)) in constant))
+                run.append((node.text, same[id(node)]))
             return
         if node.tag == "br":
             run.append((" ", True))
@@ -288,35 +293,59 @@ def extract(page: str | None, wrapper: dict) -> str:
         if block:
             flush()
         for child in node.children:
-            walk(child, path, inside)
+            walk(child, inside)
         if block:
             flush()
 
-    walk(root, "", False)
+    walk(root, False)
     flush()
     return "\n\n".join(blocks)
 
 
-def wrappers(pages: DataFrame, key: str = "page_id", page: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """``host, wrapper`` (JSON) for each host of ``pages`` (which has ``host``).
-
-    Of each host the page with the smallest hash is taken from each of ``sample`` residue classes, by an aggregate
-    that keeps one page a class in every partial result, so a busy host costs no more than any other.
-    """
-    mix = F.xxhash64(key)
-    picked = (
-        pages.groupBy("host", F.pmod(mix, F.lit(sample)).alias("residue"))
-        .agg(F.min_by(F.coalesce(F.col(page), F.lit("")), F.struct(mix, F.col(key))).alias("page"))
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("residue", "page"))).alias("picked"))
-    )
+def wrappers(pages: DataFrame, page: str = "html") -> DataFrame:
+    """``host, wrapper`` (JSON rows of template and mark) for each host of ``pages`` with constant texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [json.dumps(induce([p["page"] for p in row])) for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "wrapper"])
+            found = [texts_of(parse(p)) for p in batch.column(2).to_pylist()]
+            marks = [[{"mark": m, "inner": i} for m, i in sorted(t[1].items())] for t in found]
+            kind = pa.list_(pa.struct([("mark", pa.int64()), ("inner", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([t[0] for t in found], pa.int64()), pa.array(marks, kind)],
+                names=["host", "page", "template", "marks"],
+            )
 
-    return picked.mapInArrow(run, "host string, wrapper string")
+    html = F.coalesce(F.col(page), F.lit(""))
+    told = pages.select("host", F.xxhash64(html).alias("page"), html.alias("html")).mapInArrow(
+        run, "host string, page long, template long, marks array<struct<mark:long,inner:boolean>>"
+    )
+    # copies of a page count once; the row without a mark counts pages
+    told = told.filter(F.size("marks") > 0).groupBy("host", "page").agg(F.first(F.struct("template", "marks")).alias("t"))
+    every = F.explode(F.concat(F.array(F.lit(None).cast("struct<mark:long,inner:boolean>")), F.col("t.marks"))).alias("m")
+    counts = told.select("host", F.col("t.template").alias("template"), every)
+    counts = counts.groupBy("host", "template", "m.mark", "m.inner").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    of_host = counts.groupBy("host", "mark", "inner").agg(F.sum("n").alias("n")).withColumn("template", F.lit(None).cast("long"))
+    found = None
+    for level, least in ((counts, TEMPLATE_PAGES), (of_host, HOST_PAGES)):
+        size = level.filter(F.col("mark").isNull() & (F.col("n") >= least))
+        size = size.select("host", F.col("template").alias("__t"), F.col("n").alias("pages"))
+        often = level.filter(F.col("mark").isNotNull() & (F.col("n") >= 2))
+        met = often.join(size, (often["host"] == size["host"]) & often["template"].eqNullSafe(size["__t"])).drop(size["host"])
+        met = met.filter(_is_constant()).select("host", "template", "mark")
+        found = met if found is None else found.unionByName(met)
+    rows = F.sort_array(F.collect_list(F.struct("template", "mark")))
+    return found.groupBy("host").agg(F.to_json(rows).alias("wrapper"))
+
+
+def _is_constant() -> Column:
+    return ~F.col("inner") & (F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+
+
+def _constants(wrapper: str | None) -> dict[int | None, set[int]]:
+    constants: dict[int | None, set[int]] = {}
+    for row in json.loads(wrapper or "[]"):
+        constants.setdefault(row.get("template"), set()).add(row["mark"])
+    return constants
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -324,19 +353,19 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     ensure_checkpoint_dir(pages.sparkSession)
     added = {"host", "wrapper", "text", "n_chars"} - {key, url, page}
     hosted = pages.drop(*added).withColumn("host", host_of(F.col(url)))
-    found = wrappers(hosted, key, page).checkpoint()
+    found = wrappers(hosted, page).checkpoint()
     size = found.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
-    joined = hosted.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host")
+    joined = hosted.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
     names = joined.columns
     kept = [c for c in names if c not in (page, "wrapper")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, dict] = {}
+            known: dict[str | None, dict] = {}
             texts = []
             for html, wrapper in zip(*(batch.column(names.index(c)).to_pylist() for c in (page, "wrapper")), strict=True):
                 if wrapper not in known:
-                    known[wrapper] = json.loads(wrapper)
+                    known[wrapper] = _constants(wrapper)
                 texts.append(extract(html, known[wrapper]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(names.index(c)) for c in kept), pa.array(texts, pa.string()),
