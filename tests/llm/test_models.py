@@ -207,3 +207,20 @@ def test_constants_come_from_all_distinct_pages(spark):
     # a second template on the host has constants of its own
     other = "<html><body><section><div class=x><p>{}</p><p>Second slogan</p></div></section></body></html>"
     assert texts_by_id(spark, pages + [other.format(t) for t in texts[:6]])[20:] == texts[:6]
+
+
+def test_texts_decide_over_names(spark):
+    texts = [f"text {i} that only this page has, and more of it" for i in range(8)]
+    inside = "<html><body><article><p>{}</p><p>Subscribe to us</p></article></body></html>"
+    assert texts_by_id(spark, [inside.format(t) for t in texts]) == texts
+    named = (
+        "<html><body><div class='content no-sidebar'><div class='post-header'><h1>Title {0}</h1></div><p>{1}</p>"
+        "<div class='legal'><p>Terms {0}</p></div><div id=comments><p>Nice {0}</p></div></div>"
+        "<div class=more><p>A little {0}</p></div></body></html>"
+    )
+    found = texts_by_id(spark, [named.format(i, t) for i, t in enumerate(texts)])
+    assert found == [f"Title {i}\n\n{t}\n\nA little {i}" for i, t in enumerate(texts)]
+    plain = "<html><body><div class='content no-sidebar'><p>{0}</p></div><div class=ad><p>Buy {1}</p></div></body></html>"
+    assert texts_by_id(spark, [plain.format(t, i) for i, t in enumerate(texts)]) == texts
+    short = "<html><body><div class=ad><p>{0}</p></div><article><h1>T {1}</h1></article></body></html>"
+    assert texts_by_id(spark, [short.format(t, i) for i, t in enumerate(texts)]) == [f"T {i}" for i in range(8)]

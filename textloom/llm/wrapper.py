@@ -7,16 +7,19 @@ have is constant and belongs to the template, all other texts are slots. Paths h
 or missing block shifts nothing. Copies of a page count once, pages without text not at all. A block is template when
 all its texts are.
 
-On a page, the region's text becomes blocks in page order. Template texts, and parts that mark-up names as menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments, are left out. Inside an ``article`` or
-``main`` element a constant text is kept, since pages may share a sentence at the same place.
+On a page, all slots become blocks in page order; the smallest region with all of them adds nothing, so none is formed.
+Template texts, and parts that elements, roles or attributes name as menus, headers, footers, asides, forms, scripts or
+hidden, are left out. A class or id that names such a part is only believed where the texts agree: not of a node with
+a varying ``h1``, an ``article`` or ``main``, nor, on a page without these, of one with more than ``MOST`` of its varying
+text (a named comment thread excepted). Inside ``article`` or ``main`` pages may share a sentence, so there a text is constant only if
+``INNER_SHARE`` of ``INNER_PAGES`` pages and more have it.
 
 The html of a page is never moved: hashes of its texts are, and are counted in partial aggregates; wrappers are small
 and are broadcast when their measured size is within ``BROADCAST_BYTES``, else joined by a shuffle (a busy host's pages
 are split by adaptive skew joins).
 
-Defined results: null or empty html gives an empty text; broken html is read as far as it goes; a page on a host of its
-own takes its own region; null urls form one host (the empty name); repeated rows are extracted each; an empty table
+Defined results: null or empty html gives an empty text; broken html is read as far as it goes; a page about
+which no other tells takes its article or main if that holds most of its text; null urls form one host (the empty name); repeated rows are extracted each; an empty table
 gives an empty result; other columns pass through, and input columns named like added ones are replaced.
 """
 
@@ -40,8 +43,10 @@ from textloom.session import ensure_checkpoint_dir
 CONSTANT_SHARE = 0.8
 HOST_PAGES, TEMPLATE_PAGES = 2, 3
 TEMPLATE_DEPTH = 5
-#: Share of a node's varying text that a child must hold to be the region in its place.
-REGION_SHARE = 0.7
+#: The same inside article and main.
+INNER_SHARE, INNER_PAGES = 0.9, 5
+#: Share of a page's varying text that no node named as chrome by its class or id alone holds.
+MOST = 0.5
 BROADCAST_BYTES = 32 << 20
 #: Most child pairs that one alignment of two nodes looks at; larger ones are aligned by their equal ends.
 MATCH_CELLS = 40_000
@@ -59,6 +64,7 @@ BLOCK = set(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}}
 LISTS = set("ul ol menu dl table body html".split())
 CLOSES |= {"th": {"td", "th"}, "option": {"option"}}
+COMMENT_WORDS = set("comment comments respond reply replies discussion disqus".split())
 #: Elements, roles and words in class or id that are no main text.
 CHROME_TAGS = set("nav header footer aside form button select option label input menu dialog head".split()) | RAW
 CHROME_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -82,6 +88,8 @@ class Node:
     tag: str
     label: str = ""
     chrome: bool = False
+    #: What a class or id says: "chrome", "comments" or nothing.
+    named: str = ""
     text: str = ""
     children: list[Node] = field(default_factory=list)
 
@@ -140,7 +148,7 @@ def _close_siblings(stack: list[Node], tags: set[str], stop: set[str]) -> None:
 
 
 def _element(tag: str, attributes: str) -> Node:
-    label, chrome = "", tag in CHROME_TAGS
+    label, chrome, named = "", tag in CHROME_TAGS, ""
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, value in _NAME.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
@@ -152,8 +160,10 @@ def _element(tag: str, attributes: str) -> Node:
                 if name == "class":
                     label = value.split()[0] if value.split() else ""
                 if tag not in ("html", "body", "article", "main"):
-                    chrome |= not CHROME_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-    return Node(tag, label, chrome)
+                    words = set(re.split(r"[^a-z]+", value))
+                    if words & CHROME_WORDS:
+                        named = "comments" if named == "comments" or words & COMMENT_WORDS else "chrome"
+    return Node(tag, label, chrome, named)
 
 
 def _white(text: str) -> str:
@@ -231,35 +241,34 @@ def texts_of(root: Node) -> tuple[int, dict[int, bool]]:
     return template, marks
 
 
-def _region(root: Node, varies: dict[int, bool]) -> Node:
-    """The region that holds the most varying text."""
+def _cut(root: Node, varies: dict[int, bool]) -> tuple[set[int], Node]:
+    """Nodes (by ``id``) that are left out with all they hold; the article or main with most of the varying text, or the root."""
     mass: dict[int, int] = {}
-
-    def weigh(node: Node) -> int:
+    heads: set[int] = set()
+    order = [root]
+    for node in order:
+        if not node.chrome:
+            order.extend(node.children)
+    for node in reversed(order):
         if node.chrome:
-            total = 0
-        elif node.tag == "#text":
-            total = len(_white(node.text)) if varies.get(id(node), True) else 0
-        else:
-            total = sum(map(weigh, node.children))
-        mass[id(node)] = total
-        return total
-
-    def deepest(node: Node) -> Node:
-        if node.tag not in ("article", "main"):
-            for child in node.children:
-                if child.tag in BLOCK and child.tag not in ("p", "li", "h1", "h2", "h3", "pre", "blockquote"):
-                    if mass[id(child)] > REGION_SHARE * mass[id(node)] > 0:
-                        return deepest(child)
-        return node
-
-    weigh(root)
-    top = root
-    for tag in ("html", "body"):
-        inner = next((c for c in top.children if c.tag == tag), None)
-        if inner is not None:
-            top = inner
-    return deepest(top)
+            mass[id(node)] = 0
+            continue
+        mass[id(node)] = sum(mass[id(c)] for c in node.children)
+        if node.tag == "#text" and varies[id(node)]:
+            mass[id(node)] = len(_white(node.text))
+        own = node.tag in ("article", "main") or (node.tag == "h1" and mass[id(node)] > 0)
+        if own or any(id(c) in heads for c in node.children):
+            heads.add(id(node))
+
+    def believed(node: Node) -> bool:
+        if id(node) in heads:
+            return False
+        # a page with a heading or article elsewhere may have an advert that is longer than its text
+        return node.named == "comments" or id(root) in heads or mass[id(node)] <= MOST * mass[id(root)]
+
+    left_out = {id(node) for node in order if node.chrome or (node.named and believed(node))}
+    named = [n for n in order if n.tag in ("article", "main") and mass[id(n)] > MOST * mass[id(root)]]
+    return left_out, named[-1] if named else root
 
 
 def extract(page: str | None, constants: dict[int | None, set[int]]) -> str:
@@ -267,7 +276,7 @@ def extract(page: str | None, constants: dict[int | None, set[int]]) -> str:
     root = parse(page)
     constant = constants.get(None, set()) | constants.get(texts_of(root)[0], set())
     same = {id(n): _mark(p, _white(n.text)) in constant for n, p, _, _ in _paths(root) if n.tag == "#text"}
-    region = _region(root, {k: not v for k, v in same.items()})
+    left_out, top = _cut(root, {k: not v for k, v in same.items()})
     blocks: list[str] = []
     run: list[tuple[str, bool]] = []
 
@@ -277,14 +286,12 @@ def extract(page: str | None, constants: dict[int | None, set[int]]) -> str:
             blocks.append(_WHITE.sub(" ", "".join(text for text, _ in run)).strip(" "))
         run.clear()
 
-    def walk(node: Node, inside: bool) -> None:
-        if node.chrome:
+    def walk(node: Node) -> None:
+        if id(node) in left_out:
             flush()
             return
-        inside = inside or node is region
         if node.tag == "#text":
-            if inside:
-                run.append((node.text, same[id(node)]))
+            run.append((node.text, same[id(node)]))
             return
         if node.tag == "br":
             run.append((" ", True))
@@ -293,11 +300,11 @@ def extract(page: str | None, constants: dict[int | None, set[int]]) -> str:
         if block:
             flush()
         for child in node.children:
-            walk(child, inside)
+            walk(child)
         if block:
             flush()
 
-    walk(root, False)
+    walk(top if not constant else root)
     flush()
     return "\n\n".join(blocks)
 
@@ -338,7 +345,8 @@ def wrappers(pages: DataFrame, page: str = "html") -> DataFrame:
 
 
 def _is_constant() -> Column:
-    return ~F.col("inner") & (F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    inner = (F.col("pages") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("pages"))
+    return F.when(F.col("inner"), inner).otherwise(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
 
 
 def _constants(wrapper: str | None) -> dict[int | None, set[int]]:
