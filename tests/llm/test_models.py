@@ -224,3 +224,13 @@ def test_texts_decide_over_names(spark):
     assert texts_by_id(spark, [plain.format(t, i) for i, t in enumerate(texts)]) == texts
     short = "<html><body><div class=ad><p>{0}</p></div><article><h1>T {1}</h1></article></body></html>"
     assert texts_by_id(spark, [short.format(t, i) for i, t in enumerate(texts)]) == [f"T {i}" for i in range(8)]
+
+
+def test_wide_and_deep_pages():
+    items = [f"<li>{i}</li>" for i in range(300)]
+    a, b = wrapper.parse(f"<ul>{''.join(items)}</ul>"), wrapper.parse(f"<ul><li>x</li>{''.join(items)}</ul>")
+    assert sum(x.text == y.text for x, y in wrapper.match(a, b) if x.tag == "#text") == 300
+    deep = "<div>" * 400 + "<nav>Menu</nav>" + "<div><p>in</p></div>" + "</div>" * 400
+    page = f"<html><body><article><p>before</p>{deep}<p>after</p></article><p>outside</p></body></html>"
+    assert wrapper.extract(page, {}) == "before\n\nin\n\nafter"
+    assert wrapper.extract("<b>" * 50_000 + "x" + "</i>" * 50_000, {}) == "x"

@@ -29,6 +29,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,10 +49,6 @@ INNER_SHARE, INNER_PAGES = 0.9, 5
 #: Share of a page's varying text that no node named as chrome by its class or id alone holds.
 MOST = 0.5
 BROADCAST_BYTES = 32 << 20
-#: Most child pairs that one alignment of two nodes looks at; larger ones are aligned by their equal ends.
-MATCH_CELLS = 40_000
-#: Elements below this depth are siblings, as unclosed tags nest without end.
-MAX_DEPTH = 150
 
 #: Fixed values of HTML: elements without content, with raw content, and those that end a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -102,6 +99,7 @@ def parse(page: str | None) -> Node:
     """A DOM tree of a page; forgiving about what is not closed."""
     root = Node("#root")
     stack, at, page = [root], 0, page or ""
+    opened: Counter[str] = Counter()  # tags on the stack, so that an end tag without a start is told at any depth
     while True:
         token = _TOKEN.search(page, at)
         text = page[at : token.start() if token else len(page)]
@@ -114,36 +112,46 @@ def parse(page: str | None) -> Node:
             continue
         tag = token[2].lower()
         if token[1]:
-            _close(stack, tag)
+            _close(stack, opened, tag)
             continue
         if tag in CLOSES:
-            _close_siblings(stack, CLOSES[tag], LISTS)
+            _close_siblings(stack, opened, CLOSES[tag], LISTS)
         elif tag in BLOCK:
-            _close_siblings(stack, {"p"}, BLOCK - {"p"})
+            _close_siblings(stack, opened, {"p"}, BLOCK - {"p"})
         node = _element(tag, token[3])
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not token[3].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not token[3].rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _cut_at(stack: list[Node], opened: Counter[str], depth: int) -> None:
+    opened.subtract(node.tag for node in stack[depth:])
+    del stack[depth:]
+
+
+def _close(stack: list[Node], opened: Counter[str], tag: str) -> None:
+    if not opened[tag]:
+        return
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag == tag:
-            del stack[depth:]
+            _cut_at(stack, opened, depth)
             return
         if stack[depth].tag in BLOCK and tag not in BLOCK:
             return
 
 
-def _close_siblings(stack: list[Node], tags: set[str], stop: set[str]) -> None:
+def _close_siblings(stack: list[Node], opened: Counter[str], tags: set[str], stop: set[str]) -> None:
+    if not any(opened[tag] for tag in tags):
+        return
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag in stop:
             return
         if stack[depth].tag in tags:
-            del stack[depth:]
+            _cut_at(stack, opened, depth)
             return
 
 
@@ -182,10 +190,13 @@ def _matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     left, right = a.children, b.children
     if not left or not right:
         return 1, pairs
-    if len(left) * len(right) > MATCH_CELLS:
-        n = min(len(left), len(right))
-        found = [_matched(x, y) for x, y in zip(left[:n], right[:n], strict=True)]
-        return 1 + sum(s for s, _ in found), pairs + [p for _, ps in found for p in ps]
+    # equal ends match in every largest map
+    head = next((i for i, (x, y) in enumerate(zip(left, right, strict=False)) if x != y), min(len(left), len(right)))
+    most = min(len(left), len(right)) - head
+    tail = next((i for i in range(most) if left[-1 - i] != right[-1 - i]), most)
+    ends = [*zip(left[:head], right[:head], strict=True), *zip(left[len(left) - tail :], right[len(right) - tail :], strict=True)]
+    pairs += [p for x, y in ends for p in _matched(x, y)[1]]
+    left, right, score = left[head : len(left) - tail], right[head : len(right) - tail], len(pairs)
     below = [[_matched(x, y) if x.key == y.key else (0, []) for y in right] for x in left]
     size = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(1, len(left) + 1):
@@ -201,7 +212,7 @@ def _matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
         else:
             pairs.extend(below[i - 1][j - 1][1])
             i, j = i - 1, j - 1
-    return 1 + size[-1][-1], pairs
+    return score + size[-1][-1], pairs
 
 
 def _crc(key: str, above: int) -> int:
@@ -286,25 +297,21 @@ def extract(page: str | None, constants: dict[int | None, set[int]]) -> str:
             blocks.append(_WHITE.sub(" ", "".join(text for text, _ in run)).strip(" "))
         run.clear()
 
-    def walk(node: Node) -> None:
-        if id(node) in left_out:
+    # each entry is a node, or None where a block ends
+    stack: list[Node | None] = [top if not constant else root]
+    while stack:
+        node = stack.pop()
+        if node is None or id(node) in left_out:
             flush()
-            return
-        if node.tag == "#text":
+        elif node.tag == "#text":
             run.append((node.text, same[id(node)]))
-            return
-        if node.tag == "br":
+        elif node.tag == "br":
             run.append((" ", True))
-            return
-        block = node.tag in BLOCK
-        if block:
-            flush()
-        for child in node.children:
-            walk(child)
-        if block:
-            flush()
-
-    walk(top if not constant else root)
+        else:
+            if node.tag in BLOCK:
+                flush()
+                stack.append(None)
+            stack.extend(reversed(node.children))
     flush()
     return "\n\n".join(blocks)
 
