@@ -243,3 +243,21 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(none, bench).count() == 0
     assert re.search("slot", ",".join(sharding.shard(none, 3).columns))
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_texts_that_share_an_id_are_apart(spark, monkeypatch, limit):
+    """Null ids, and one id with two texts: each text is judged by what is known of itself."""
+    monkeypatch.setattr(substrings, "BROADCAST_IDS", limit)
+    text = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    passage = text("p", 25)
+    rows = [
+        (1, text("a", 40)), (None, text("a", 40)), (None, text("b", 50)), (None, text("c", 5)), (2, passage),
+        (None, f"{text('d', 90)} {passage}"), (7, text("e", 30)), (7, f"{text('f', 60)} {passage}"), (7, text("a", 40)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["n_words"], r["n_removed"]) for r in substrings.dedup_substrings(docs).collect()}
+    assert found == {(40, 0), (40, 40), (50, 0), (5, 0), (25, 0), (115, 25), (30, 0), (85, 25)}
+    same = [(None, f"{passage} {text('g', 30)}"), (None, f"{text('h', 30)} {passage}")]
+    removed = [r["n_removed"] for r in substrings.dedup_substrings(spark.createDataFrame(same, "doc_id long, text string")).collect()]
+    assert sorted(removed) == [0, 25]

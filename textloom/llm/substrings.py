@@ -15,7 +15,8 @@ Documents whose whole text equals an earlier one are not extended: all their wor
 at all.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep all; rows with one id and one
-text are the same document, and neither removes the other; a null id is after all others; an empty table gives an
+text are the same document, and neither removes the other; texts that share an id are documents of their own, ordered by
+their hash (``sub``, 0 for an id with one text); a null id is after all others; an empty table gives an
 empty result; the operator takes the columns it needs and adds nothing to others.
 """
 
@@ -34,7 +35,7 @@ from textloom.llm.wordcodes import Texts, owners, slices, windows
 from textloom.session import ensure_checkpoint_dir
 
 WINDOW = 20
-#: Ids (8 bytes each) that are broadcast at most.
+#: Ids and hashes (16 bytes each row) that are broadcast at most.
 BROADCAST_IDS = 2_000_000
 _LAST = (1 << 63) - 1
 
@@ -44,31 +45,32 @@ def _block_rows(n: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, subs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "sub"))
             for texts in slices(batch.column("text")):
                 start, end, first = texts.spans()
                 codes, inside = windows(texts.hashes(start, end), first, block)
                 place = np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))
                 at = np.flatnonzero(inside)
-                codes, place, owner = codes[at], place[at], ids[texts.lo : texts.hi][owners(first)[at]]
+                codes, place, owner = codes[at], place[at], texts.lo + owners(first)[at]
                 rows: list[tuple] = []
                 for b, members in buckets.deal(codes, n):
                     aligned = members[place[members] % block == 0]
                     rows.append(
                         (b, buckets.low(codes[members]).tobytes(), buckets.low(codes[aligned]).tobytes(),
-                         owner[aligned].astype(np.int64).tobytes(), (place[aligned] // block).astype(np.uint32).tobytes())
+                         ids[owner[aligned]].astype(np.int64).tobytes(), subs[owner[aligned]].astype(np.int64).tobytes(),
+                         (place[aligned] // block).astype(np.uint32).tobytes())
                     )
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)],
-                        names=["bucket", "probes", "blocks", "ids", "places"],
+                        names=["bucket", "probes", "blocks", "ids", "subs", "places"],
                     )
 
     return run
 
 
-_BLOCK_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-_BLOCK_SCHEMA = "bucket int, probes binary, blocks binary, ids binary, places binary"
+_BLOCK_TYPES = [pa.int32(), *[pa.binary()] * 5]
+_BLOCK_SCHEMA = "bucket int, probes binary, blocks binary, ids binary, subs binary, places binary"
 
 
 def _met(table: pa.Table) -> pa.Table:
@@ -77,9 +79,10 @@ def _met(table: pa.Table) -> pa.Table:
     blocks = buckets.joined(table.column("blocks").to_pylist(), np.uint32)
     count = np.searchsorted(probes, blocks, side="right") - np.searchsorted(probes, blocks, side="left")
     met = count > 1
-    ids = buckets.joined(table.column("ids").to_pylist(), np.int64)[met]
+    ids, subs = (buckets.joined(table.column(c).to_pylist(), np.int64)[met] for c in ("ids", "subs"))
     places = buckets.joined(table.column("places").to_pylist(), np.uint32)[met]
-    return pa.table({"id": pa.array(ids, pa.int64()), "place": pa.array(places.astype(np.int64), pa.int64())})
+    named = {"id": pa.array(ids, pa.int64()), "sub": pa.array(subs, pa.int64())}
+    return pa.table({**named, "place": pa.array(places.astype(np.int64), pa.int64())})
 
 
 def _candidates(texts: Texts, places: list[list[int]], window: int):
@@ -102,19 +105,20 @@ def _candidates(texts: Texts, places: list[list[int]], window: int):
 def _window_rows(n: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column("id").to_numpy(), batch.column("places").to_pylist()
+            ids, subs, places = batch.column("id").to_numpy(), batch.column("sub").to_numpy(), batch.column("places").to_pylist()
             for texts in slices(batch.column("text")):
                 codes, whose, position = _candidates(texts, places[texts.lo : texts.hi], window)
-                owner = ids[texts.lo : texts.hi][whose]
+                owner = texts.lo + whose
                 rows = [
-                    (b, codes[m].tobytes(), owner[m].astype(np.int64).tobytes(), position[m].astype(np.uint32).tobytes())
+                    (b, codes[m].tobytes(), ids[owner[m]].astype(np.int64).tobytes(), subs[owner[m]].astype(np.int64).tobytes(),
+                     position[m].astype(np.uint32).tobytes())
                     for b, m in buckets.deal(codes, n)
-                ]
+                ]
                 if rows:
-                    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    kinds = [pa.int32(), *[pa.binary()] * 4]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                        names=["bucket", "codes", "ids", "positions"],
+                        names=["bucket", "codes", "ids", "subs", "positions"],
                     )
 
     return run
@@ -123,25 +127,26 @@ def _window_rows(n: int, window: int):
 def _later(table: pa.Table) -> pa.Table:
     """Places of the windows that start earlier elsewhere, packed by document."""
     codes = buckets.joined(table.column("codes").to_pylist(), np.uint64)
-    ids = buckets.joined(table.column("ids").to_pylist(), np.int64)
+    ids, subs = (buckets.joined(table.column(c).to_pylist(), np.int64) for c in ("ids", "subs"))
     positions = buckets.joined(table.column("positions").to_pylist(), np.uint32)
-    order = np.lexsort((positions, ids, codes))
-    codes, ids, positions = codes[order], ids[order], positions[order]
+    order = np.lexsort((positions, subs, ids, codes))
+    codes, ids, subs, positions = codes[order], ids[order], subs[order], positions[order]
     new = np.ones(len(codes), dtype=bool)
     new[1:] = codes[1:] != codes[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(codes)), 0))
-    late = (ids != ids[head]) | (positions != positions[head])
-    ids, positions = ids[late], positions[late]
-    order = np.argsort(ids, kind="stable")
-    ids, positions = ids[order], positions[order]
-    cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
+    late = (ids != ids[head]) | (subs != subs[head]) | (positions != positions[head])
+    ids, subs, positions = ids[late], subs[late], positions[late]
+    order = np.lexsort((subs, ids))
+    ids, subs, positions = ids[order], subs[order], positions[order]
+    cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (subs[1:] != subs[:-1])])) if len(ids) else np.zeros(0, dtype=np.int64)
     ends = np.append(cut[1:], len(ids))[: len(cut)]
     packed = [positions[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
-    return pa.table({"id": pa.array(ids[cut], pa.int64()), "late": pa.array(packed, pa.binary())})
+    named = {"id": pa.array(ids[cut], pa.int64()), "sub": pa.array(subs[cut], pa.int64())}
+    return pa.table({**named, "late": pa.array(packed, pa.binary())})
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-_PENDING = f"{_RESULT}, id long, text string, places array<long>"
+_PENDING = f"{_RESULT}, id long, sub long, text string, places array<long>"
 
 
 def _finished(names: list[str], window: int, keep_text: bool):
@@ -153,7 +158,7 @@ def _finished(names: list[str], window: int, keep_text: bool):
             out: list[tuple] = []
             for i, text in enumerate(row["text"]):
                 if row["places"][i] is not None:
-                    out.append((row["doc_id"][i], None, None, None, None, row["id"][i], text, row["places"][i]))
+                    out.append((row["doc_id"][i], None, None, None, None, row["id"][i], row["sub"][i], text, row["places"][i]))
                     continue
                 words = (text or "").encode().split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
@@ -169,10 +174,10 @@ def _finished(names: list[str], window: int, keep_text: bool):
                 kept = b" ".join(words)
                 digest = hashlib.sha256(kept).hexdigest()
                 own = kept.decode() if keep_text else None
-                out.append((row["doc_id"][i], len(covered), int(covered.sum()), own, digest, row["id"][i], None, None))
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.list_(pa.int64())]
+                out.append((row["doc_id"][i], len(covered), int(covered.sum()), own, digest, row["id"][i], row["sub"][i], None, None))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-            fields = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "id", "text", "places"]
+            fields = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "id", "sub", "text", "places"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=fields)
 
     return run
@@ -188,44 +193,54 @@ def dedup_substrings(
     """
     ensure_checkpoint_dir(docs.sparkSession)
     block = window // 2
+    both = ["id", "sub"]
     own = docs.select(
         F.col(key).alias("doc_id"),
         F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    hashed = own.select("id", F.md5("text").alias("sum"), F.length("text").alias("size"))
+    # ids (null is one) with more than one text: these are told apart by a hash of the text
+    told_apart = F.xxhash64("text").alias("sub")
+    many = own.select("id", told_apart).groupBy("id").agg(F.min("sub").alias("a"), F.max("sub").alias("b")).filter("a <> b")
+    many = many.select("id", F.lit(True).alias("many")).checkpoint()
+    if many.count() <= BROADCAST_IDS:
+        own = own.join(F.broadcast(many), "id", "left")
+        own = own.withColumn("sub", F.when(F.col("many"), told_apart).otherwise(0)).drop("many")
+    else:
+        own = own.withColumn("sub", told_apart)
+    hashed = own.select("id", "sub", F.md5("text").alias("sum"), F.length("text").alias("size"))
     total = hashed.agg(F.sum("size")).first()[0] or 0
     firsts = hashed.groupBy("sum").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     firsts = firsts.checkpoint()  # small; joined as a table of its own, so a large group of copies can be split
-    copies = hashed.join(firsts, "sum").filter("id > first").select("id", F.lit(True).alias("copy")).distinct()
+    copies = hashed.join(firsts, "sum").filter("id > first").select("id", "sub", F.lit(True).alias("copy")).distinct()
 
-    rows = own.select("id", "text").mapInArrow(_block_rows(buckets.n_buckets(total // 4), block), _BLOCK_SCHEMA)
-    met = rows.groupBy("bucket").applyInArrow(_met, "id long, place long")
-    met = met.groupBy("id").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    about = met.join(copies, "id", "full").withColumn("places", F.when(F.col("copy").isNull(), F.col("places")))
+    rows = own.select("id", "sub", "text").mapInArrow(_block_rows(buckets.n_buckets(total // 4), block), _BLOCK_SCHEMA)
+    met = rows.groupBy("bucket").applyInArrow(_met, "id long, sub long, place long")
+    met = met.groupBy(both).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    about = met.join(copies, both, "full").withColumn("places", F.when(F.col("copy").isNull(), F.col("places")))
     about = about.checkpoint()
 
     # texts about which nothing is known are finished where they are read; the others move to meet what is known
-    names = ["id", "doc_id", "text", "copy", "late", "places"]
+    names = ["id", "sub", "doc_id", "text", "copy", "late", "places"]
     blank = {"copy": F.lit(None).cast("boolean"), "late": F.lit(None).cast("array<binary>"), "places": F.lit(None).cast("array<long>")}
-    ids = about.select("id")
+    ids = about.select(both)
     if about.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-        told = own.join(ids, "id", "left_semi").join(about, "id").withColumn("late", F.lit(None).cast("array<binary>"))
-        plain = own.join(ids, "id", "left_anti").withColumns(blank)
+        told = own.join(ids, both, "left_semi").join(about, both).withColumn("late", F.lit(None).cast("array<binary>"))
+        plain = own.join(ids, both, "left_anti").withColumns(blank)
     else:
-        told = own.join(about, "id", "left").withColumn("late", F.lit(None).cast("array<binary>"))
+        told = own.join(about, both, "left").withColumn("late", F.lit(None).cast("array<binary>"))
         plain = None
     first = told.select(names).mapInArrow(_finished(names, window, keep_text), _PENDING).checkpoint()
     result = [c.split()[0] for c in _RESULT.split(", ")]
     pending = first.filter("places is not null")
     n_windows = (pending.agg(F.sum(F.size("places")).cast("long")).first()[0] or 0) * block
-    found = pending.select("id", "text", "places").mapInArrow(
-        _window_rows(buckets.n_buckets(n_windows), window), "bucket int, codes binary, ids binary, positions binary"
+    found = pending.select("id", "sub", "text", "places").mapInArrow(
+        _window_rows(buckets.n_buckets(n_windows), window), "bucket int, codes binary, ids binary, subs binary, positions binary"
     )
-    late = found.groupBy("bucket").applyInArrow(_later, "id long, late binary")
-    late = late.groupBy("id").agg(F.collect_list("late").alias("late"))
-    marked = pending.drop("places").join(late, "id", "left").withColumns(
+    late = found.groupBy("bucket").applyInArrow(_later, "id long, sub long, late binary")
+    late = late.groupBy(both).agg(F.collect_list("late").alias("late"))
+    marked = pending.drop("places").join(late, both, "left").withColumns(
         {"copy": F.lit(None).cast("boolean"), "places": F.lit(None).cast("array<long>")}
     )
     extended = marked.select(names).mapInArrow(_finished(names, window, keep_text), _PENDING)
