@@ -261,3 +261,15 @@ def test_texts_that_share_an_id_are_apart(spark, monkeypatch, limit):
     same = [(None, f"{passage} {text('g', 30)}"), (None, f"{text('h', 30)} {passage}")]
     removed = [r["n_removed"] for r in substrings.dedup_substrings(spark.createDataFrame(same, "doc_id long, text string")).collect()]
     assert sorted(removed) == [0, 25]
+
+
+def test_null_and_repeated_ids_keep_their_clean_texts(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, f"{text('c')} more"), (4, text("d")), (4, text("e")), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r["text"] for r in jaccard_join.deduplicate(docs).collect()]
+    assert sorted(t or "" for t in kept) == sorted(["", text("a"), text("b"), f"{text('c')} more", text("d"), text("e")])
+    bench = spark.createDataFrame([(1, text("a")), (2, text("d"))], "item_id long, text string")
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(r["text"] or "" for r in clean.collect()) == sorted(["", text("b"), text("b"), f"{text('c')} more", text("e")])

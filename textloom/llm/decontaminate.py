@@ -13,7 +13,7 @@ Everything is DataFrame functions. The test items' hashes are broadcast when the
 broadcast join: it is hashed and probed in one code-generated stage, and only verified hits leave it.
 
 Defined results: null and empty texts match nothing; items with fewer than ``min_tokens`` tokens match nothing;
-repeated rows of one id count as one document in the report and are all removed by ``decontaminate``; equal items
+repeated rows of one id count as one document in the report; ``decontaminate`` goes by id and text; equal items
 are reported each; null ids are kept as ids of their own; empty tables give empty results; other columns pass
 through, whatever their names.
 """
@@ -125,9 +125,11 @@ def overlaps(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item; all columns of ``docs``."""
-    leaked = overlaps(docs, items, key, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs[key].eqNullSafe(leaked["__leaked"]), "left_anti")
+    """The documents that hold no item; all columns of ``docs``. A leak removes the rows with its id and its text."""
+    row = F.xxhash64(F.col(key), F.col(options.get("text", "text")))
+    keyed = docs.withColumn("__row", row)
+    leaked = overlaps(keyed, items, "__row", **options).select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(leaked, "__row", "left_anti").select(*docs.columns)
 
 
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
