@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import chain, sampling
-from textloom.llm.wordcodes import Texts, owners, per_text, repeated, slices, windows
+from textloom.llm.wordcodes import CONTINUES, Texts, owners, per_text, repeated, slices, windows
 
 FIT_DOCS = 3000
-#: Bytes of text measured at once; the running counts of character kinds take some 100 bytes for each.
+#: Bytes of text measured at once.
 SLICE = 1 << 20
 MIN_CONTENT = 0.5
 MIN_WORDS = 50
@@ -35,26 +35,28 @@ EDGES = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
 N_SHARES = 7
 N_FEATURES = N_SHARES * (len(EDGES) + 1) + 8 + 8 + 3 + 1
 
-_KIND = np.zeros((256, 5), dtype=np.int64)
-_KIND[[ord(c) for c in SYMBOLS], 0] = 1
-_KIND[65:91, 1] = 1
-_KIND[48:58, 2] = 1
-_KIND[[ord(c) for c in "!?"], 3] = 1
-_KIND[[ord(c) for c in ".,;:"], 4] = 1
+def _kind(*codes: int) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(codes)] = True
+    return table
+
+
+#: Symbols, capitals, digits, and two kinds of marks.
+_KINDS = [_kind(*map(ord, SYMBOLS)), _kind(*range(65, 91)), _kind(*range(48, 58)), _kind(*map(ord, "!?")), _kind(*map(ord, ".,;:"))]
 
 
 class Measured:
     """The counts and the line features of a slice of texts."""
 
     def __init__(self, texts: Texts) -> None:
-        data, off = texts.data, texts.off
+        off = texts.off
         start, end, first = texts.spans()
         self.n_words = np.diff(first)
-        code_points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
-        word_chars = code_points[end] - code_points[start]
+        continued = texts.tally(CONTINUES)
+        word_chars = end - start - continued.between(start, end)
         self.word_chars = per_text(first, word_chars)
-        kinds = np.concatenate([np.zeros((1, 5), dtype=np.int64), np.cumsum(_KIND[data], axis=0)])
-        self.n_symbols = kinds[off[1:], 0] - kinds[off[:-1], 0]
+        kinds = [texts.tally(kind) for kind in _KINDS]
+        self.n_symbols = kinds[0].between(off[:-1], off[1:])
 
         owner = owners(first)
         codes = texts.hashes(start, end)
@@ -80,8 +82,8 @@ class Measured:
         self.line_words = words[real]
         self.line_first = np.searchsorted(real, l_first)
         self.features = self._lines(
-            kinds[l_end[real]] - kinds[l_start[real]],
-            (code_points[l_end] - code_points[l_start])[real],
+            np.stack([kind.between(l_start[real], l_end[real]) for kind in kinds], axis=1),
+            l_end[real] - l_start[real] - continued.between(l_start[real], l_end[real]),
             np.concatenate([[0], np.cumsum(word_chars)])[np.stack(line_word)[:, real]],
             np.concatenate([[0], np.cumsum(many)])[np.stack(line_word)[:, real]],
             np.concatenate([[0], np.cumsum(np.concatenate([[False], codes[1:] == codes[:-1]])[: len(codes)])])[

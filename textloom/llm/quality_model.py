@@ -22,24 +22,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import chain, sampling
-from textloom.llm.wordcodes import Texts, owners, repeated, slices, windows
+from textloom.llm.wordcodes import CONTINUES, Texts, owners, repeated, slices, windows
 
 FIT_DOCS = 3000
-#: Bytes of text measured at once; the running counts of character kinds take some 100 bytes for each.
+#: Bytes of text measured at once.
 SLICE = 1 << 20
 PASSAGE = 64
 HIDDEN = 24
 GATE = 12
 THRESHOLD = 0.7
 
-_KIND = np.zeros((256, 7), dtype=np.int64)
-_KIND[65:91, 0] = 1
-_KIND[48:58, 1] = 1
-_KIND[[ord(c) for c in "#*$%&|<>"], 2] = 1
-_KIND[[ord(c) for c in "!?"], 3] = 1
-_KIND[[ord(c) for c in ".,;:"], 4] = 1
-_KIND[[ord(c) for c in "\"'()[]{}/\\=+-_@^~`"], 5] = 1
-_KIND[10, 6] = 1
+def _kind(codes: str) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[[ord(c) for c in codes]] = True
+    return table
+
+
+_KINDS = [
+    _kind(c)
+    for c in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>", "!?", ".,;:", "\"'()[]{}/\\=+-_@^~`", "\n")
+]
 N_FEATURES = 14
 
 
@@ -59,13 +61,13 @@ def passages(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
         return sums[hi] - sums[lo]
 
-    code_points = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80, dtype=np.int64)])
-    kinds = np.concatenate([np.zeros((1, 7), dtype=np.int64), np.cumsum(_KIND[texts.data], axis=0)])
+    continued = texts.tally(CONTINUES)
     byte_lo = np.where(words > 0, np.append(start, 0)[np.minimum(lo, len(start))], 0)
     byte_hi = np.where(words > 0, np.append(end, 0)[np.maximum(hi - 1, 0)], 0)
-    chars = np.maximum(code_points[byte_hi] - code_points[byte_lo], 1)
-    shares = np.sqrt((kinds[byte_hi] - kinds[byte_lo]) / chars[:, None])
-    length = code_points[end] - code_points[start]
+    chars = np.maximum(byte_hi - byte_lo - continued.between(byte_lo, byte_hi), 1)
+    kinds = np.stack([texts.tally(kind).between(byte_lo, byte_hi) for kind in _KINDS], axis=1)
+    shares = np.sqrt(kinds / chars[:, None])
+    length = end - start - continued.between(start, end)
     mean = total(length) / some
     spread = np.sqrt(np.maximum(total(length * length) / some - mean * mean, 0))
     codes, owner = texts.hashes(start, end), owners(first)

@@ -2,7 +2,8 @@
 
 Texts arrive as Arrow string columns. Their bytes are used where they lie: word and line boundaries, 64-bit hashes of
 words, lines and word windows come from a few vectorized passes over a slice of about ``SLICE_BYTES`` of text, so the
-memory of a task does not depend on the size of its partition (one very long text is one slice).
+memory of a task does not depend on the size of its partition. One very long text is one slice; hashes are made in runs
+of ``RUN_BYTES`` there too, and what else is kept is a byte for each byte and some numbers for each word.
 
 A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 """
@@ -25,19 +26,23 @@ _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 AS_IS = np.arange(256, dtype=np.uint8)
+#: Bytes that continue a code point.
+CONTINUES = (np.arange(256) & 0xC0) == 0x80
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = AS_IS.copy()
 LOWER[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at once, and the powers that weigh them.
+RUN_BYTES = 1 << 18
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        factors = np.full(max(n, SLICE_BYTES), base, dtype=np.uint64)
-        factors[0] = 1
-        _powers[base] = np.cumprod(factors)
-    return _powers[base][:n]
+def _powers(base: int) -> np.ndarray:
+    factors = np.full(RUN_BYTES + 1, base, dtype=np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(_INVERSE)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,13 +85,47 @@ class Texts:
         return start, end, n_breaks + np.arange(len(self.off))
 
     def hashes(self, start: np.ndarray, end: np.ndarray, fold: np.ndarray = AS_IS) -> np.ndarray:
-        """A hash of the bytes ``start:end`` of each span, after ``fold``."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((fold[self.data].astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-        code = (sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start]
+        """A hash of the bytes ``start:end`` of each span, after ``fold``; starts and ends ascend."""
+        code = np.zeros(len(start), dtype=np.uint64)
+        at = 0
+        while at < len(start):
+            lo = int(start[at])
+            stop = max(at + 1, int(np.searchsorted(end, lo + RUN_BYTES, side="right")))
+            hi = int(end[stop - 1])
+            if hi - lo <= RUN_BYTES:
+                sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+                np.cumsum(self._weighed(lo, hi, fold), out=sums[1:])
+                begin = start[at:stop] - lo
+                code[at:stop] = (sums[end[at:stop] - lo] - sums[begin]) * _INVERSES[begin]
+            else:  # one span longer than a run
+                total = 0
+                for k, piece in enumerate(range(lo, hi, RUN_BYTES)):
+                    part = int(self._weighed(piece, min(piece + RUN_BYTES, hi), fold).sum(dtype=np.uint64))
+                    total += part * pow(_BASE, k * RUN_BYTES, 1 << 64)
+                code[at] = np.uint64(total % (1 << 64))
+            at = stop
         return mixed(code + (end - start).astype(np.uint64))
 
+    def _weighed(self, lo: int, hi: int, fold: np.ndarray) -> np.ndarray:
+        return (fold[self.data[lo:hi]].astype(np.uint64) + np.uint64(1)) * _POWERS[: hi - lo]
+
+    def tally(self, kind: np.ndarray) -> Tally:
+        """Where bytes of a kind (a table of 256) are."""
+        return Tally(np.flatnonzero(kind[self.data]))
+
+
+class Tally:
+    """Counts of a kind of byte in spans; holds a number for each such byte only."""
+
+    def __init__(self, places: np.ndarray) -> None:
+        self.places = places
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many are in ``lo:hi`` of each span."""
+        if not len(self.places):
+            return np.zeros(len(lo), dtype=np.int64)
+        return np.searchsorted(self.places, hi) - np.searchsorted(self.places, lo)
+
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """Cut a string column into slices; nulls are empty texts."""
