@@ -71,8 +71,9 @@ def test_components_equal_brute_force(docs, k, num, den):
 
 
 def test_large_family_in_many_groups(spark, monkeypatch):
-    """Groups of four documents: leaders, settled clusters and opened groups all take part."""
-    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    """Groups of four documents: leaders, settled clusters, blocks of the matrix and opened groups all take part."""
+    monkeypatch.setattr(jaccard_join, "QUERIES", 3)
+    monkeypatch.setattr(jaccard_join, "UNIONS", 2)
     monkeypatch.setattr(jaccard_join.family_links, "__defaults__", (4,))
     r = random.Random(3)
     base = [f"w{i}" for i in range(60)]
