@@ -143,12 +143,46 @@ def test_decontamination_tolerates_substitutions(spark):
     bench = spark.createDataFrame(items + items[:1], "item_id long, text string")
     docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     for limit in (1_000_000, 0):
-        found = decontaminate.overlaps(docs, bench, broadcast_seeds=limit).collect()
-        assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, i) for i in range(8)]
+        found = decontaminate.overlaps(docs, bench, broadcast_rows=limit).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in found) == [*((i, i) for i in range(8)), (102, 8)]
         assert {r["doc_id"]: r["n_matched"] for r in found}[3] == 27
     clean = decontaminate.decontaminate(docs, bench)
     assert clean.columns == docs.columns
-    assert sorted(r["doc_id"] for r in clean.collect()) == [*range(8, 40), 100, 101, 102, 103]
+    assert sorted(r["doc_id"] for r in clean.collect()) == [*range(8, 40), 100, 101, 103]
+
+
+def brute_overlaps(docs: list[tuple], items: list[tuple]) -> set[tuple]:
+    """Every item at every place of every document: a share of 0.6 and 8 tokens, or a whole item of fewer than 8."""
+    found = set()
+    for i, text in docs:
+        w = (text or "").split()
+        for j, item in items:
+            t = (item or "").split()
+            for s in range(-len(t), len(w)):
+                n = sum(0 <= s + k < len(w) and w[s + k] == x for k, x in enumerate(t))
+                if t and (n == len(t) or (len(t) >= 8 and n >= max(8, 0.6 * len(t)))):
+                    found.add((i, j, n))
+    return {(i, j, max(n for a, b, n in found if (a, b) == (i, j))) for i, j, _ in found}
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Texts of few words, so that items overlap with many documents by chance; white space of all kinds; repeats."""
+    r = random.Random(8)
+    word = lambda: r.choice("abcdefghijklmnopqrst") * 2
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((3, 7, 8, 9, 12, 15, 20, 21))]
+    docs = []
+    for i in range(60):
+        leak = items[i % 8][1].split()
+        for _ in range(min(i // 12, max(0, len(leak) - 8) // 3)):
+            leak[r.randrange(len(leak))] = word()
+        body = [word() for _ in range(r.randint(0, 40))]
+        at = r.randint(0, len(body))
+        docs.append((i, " ".join(body[:at] + leak + body[at:])))
+    docs += [(100, items[6][1].replace(" ", "\u00a0")), (101, items[6][1].replace(" ", "\u3000")), (102, "xx " * 3000), (103, "xx")]
+    items += [(20, "xx " * 30), (21, "xx yy"), (22, None)]
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(x["doc_id"], x["item_id"], x["n_matched"]) for x in found.collect()}
+    assert found == brute_overlaps(docs, items)
 
 
 def plain_targets(sizes: dict, weights, most: int) -> dict:
