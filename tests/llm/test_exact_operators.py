@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,16 +239,59 @@ def test_flight_keeps_both_totals():
     assert set(mixing.flight(sizes, chances, random.Random(9), True)) == {0.0, 1.0}
 
 
-def test_shards_are_near_equal_and_gapless(spark, docs):
+def test_mix_keeps_large_ids_and_clashing_columns(spark):
+    rows = [((1 << 60) + i, "w " * (i + 1), "en", "s", 0) for i in range(9)] + [(None, "w w", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"row_key": F.lit(7), "__row": F.lit(8), "__Copies": F.lit(9)})
+    assert {r["doc_id"] for r in mixing.mix(docs).collect()} == {r[0] for r in rows}
+    out = mixing.take(docs)
+    assert out.columns == docs.columns
+    assert {(r["row_key"], r["__row"], r["__Copies"]) for r in out.collect()} == {(7, 8, 9)}
+    numbers = docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, (1 << 60) + 1))
+    assert {r["source"] for r in mixing.mix(numbers).collect()} == {None, (1 << 60) + 1}
+
+
+def test_shards_equal_plain_placement(spark, docs):
     many = docs.select(F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k"), "*").withColumn("doc_id", F.col("doc_id") * 50 + F.col("k"))
-    placed = sharding.shard(many.withColumn("slot", F.lit("clash")), 7).collect()
-    held, slots = {}, {}
+    many = many.unionByName(many.filter("k < 9").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(many.filter("k = 3"))
+    many = many.withColumns({"slot": F.lit("clash"), "slot_offset": F.lit(5), "__part": F.lit(6)})
+    placed = sharding.shard(many, 7).collect()
+    assert len(placed) == many.count() and all((r["slot_offset"], r["__part"]) == (5, 6) for r in placed)
+    sizes: dict[int, int] = {}
     for r in placed:
-        assert r["size"] == len((r["text"] or "").encode()) + 8 and r["grown_shard"] is None
-        held[r["shard"]] = held.get(r["shard"], 0) + r["size"]
-        slots.setdefault(r["shard"], []).append(r["slot"])
-    assert max(held.values()) < 1.05 * min(held.values())
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert r["size"] == len((r["text"] or "").encode()) + 8 and r["grown_shard"] is None and r["law"] == "bytes"
+        assert r["text_crc32"] == (None if r["text"] is None else zlib.crc32(r["text"].encode()))
+        sizes[r["vslot"]] = sizes.get(r["vslot"], 0) + r["size"]
+    held, count, home = [0] * 7, [0] * 7, {}
+    for v in sorted(sizes, key=lambda v: (-sizes[v], v)):
+        home[v] = min(range(7), key=lambda s: (held[s], count[s], s))
+        held[home[v]] += sizes[v]
+        count[home[v]] += 1
+    assert {(r["vslot"], r["shard"]) for r in placed} <= set(home.items())
+    assert max(held) < 1.05 * min(held)
+    slots: dict[int, list] = {}
+    for r in sorted(placed, key=lambda r: r["slot"]):
+        slots.setdefault(r["shard"], []).append((r["slot"], r["vslot"]))
+    for s in slots.values():
+        assert [x[0] for x in s] == list(range(len(s))) and [x[1] for x in s] == sorted(x[1] for x in s)
+    nulls = {r["vslot"] for r in placed if r["doc_id"] is None}
+    assert len(nulls) > 50  # null ids are no hot slot
+
+
+def test_stored_map_is_edited(spark, docs, tmp_path):
+    """New bytes in a few slots: the next run edits the stored map and moves few slots; a third one leaves it."""
+    path = str(tmp_path / "maps")
+    sizes = {v: 1000 for v in range(256)}
+    first = sharding.current_map(spark, path, sizes, 8, 256)
+    assert first.version == 1 and sharding.current_map(spark, path, sizes, 8, 256) == first
+    sizes |= {v: 2000 for v in range(256) if first.shards[v] == 3}
+    second = sharding.current_map(spark, path, sizes, 8, 256)
+    moved = sum(a != b for a, b in zip(first.shards, second.shards, strict=True))
+    assert second.version == 2 and 0 < moved < 32
+    assert sharding.current_map(spark, path, sizes, 8, 256) == second
+    grown = sharding.current_map(spark, path, sizes, 9, 256)
+    assert grown.version == 3 and {b for a, b in zip(second.shards, grown.shards, strict=True) if a != b} == {8}
+    sharding.write_map(spark, grown, path)  # a retry
+    assert sharding.read_map(spark, path) == grown and sharding.read_map(spark, path, 1) == first
 
 
 def test_map_versions(spark, tmp_path):

@@ -80,6 +80,25 @@ def test_line_rules_on_odd_rows(spark, odd, tables):
     assert line_rules.judge(odd.limit(0), model).count() == 0
 
 
+def test_lines_of_one_document_differ(tables):
+    """Latent states: a line that many documents share is boilerplate in good documents too."""
+    model = line_rules.fit(tables["documents"], tables["labels"])
+    shares = [r["content_share"] for r in line_rules.judge(tables["documents"], model).collect() if not r["base_failed"]]
+    assert len(model.known) and np.mean([0.02 < s < 0.98 for s in shares]) > 0.05
+    codes = np.array([5, 6, 7, 5, 8, 5, 9, 5, 6, 7], dtype=np.uint64)
+    first = np.array([0, 3, 5, 5, 7, 10])
+    assert line_rules.recurring(codes, first).tolist() == []  # the last document is a copy; two others begin with 5 as well
+    chance = np.array([0.9, 0.2, 0.1, 0.4, 0.3])
+    content = line_rules.constrained(chance, np.array([1, 1, 1, 5, 5]), np.array([0, 3, 5]), np.array([0, 1]))
+    assert content.tolist() == [True, False, False, True, False]
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the cat and dog number {i % 7} are here", "en") for i in range(400)] + [(1001, "ein hund und eine katze sind da", "de")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), limit=20)
+    assert model.names == ["de", "en"]
+
+
 def test_language_of_held_out_documents(tables):
     model = language.fit(tables["documents"])
     rows = language.identify(tables["documents"], model).filter(F.expr("crc32(cast(doc_id as string)) % 4 = 2")).collect()
@@ -111,12 +130,44 @@ def test_quality_of_held_out_documents(tables, odd):
     assert {r["score"] for r in quality_model.score(odd, constant).collect()} == {0.5}
 
 
+def bags(rng, n_bags: int):
+    sizes = rng.integers(0, 4, size=3 * n_bags)
+    words = rng.integers(0, 50, size=sizes.sum())
+    return rng.normal(size=(3 * n_bags, quality_model.N_FEATURES)), words, sizes, np.arange(0, 3 * n_bags + 1, 3)
+
+
 def test_attention_gradient():
+    """Each weight's gradient against a small step."""
     rng = np.random.default_rng(1)
     model = quality_model.AttentionModel(np.zeros(quality_model.N_FEATURES), np.ones(quality_model.N_FEATURES))
-    x, first = rng.normal(size=(60, quality_model.N_FEATURES)), np.arange(0, 61, 3)
+    told = bags(rng, 12)
+    label = np.arange(12) % 3 == 0
+    share = label.mean()
+    weigh = np.where(label, 0.5 / share, 0.5 / (1 - share)) / 12
+
+    def value() -> float:
+        p = model.forward(*told)[0]
+        return float((weigh * np.log(np.where(label, p, 1 - p))).sum())
+
+    grads = model.gradient(*told, label.astype(float))
+    for name, grad in grads.items():
+        for k in rng.integers(0, grad.size, size=6) if name != "words" else told[1][:6] * quality_model.VECTOR:
+            flat = model.w[name].reshape(-1)
+            kept, step = flat[k], 1e-5
+            flat[k] = kept + step
+            up = value()
+            flat[k] = kept - step
+            down = value()
+            flat[k] = kept
+            assert grad.reshape(-1)[k] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-8), name
+
+
+def test_attention_learns_which_passage_matters():
+    rng = np.random.default_rng(2)
+    model = quality_model.AttentionModel(np.zeros(quality_model.N_FEATURES), np.ones(quality_model.N_FEATURES))
+    x, words, sizes, first = bags(rng, 40)
     label = (np.maximum.reduceat(x[:, 0], first[:-1]) > 0.8).astype(float)
-    found = model.learn(x, first, label, rounds=300).forward(x, first)[0]
+    found = model.learn(x, words, sizes, first, label, rounds=300).forward(x, words, sizes, first)[0]
     assert np.mean((found > 0.5) == label) > 0.95
 
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.columns import unused
 from textloom.session import ensure_checkpoint_dir
 
 #: Fixed masks; 1 marks a position that counts.
@@ -148,12 +149,12 @@ def overlaps(
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no item; all columns of ``docs``. A leak removes the rows with its id and its text."""
-    row = F.xxhash64(F.col(key), F.col(options.get("text", "text")))
-    keyed = docs.withColumn("__row", row)
-    leaked = overlaps(keyed, items, "__row", **options).select(F.col("doc_id").alias("__row")).distinct().checkpoint()
+    row = unused(docs.columns, "__row")
+    keyed = docs.withColumn(row, F.xxhash64(F.col(key), F.col(options.get("text", "text"))))
+    leaked = overlaps(keyed, items, row, **options).select(F.col("doc_id").alias(row)).distinct().checkpoint()
     if leaked.count() <= options.get("broadcast_rows", BROADCAST_ROWS):
         leaked = F.broadcast(leaked)
-    return keyed.join(leaked, "__row", "left_anti").select(*docs.columns)
+    return keyed.join(leaked, row, "left_anti").select(*docs.columns)
 
 
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

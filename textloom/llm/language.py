@@ -5,9 +5,10 @@ weights of its letter pairs and triples (with its boundaries), its first and las
 (a hashed lexicon), moves between languages have learned weights, and forward-backward gives each word's
 probabilities. A text's language is the one with the largest sum over its words; the score is its share.
 
-The chain is fitted on at most ``FIT_DOCS`` documents of the documents that are not held out. As these have one
-language each, their words are cut into short pieces that are joined into code-switched sequences, so that moves are
-learned too. Words without a letter say nothing and take their language from their neighbours.
+The chain is fitted on all words of at most ``FIT_DOCS`` documents of each language that the documents not held out
+have, however rare. As these have one language each, their words are cut into short pieces that are joined into
+code-switched sequences, so that moves are learned too. Words without a letter say nothing and take their language from
+their neighbours.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the first language in
 order; repeated rows are judged each; when nothing can be learned every text is ``und``; an empty table gives an empty
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 from textloom.llm import chain, sampling
 from textloom.llm.wordcodes import LOWER, Texts, per_text, slices
 
-FIT_DOCS = 1500
-#: Words taken from the joined pieces of the fit at most.
-FIT_WORDS = 150_000
+#: Documents of each language that the fit takes at most.
+FIT_DOCS = 150
 BUCKETS = 1 << 16
 PIECE = 12
 KINDS = 5  # pairs, triples, first letters, last letters, words
@@ -130,9 +130,8 @@ def _pieces(n_words: list[int], n_languages: int, language: list[int]) -> tuple[
     for pieces in cut:
         rng.shuffle(pieces)
     # languages take turns, so that all weigh about the same; a short supply is used again
-    most = FIT_WORDS // (PIECE * n_languages)
     order: list[np.ndarray] = []
-    for i in range(most):
+    for i in range(max(map(len, cut))):
         for pieces in cut:
             order.append(pieces[i % len(pieces)])
     rng.shuffle(order)
@@ -190,15 +189,9 @@ def fitted(rows: list[tuple[int, str, str]], rounds: int = 40) -> LanguageModel
 
 
 def fit(docs: DataFrame, limit: int = FIT_DOCS) -> LanguageModel | None:
-    """Learn from ``text`` and ``lang`` of at most ``limit`` documents with a language, none of them held out."""
-    usable = docs.select("doc_id", "text", "lang").filter(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~sampling.held_out()
-    )
-    # ids first: texts only move for the sample, and a repeated id counts once
-    ids = usable.groupBy("doc_id").count().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
-    row = F.min(F.struct("text", "lang")).alias("r")
-    sample = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(row).select("doc_id", "r.*").orderBy("doc_id")
-    return fitted([(r["doc_id"], r["text"], r["lang"]) for r in sample.collect()])
+    """Learn from ``text`` and ``lang`` of at most ``limit`` documents of each language, none of them held out."""
+    sample = sampling.texts_of_each(docs, "lang", limit).orderBy("doc_id")
+    return fitted([(r["doc_id"], r["text"], r["label"]) for r in sample.collect()])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:

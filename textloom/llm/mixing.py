@@ -14,7 +14,8 @@ agree, and a lost task repeats its draws.
 
 Defined results: null and empty texts have size 0 and take 0 words; a null source is a source of its own, ranked
 last; a source without words has target 0; repeated rows are documents of their own; an empty table gives an empty
-result. Other columns of the input are not touched (the operator selects what it needs).
+result. Ids and sources of any type keep their exact values. Other columns of the input are not touched, whatever their
+names (``mix`` selects what it needs, ``take`` adds none).
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.columns import unused
+from textloom.operators.pools import with_position
 from textloom.session import ensure_checkpoint_dir
 
 #: Documents in a block of the flight phase, on average.
@@ -46,31 +49,29 @@ def n_words(text: Column) -> Column:
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``source, source_size, target, n_docs`` with a row for each source.
 
-    With sources in the order of ``cap / weight``, the capped ones come first; all others share what these leave,
-    by weight. The windows run over one row for each source.
+    The level (words for a unit of weight) rises in rounds: sources whose cap it reaches stop there, all others share
+    what these leave. Sources may be many: they are numbered by a distributed sort, and a round is one aggregate.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy("cap_ratio", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = Window.orderBy("cap_ratio", "rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
-    level = (F.col("all_size") - (F.col("caps") - F.col("cap"))) / F.col("weights_left")
-    return (
-        sized.groupBy("source")
-        .agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-        .withColumn("rank", F.row_number().over(by_name) - 1)
-        .withColumn("weight", weight)
-        .withColumn("cap", (F.col("source_size") * max_repeat).cast("double"))
-        .withColumn("cap_ratio", F.col("cap") / F.col("weight"))
-        .withColumn("caps", F.sum("cap").over(by_cap))
-        .withColumn("weights_left", F.sum("weight").over(rest))
-        .withColumn("all_size", F.sum("source_size").over(everything))
-        .withColumn("level", level)
-        .withColumn("capped", F.col("cap_ratio") <= F.col("level"))
-        .withColumn("final_level", F.max(F.when(~F.col("capped"), F.col("level"))).over(everything))
-        .withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("final_level") * F.col("weight")))
-        .select("source", "source_size", "target", "n_docs")
-    )
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    numbered = with_position(totals.withColumn("__last", F.col("source").isNull()), "__last", "source")
+    at = F.pmod(F.col("position") - 1, F.lit(len(weights))).cast("int")
+    ranked = numbered.select(
+        "source", "source_size", "n_docs", F.get(F.array(*map(F.lit, weights)), at).alias("weight"),
+        (F.col("source_size") * max_repeat).cast("double").alias("cap"),
+    ).checkpoint()
+    level, capped = -1.0, -1
+    while True:
+        stops = F.col("cap") <= F.col("weight") * level
+        row = ranked.agg(
+            F.sum("source_size").alias("all"), F.count(F.when(stops, 1)).alias("capped"),
+            F.sum(F.when(stops, F.col("cap")).otherwise(0.0)).alias("caps"),
+            F.sum(F.when(stops, 0.0).otherwise(F.col("weight"))).alias("weights"),
+        ).first()
+        if row["capped"] == capped or not row["weights"]:
+            break
+        capped, level = row["capped"], (row["all"] - row["caps"]) / row["weights"]
+    target = F.least("cap", F.col("weight") * level)
+    return ranked.select("source", "source_size", target.alias("target"), "n_docs")
 
 
 def null_direction(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
@@ -123,7 +124,7 @@ def flight(sizes: list[float], chances: list[float], rng: random.Random, land: b
 
 def _fly(level: int, last: bool):
     def run(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values(["size", "doc_id", "row_key"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        frames = frames.sort_values(["size", "row_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         name, block = frames["source"].iloc[0], int(frames["block"].iloc[0])
         seed = zlib.crc32(f"{'' if name is None else 's' + str(name)}|{level}|{block}".encode())
         frames["chance"] = flight(frames["size"], frames["chance"], random.Random(seed), last)
@@ -155,9 +156,11 @@ def mix(
     ``row_key`` hashes id, source and text.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    kinds = dict(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source")).dtypes)
+    # as text: pandas would make floats of whole numbers beside nulls
     sized = docs.select(
-        F.col(key).alias("doc_id"),
-        F.col(source).alias("source"),
+        F.col(key).cast("string").alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
         n_words(F.col(text)).alias("size"),
         F.xxhash64(key, source, text).alias("row_key"),
     )
@@ -190,9 +193,8 @@ def mix(
         state = state.unionByName(part)
     copies = (F.col("whole") + F.when(F.col("chance") > 0.5, 1).otherwise(0)).cast("long")
     taken = (F.col("copies") * F.col("size")).alias("taken")
-    return state.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", taken, "row_key"
-    )
+    own = [F.col(c).cast(kind).alias(c) for c, kind in kinds.items()]
+    return state.withColumn("copies", copies).select(*own, "size", "source_size", "target", "copies", taken, "row_key")
 
 
 def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -200,14 +202,14 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Rows that agree in id, source and text share their copies evenly.
     """
+    row, copies, rows, own = (unused(docs.columns, f"__{n}") for n in ("row", "copies", "rows", "own"))
     drawn = mix(docs, key, text, source, **options)
-    totals = drawn.groupBy("row_key").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    keyed = docs.withColumn("row_key", F.xxhash64(key, source, text)).join(totals.filter("__copies > 0"), "row_key")
-    rank = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1)))
-    whole = F.floor(F.col("__copies") / F.col("__rows")).cast("int")
-    own = whole + F.when(rank <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    counted = keyed.withColumn("__own", own).filter("__own > 0")
-    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*docs.columns)
+    totals = drawn.groupBy(F.col("row_key").alias(row)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    keyed = docs.withColumn(row, F.xxhash64(key, source, text)).join(totals.filter(F.col(copies) > 0), row)
+    rank = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))
+    whole = F.floor(F.col(copies) / F.col(rows)).cast("int")
+    counted = keyed.withColumn(own, whole + F.when(rank <= F.col(copies) % F.col(rows), 1).otherwise(0)).filter(F.col(own) > 0)
+    return counted.withColumn(rows, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*docs.columns)
 
 
 def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

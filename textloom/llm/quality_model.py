@@ -1,8 +1,8 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words (the last one is what is left). Every passage is encoded: shares
-of character kinds, word lengths, repetition in the passage and in the document, standardized and passed through a
-learned layer. Gated attention (tanh times sigmoid) gives each passage a weight; the weights of a document sum to 1,
+A document is a bag of passages of ``PASSAGE`` words (the last one is what is left). Every passage is encoded: the mean
+of learned vectors of its words (hashed to ``BUCKETS``), and shares of character kinds, word lengths, repetition in the
+passage and in the document, standardized; both pass through a learned layer. Gated attention (tanh times sigmoid) gives each passage a weight; the weights of a document sum to 1,
 and the weighted sum of its passages' encodings is scored by a logistic unit. Only documents have labels; which
 passages matter is learned with the rest, by gradient ascent over at most ``FIT_DOCS`` labelled documents that are not
 held out, both labels weighing the same.
@@ -31,6 +31,13 @@ PASSAGE = 64
 HIDDEN = 24
 GATE = 12
 THRESHOLD = 0.7
+BUCKETS = 1 << 13
+#: Length of a word's vector, and what keeps the vectors of rare words small.
+VECTOR = 8
+RIDGE = 1e-5
+ROUNDS = 80
+#: The mean of many vectors is small beside standardized features.
+WORD_SCALE = 4.0
 
 def _kind(codes: str) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
@@ -45,8 +52,11 @@ _KINDS = [
 N_FEATURES = 14
 
 
-def passages(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage, and ``first``: text ``i`` has the passages ``first[i]:first[i + 1]``."""
+def passages(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every passage, buckets of all words in order, words of each passage, and ``first``.
+
+    Text ``i`` has the passages ``first[i]:first[i + 1]``.
+    """
     start, end, first = texts.spans()
     n_words = np.diff(first)
     n_passages = np.maximum(1, -(-n_words // PASSAGE))
@@ -83,7 +93,8 @@ def passages(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         mean / 8, spread / 4, np.log1p(words) / 4, np.log1p(np.repeat(n_words, n_passages)) / 8,
         total(triple_again) / some, total(stutter) / some, distinct,
     ]
-    return np.concatenate([shares, np.stack(columns, axis=1)], axis=1).astype(np.float32), p_first
+    x = np.concatenate([shares, np.stack(columns, axis=1)], axis=1).astype(np.float32)
+    return x, (codes % np.uint64(BUCKETS)).astype(np.uint16), words, p_first
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -94,7 +105,7 @@ class AttentionModel:
     """Encoder, gated attention and the logistic unit on the weighted encoding."""
 
     SHAPES = (
-        ("encode", (N_FEATURES, HIDDEN)), ("shift", (HIDDEN,)), ("tanh", (HIDDEN, GATE)), ("gate", (HIDDEN, GATE)),
+        ("words", (BUCKETS, VECTOR)), ("encode", (N_FEATURES + VECTOR, HIDDEN)), ("shift", (HIDDEN,)), ("tanh", (HIDDEN, GATE)), ("gate", (HIDDEN, GATE)),
         ("attend", (GATE,)), ("out", (HIDDEN,)), ("bias", (1,)),
     )
 
@@ -103,12 +114,19 @@ class AttentionModel:
         self.mean, self.scale = mean, scale
         self.w = {name: rng.normal(0, 1 / np.sqrt(shape[0]), shape) for name, shape in self.SHAPES}
         self.w["shift"][:] = self.w["bias"][:] = 0
+        self.w["words"] *= 0.1
         self.constant: float | None = None
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    def forward(self, x, words, sizes, first) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Probability of label 1 for each document, and what the gradient needs."""
         w, begin = self.w, first[:-1]
-        z = (x - self.mean) / self.scale
+        some = np.maximum(sizes, 1)
+        meaning = np.zeros((len(x), VECTOR))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            starts = (np.cumsum(sizes) - sizes)[full]
+            meaning[full] = np.add.reduceat(w["words"][words], starts, axis=0) / some[full, None]
+        z = np.concatenate([(x - self.mean) / self.scale, WORD_SCALE * meaning], axis=1)
         h = np.tanh(z @ w["encode"] + w["shift"])
         a, g = np.tanh(h @ w["tanh"]), _sigmoid(h @ w["gate"])
         e = (a * g) @ w["attend"]
@@ -117,31 +135,38 @@ class AttentionModel:
         bag = np.add.reduceat(alpha[:, None] * h, begin, axis=0)
         return _sigmoid(bag @ w["out"] + w["bias"]), {"z": z, "h": h, "a": a, "g": g, "alpha": alpha, "bag": bag}
 
-    def learn(self, x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 250) -> AttentionModel:
-        """Gradient ascent on the balanced log-likelihood."""
+    def gradient(self, x, words, sizes, first, label) -> dict[str, np.ndarray]:
+        """Of the log-likelihood, both labels weighing the same."""
         share = label.mean()
         weigh = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) / len(label)
+        owner, w = owners(first), self.w
+        p, s = self.forward(x, words, sizes, first)
+        d = (label - p) * weigh
+        d_bag = d[:, None] * w["out"]
+        d_alpha = (s["h"] * d_bag[owner]).sum(axis=1)
+        d_e = s["alpha"] * (d_alpha - np.add.reduceat(s["alpha"] * d_alpha, first[:-1])[owner])
+        d_a = d_e[:, None] * w["attend"] * s["g"] * (1 - s["a"] ** 2)
+        d_g = d_e[:, None] * w["attend"] * s["a"] * s["g"] * (1 - s["g"])
+        d_h = s["alpha"][:, None] * d_bag[owner] + d_a @ w["tanh"].T + d_g @ w["gate"].T
+        d_z = d_h * (1 - s["h"] ** 2)
+        d_word = WORD_SCALE * (d_z @ w["encode"][N_FEATURES:].T) / np.maximum(sizes, 1)[:, None]
+        d_word = np.repeat(d_word, sizes, axis=0)
+        return {
+            "words": np.stack([np.bincount(words, d_word[:, k], BUCKETS) for k in range(VECTOR)], axis=1),
+            "encode": s["z"].T @ d_z, "shift": d_z.sum(axis=0), "tanh": s["h"].T @ d_a, "gate": s["h"].T @ d_g,
+            "attend": (s["a"] * s["g"]).T @ d_e, "out": s["bag"].T @ d, "bias": np.array([d.sum()]),
+        }
+
+    def learn(self, x, words, sizes, first, label, rounds: int = ROUNDS) -> AttentionModel:
+        """Gradient ascent with a ridge."""
         climbs = {name: chain.adam(shape) for name, shape in self.SHAPES}
         for climb in climbs.values():
             next(climb)
-        owner, w = owners(first), self.w
         for _ in range(rounds):
-            p, s = self.forward(x, first)
-            d = (label - p) * weigh
-            d_bag = d[:, None] * w["out"]
-            d_alpha = (s["h"] * d_bag[owner]).sum(axis=1)
-            d_e = s["alpha"] * (d_alpha - np.add.reduceat(s["alpha"] * d_alpha, first[:-1])[owner])
-            d_a = d_e[:, None] * w["attend"] * s["g"] * (1 - s["a"] ** 2)
-            d_g = d_e[:, None] * w["attend"] * s["a"] * s["g"] * (1 - s["g"])
-            d_h = s["alpha"][:, None] * d_bag[owner] + d_a @ w["tanh"].T + d_g @ w["gate"].T
-            d_z = d_h * (1 - s["h"] ** 2)
-            grads = {
-                "encode": s["z"].T @ d_z, "shift": d_z.sum(axis=0), "tanh": s["h"].T @ d_a, "gate": s["h"].T @ d_g,
-                "attend": (s["a"] * s["g"]).T @ d_e, "out": s["bag"].T @ d, "bias": np.array([d.sum()]),
-            }
+            grads = self.gradient(x, words, sizes, first, label)
             for name, climb in climbs.items():
-                self.w[name] = w[name] + 0.02 * climb.send(grads[name] - 1e-4 * w[name])
-            w = self.w
+                ridge = RIDGE if name == "words" else 1e-4
+                self.w[name] = self.w[name] + 0.03 * climb.send(grads[name] - ridge * self.w[name])
         return self
 
     def predict(self, texts: Texts) -> np.ndarray:
@@ -154,31 +179,35 @@ class AttentionModel:
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in slices(batch.column("text"), SLICE):
-            x, cut = passages(texts)
+            x, words, sizes, cut = passages(texts)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            cuts = list(zip(cut[:-1], cut[1:], strict=True))
+            told = ((x, lambda k: k), (sizes.astype(np.int64), lambda k: k), (words, lambda k: at[k]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id")[texts.lo : texts.hi].cast(pa.int64()),
                     batch.column("label")[texts.lo : texts.hi].cast(pa.int32()),
-                    pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]),
+                    *(pa.array([y[place(a) : place(b)].tobytes() for a, b in cuts], pa.binary()) for y, place in told),
                 ],
-                names=["doc_id", "label", "features"],
+                names=["doc_id", "label", "features", "sizes", "words"],
             )
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = FIT_DOCS) -> AttentionModel:
     """Learn from at most ``limit`` labelled documents, from all passages of each."""
     sample = sampling.labelled_texts(docs, labels, label, limit)
-    rows = sorted(sample.mapInArrow(_encoded, "doc_id long, label int, features binary").collect())
+    schema = "doc_id long, label int, features binary, sizes binary, words binary"
+    rows = sorted(sample.mapInArrow(_encoded, schema).collect())
     found = np.array([float(r["label"] > 0) for r in rows])
     if len(set(found)) < 2:
         model = AttentionModel(np.zeros(N_FEATURES), np.ones(N_FEATURES))
         model.constant = float(found.mean()) if len(found) else 0.5
         return model
-    x = np.frombuffer(b"".join(r["features"] for r in rows), dtype=np.float32).reshape(-1, N_FEATURES)
-    sizes = [len(r["features"]) // (4 * N_FEATURES) for r in rows]
-    x = x.astype(np.float64)
+    joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), dtype=kind)
+    x = joined("features", np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    first = np.concatenate([[0], np.cumsum([len(r["sizes"]) // 8 for r in rows])])
     model = AttentionModel(x.mean(axis=0), np.maximum(x.std(axis=0), 0.02))
-    return model.learn(x, np.concatenate([[0], np.cumsum(sizes)]), found)
+    return model.learn(x, joined("words", np.uint16).astype(np.int64), joined("sizes", np.int64), first, found)
 
 
 def score(docs: DataFrame, model: AttentionModel, text: str = "text") -> DataFrame:

@@ -5,25 +5,35 @@ versioned map from slots to shards: it is computed from the bytes that each slot
 rebalanced or added, and stored with a version number. The corpus is only scanned for the aggregate (at most
 ``n_slots`` rows reach the driver, however large the corpus is) and for the final placement.
 
-Law: ``bytes`` - the shards' sizes are near equal, as the map places the largest slots first, each on the shard
-that holds least.
+Law: ``bytes`` - the shards' sizes are near equal, as the first map places the largest slots first, each on the shard
+that holds least. A record's slot comes from its id and its text's crc, so null ids and equal texts spread over slots
+and shards; only rows that agree in both share a slot.
 
-Defined results: a null text has no bytes, so its record weighs ``overhead`` bytes and its crc is null; a null
-record id hashes to one fixed slot; repeated rows are all placed, side by side in the same slot; an empty table
-gives an empty result with the same columns; other columns of the input pass through untouched, and an input
-column that has the name of an added column is replaced.
+A slot's records are ranked in ``PARTS`` parts of it by themselves; counts of the parts (``n_slots * PARTS`` rows at most,
+whatever the corpus) give each part's first place. So no shard and no slot is ever sorted as a whole.
+
+Defined results: a null text has no bytes, so its record weighs ``overhead`` bytes and its crc is null; null ids
+are ids like others; repeated rows are all placed, side by side in the same slot; an empty table
+gives an empty result with the same columns; other columns of the input pass through untouched, whatever their names,
+and an input column that has the name of an added column is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.columns import unused
+from textloom.session import ensure_checkpoint_dir
+
 N_SLOTS = 4096
+PARTS = 64
+TOLERANCE = 0.02
 OVERHEAD = 8
 
 MAP_SCHEMA = T.StructType(
@@ -48,9 +58,9 @@ class SlotMap:
         return spark.createDataFrame([(v, s, self.version) for v, s in enumerate(self.shards)], MAP_SCHEMA)
 
 
-def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
-    """The fixed slot of a record key."""
-    return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
+def virtual_slot(key: Column, crc: Column, n_slots: int = N_SLOTS) -> Column:
+    """The fixed slot of a record."""
+    return F.pmod(F.xxhash64(key, crc), F.lit(n_slots)).cast("int")
 
 
 def balanced_map(slot_bytes: dict[int, int], n_shards: int, n_slots: int = N_SLOTS, version: int = 1) -> SlotMap:
@@ -64,7 +74,7 @@ def balanced_map(slot_bytes: dict[int, int], n_shards: int, n_slots: int = N_SLO
     return SlotMap(version, n_shards, tuple(shards))
 
 
-def edited_map(old: SlotMap, slot_bytes: dict[int, int], n_shards: int, tolerance: float = 0.02) -> SlotMap:
+def edited_map(old: SlotMap, slot_bytes: dict[int, int], n_shards: int, tolerance: float = TOLERANCE) -> SlotMap:
     """A new version in which as few slots as possible move.
 
     Slots leave shards that hold more than the mean by ``tolerance``, largest fitting slot first, for the shard
@@ -92,8 +102,9 @@ def edited_map(old: SlotMap, slot_bytes: dict[int, int], n_shards: int, toleranc
 
 
 def write_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
-    """Append a version to the stored maps."""
-    slot_map.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Store a version; written again (a retry), it takes its own place."""
+    frame = slot_map.frame(spark).drop("version")
+    frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={slot_map.version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -105,61 +116,82 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(wanted, max(shards) + 1, shards)
 
 
-def slot_totals(sized: DataFrame) -> dict[int, tuple[int, int]]:
-    """Bytes and rows of each virtual slot; at most one row for each slot is collected."""
-    rows = sized.groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
-    return {r["vslot"]: (r["b"], r["n"]) for r in rows}
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a version is at ``path``, a folder of any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(where) and any("version=" in s.getPath().getName() for s in files.listStatus(where))
 
 
-def with_slots(docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """Add ``size`` and ``vslot``."""
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + OVERHEAD
-    return docs.withColumns({"size": size, "vslot": virtual_slot(F.col(key), n_slots)})
+def current_map(spark: SparkSession, path: str, slot_bytes: dict[int, int], n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
+    """The stored map at ``path``, first made or edited to a new version where the shards are out of balance."""
+    if not is_stored(spark, path):
+        write_map(spark, balanced_map(slot_bytes, n_shards, n_slots), path)
+    stored = read_map(spark, path)
+    held = [0] * max(n_shards, stored.n_shards)
+    for slot, shard in enumerate(stored.shards):
+        held[shard] += slot_bytes.get(slot, 0)
+    mean = sum(held) / n_shards
+    if len(held) != n_shards or max(held) > mean * (1 + TOLERANCE):
+        edited = edited_map(stored, slot_bytes, n_shards)
+        if edited.shards != stored.shards:
+            write_map(spark, edited, path)
+            stored = read_map(spark, path)
+    return stored
+
+
+_ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot", "map_version"]
 
 
 def shard(
-    docs: DataFrame,
-    n_shards: int,
-    key: str = "doc_id",
-    text: str = "text",
-    n_slots: int = N_SLOTS,
-    slot_map: SlotMap | None = None,
+    docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS, store: str | None = None
 ) -> DataFrame:
     """Place every record; adds ``size, text_crc32, law, shard, slot, grown_shard, vslot, map_version``.
 
     ``slot`` is the record's position in its shard, gapless from 0: virtual slots lie one after another in a
-    shard, and a record's place is its slot's offset plus its rank in the slot. No shard is ever sorted as a
-    whole. A given ``slot_map`` is used as it is; else one is balanced on the bytes of ``docs``.
+    shard, and a slot's parts one after another in the slot. ``store`` is the folder of the versioned map; without one
+    the map is stored in a folder of its own in the shared checkpoint folder.
     """
     spark = docs.sparkSession
-    sized = with_slots(docs, key, text, n_slots)
-    totals = slot_totals(sized)
-    placed = slot_map or balanced_map({v: b for v, (b, _) in totals.items()}, n_shards, n_slots)
+    ensure_checkpoint_dir(spark)
+    store = store or f"{spark.sparkContext.getCheckpointDir()}/slot-map-{uuid.uuid4().hex}"
+    own = [c for c in docs.columns if c.lower() not in _ADDED or c in (key, text)]
+    part, first = unused([*own, *_ADDED], "__part"), unused([*own, *_ADDED], "__first")
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + OVERHEAD
+    crc = F.crc32(F.col(text).cast("binary"))
+    sized = docs.select(*own).withColumns({"size": size, "text_crc32": crc})
+    sized = sized.withColumns(
+        {"vslot": virtual_slot(F.col(key), F.col("text_crc32"), n_slots),
+         part: F.pmod(F.xxhash64(F.col("text_crc32"), F.col(key), F.lit(1)), F.lit(PARTS)).cast("int")}
+    )
+    counts = sized.groupBy("vslot", part).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).checkpoint()
+    totals = {r["vslot"]: (r["b"], r["n"]) for r in counts.groupBy("vslot").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()}
+    placed = current_map(spark, store, {v: b for v, (b, _) in totals.items()}, n_shards, n_slots)
     offset, rows = [0] * placed.n_shards, []
     for vslot, home in enumerate(placed.shards):
         rows.append((vslot, home, offset[home]))
         offset[home] += totals.get(vslot, (0, 0))[1]
-    # n_slots rows, a fixed parameter: safe to broadcast at any corpus size
-    homes = F.broadcast(spark.createDataFrame(rows, "vslot int, shard int, slot_offset long"))
-    within = Window.partitionBy("vslot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
+    homes = spark.createDataFrame(rows, "vslot int, shard int, slot_first long")
+    before = Window.partitionBy("vslot").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("n", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(homes), "vslot")
+    starts = starts.select("vslot", part, "shard", (F.col("slot_first") + F.col("n")).alias(first))
+    within = Window.partitionBy("vslot", part).orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
+    # n_slots * PARTS rows, fixed parameters: safe to broadcast at any corpus size
     return (
-        sized.withColumn("text_crc32", F.crc32(F.col(text).cast("binary")))
-        .drop("shard", "slot_offset")
-        .join(homes, "vslot")
+        sized.join(F.broadcast(starts), ["vslot", part])
         .withColumns(
             {
                 "law": F.lit("bytes"),
-                "slot": F.col("slot_offset") + F.row_number().over(within) - 1,
+                "slot": F.col(first) + F.row_number().over(within) - 1,
                 "grown_shard": F.lit(None).cast("int"),
                 "map_version": F.lit(placed.version),
             }
         )
-        .drop("slot_offset")
+        .select(*own, *[c for c in _ADDED if c not in own])
     )
 
 
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 24 shards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cols = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot", "map_version"]
-    return shard(docs, 24).select(cols)
+    return shard(docs, 24).select("doc_id", *_ADDED)
