@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -211,10 +212,49 @@ def test_pages(spark):
     assert wrapper.extracted(pages.limit(0)).count() == 0
 
 
-def test_tree_matching():
-    a, b = wrapper.parse("<ul><li>x</li><li>y</li></ul>"), wrapper.parse("<ul><li>x</li><li>q</li><li>y</li></ul>")
-    pairs = wrapper.match(a, b)
+def tree(page: str) -> wrapper.Node:
+    return wrapper.shaped(wrapper.parse(page))
+
+
+def plain_matching(a, b) -> int:
+    """Simple tree matching as it is defined."""
+    if a.key != b.key:
+        return 0
+    table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + plain_matching(x, y))
+    return 1 + table[-1][-1]
+
+
+def test_tree_matching(monkeypatch):
+    pairs = wrapper.alignment(tree("<ul><li>x</li><li>y</li></ul>"), tree("<ul><li>x</li><li>q</li><li>y</li></ul>"))
     assert len(pairs) == 6  # root, list, two items and their texts
+    assert [x.text for x, y in pairs if x.tag == "#text" and x.text == y.text] == ["x", "y"]
+    r = random.Random(4)
+
+    def grown(depth: int) -> str:
+        parts = [r.choice(["a", "b", "<br>", *[f"<{t}>{grown(depth - 1)}</{t}>" for t in ("div", "b", "p") if depth]]) for _ in range(r.randint(0, 5))]
+        return "".join(parts)
+
+    for cells in (1 << 20, 4):  # the second one halves all tables
+        monkeypatch.setattr(wrapper, "CELLS", cells)
+        for _ in range(60):
+            a, b = tree(grown(4)), tree(grown(4))
+            pairs = wrapper.alignment(a, b)
+            assert len(pairs) == wrapper.similarity(a, b) == plain_matching(a, b)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+            assert all(x.key == y.key for x, y in pairs)
+
+
+def test_hostile_html():
+    """Quotes and tags that are never closed are read in linear time."""
+    began = time.monotonic()
+    for part in ('<a href="x ', "<a 'x\" ", "<a ", "< ", "<b", "<!", '<a b="c>', "<script>", "</p ", "&lt;<"):
+        wrapper.parse(part * 40_000)
+        wrapper.parse(part * 40_000 + ">")
+    assert time.monotonic() - began < 40
+    assert wrapper.extract("a < b <p>c d<e", None) == "a < b\n\nc d<e"
 
 
 def test_spam_words_random():
@@ -279,9 +319,11 @@ def test_texts_decide_over_names(spark):
 
 def test_wide_and_deep_pages():
     items = [f"<li>{i}</li>" for i in range(300)]
-    a, b = wrapper.parse(f"<ul>{''.join(items)}</ul>"), wrapper.parse(f"<ul><li>x</li>{''.join(items)}</ul>")
-    assert sum(x.text == y.text for x, y in wrapper.match(a, b) if x.tag == "#text") == 300
+    a, b = tree(f"<ul>{''.join(items)}</ul>"), tree(f"<ul><li>x</li>{''.join(items)}</ul>")
+    assert sum(x.text == y.text for x, y in wrapper.alignment(a, b) if x.tag == "#text") == 300
+    a, b = tree("<div>" * 20_000 + "x"), tree("<div>" * 19_000 + "<p>x")
+    assert len(wrapper.alignment(a, b)) == 19_001
     deep = "<div>" * 400 + "<nav>Menu</nav>" + "<div><p>in</p></div>" + "</div>" * 400
     page = f"<html><body><article><p>before</p>{deep}<p>after</p></article><p>outside</p></body></html>"
-    assert wrapper.extract(page, {}) == "before\n\nin\n\nafter"
-    assert wrapper.extract("<b>" * 50_000 + "x" + "</i>" * 50_000, {}) == "x"
+    assert wrapper.extract(page, None) == "before\n\nin\n\nafter"
+    assert wrapper.extract("<b>" * 50_000 + "x" + "</i>" * 50_000, None) == "x"

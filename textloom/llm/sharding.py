@@ -32,7 +32,7 @@ from textloom.llm.columns import unused
 from textloom.session import ensure_checkpoint_dir
 
 N_SLOTS = 4096
-PARTS = 64
+PARTS = 16
 TOLERANCE = 0.02
 OVERHEAD = 8
 

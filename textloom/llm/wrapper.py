@@ -1,38 +1,45 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host are made from one template or a few. Every page of the table is parsed into a DOM tree; its template
-is known by the containers that it has in the upper ``TEMPLATE_DEPTH`` levels. Texts are counted by their path over all
-distinct pages of a host, and of each template with ``TEMPLATE_PAGES`` pages or more: what ``CONSTANT_SHARE`` of them
-have is constant and belongs to the template, all other texts are slots. Paths have no sibling numbers, so an inserted
-or missing block shifts nothing. Copies of a page count once, pages without text not at all. A block is template when
-all its texts are.
+is known by the containers that it has in the upper ``TEMPLATE_DEPTH`` levels. One page of each template with
+``TEMPLATE_PAGES`` distinct pages or more represents it; pages of rarer templates go with the host's most frequent one.
+Every distinct page is aligned with its representative by simple tree matching (``alignment``), and each aligned text of
+the representative counts the pages that have the same text there. What ``CONSTANT_SHARE`` of the pages have is constant:
+the representative's tree with its constant nodes is the wrapper, all other texts are varying slots. For extraction a page
+is aligned with its wrapper again; texts on constant nodes that say the same are template, everything else is content.
+Copies of a page count once, pages without text not at all. A block is template when all its texts are.
 
 On a page, all slots become blocks in page order; the smallest region with all of them adds nothing, so none is formed.
 Template texts, and parts that elements, roles or attributes name as menus, headers, footers, asides, forms, scripts or
 hidden, are left out. A class or id that names such a part is only believed where the texts agree: not of a node with
 a varying ``h1``, an ``article`` or ``main``, nor, on a page without these, of one with more than ``MOST`` of its varying
-text (a named comment thread excepted). Inside ``article`` or ``main`` pages may share a sentence, so there a text is constant only if
-``INNER_SHARE`` of ``INNER_PAGES`` pages and more have it.
+text (a named comment thread excepted). Inside ``article`` or ``main`` pages may share a sentence, so there a text is
+constant only if ``INNER_SHARE`` of ``INNER_PAGES`` pages and more have it.
 
-The html of a page is never moved: hashes of its texts are, and are counted in partial aggregates; wrappers are small
-and are broadcast when their measured size is within ``BROADCAST_BYTES``, else joined by a shuffle (a busy host's pages
-are split by adaptive skew joins).
+Matching is exact for any width and depth: subtrees of equal shape match whole, scores of pairs of shapes are kept, rows
+of the table are vectors, and large tables are halved (Hirschberg) so that memory is linear. Of equally large maps of a
+node's children, one with most equal subtrees is taken. Parsing is linear too.
+
+The html of a page is only moved to meet its wrapper when the wrappers' measured size is over ``BROADCAST_BYTES`` (a busy
+host's pages are then split by adaptive skew joins); else wrappers are broadcast. Votes are counted in partial aggregates.
 
 Defined results: null or empty html gives an empty text; broken html is read as far as it goes; a page about
-which no other tells takes its article or main if that holds most of its text; null urls form one host (the empty name); repeated rows are extracted each; an empty table
-gives an empty result; other columns pass through, and input columns named like added ones are replaced.
+which no other tells takes its article or main if that holds most of its text; null urls form one host (the empty name);
+repeated rows are extracted each; an empty table gives an empty result; other columns pass through, and input columns
+named like added ones are replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,12 +80,14 @@ CHROME_WORDS = set(
     "copyright legal search hidden".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag whose attributes' quotes are paired, and one by its first ``>`` only.
+_QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f\v]+")
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     """An element (``tag``) or, with ``tag`` ``#text``, a text."""
 
@@ -89,6 +98,10 @@ class Node:
     named: str = ""
     text: str = ""
     children: list[Node] = field(default_factory=list)
+    #: Hashes of the keys of the subtree, and of its keys and texts, and its size (``shaped``).
+    shape: int = 0
+    content: int = 0
+    size: int = 1
 
     @property
     def key(self) -> str:
@@ -100,16 +113,36 @@ def parse(page: str | None) -> Node:
     root = Node("#root")
     stack, at, page = [root], 0, page or ""
     opened: Counter[str] = Counter()  # tags on the stack, so that an end tag without a start is told at any depth
-    while True:
-        token = _TOKEN.search(page, at)
-        text = page[at : token.start() if token else len(page)]
-        if text:
-            stack[-1].children.append(Node("#text", text=entities.unescape(text)))
+    quoted = True  # a quote that is never closed ends the pairing for the rest of the page
+    begin, last = 0, page.rfind(">")
+
+    def add(end: int) -> None:
+        if end > begin:
+            stack[-1].children.append(Node("#text", text=entities.unescape(page[begin:end])))
+
+    while (at := page.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?"):
+            comment = page.startswith("<!--", at)
+            close = page.find("-->" if comment else ">", at + 2)
+            if close < 0 and not comment:
+                break
+            add(at)
+            begin = at = close + (3 if comment else 1) if close >= 0 else len(page)
+            continue
+        token = None
+        if at < last and (after == "/" or (after.isascii() and after.isalpha())):
+            token = _QUOTED.match(page, at) if quoted else None
+            if not token:
+                token = _PLAIN.match(page, at)
+                quoted = quoted and not token
         if not token:
-            return root
-        at = token.end()
-        if not token[2]:
+            at += 1
+            if at > last:
+                break
             continue
+        add(at)
+        begin = at = token.end()
         tag = token[2].lower()
         if token[1]:
             _close(stack, opened, tag)
@@ -121,11 +154,18 @@ def parse(page: str | None) -> Node:
         node = _element(tag, token[3])
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = _raw_end(tag).search(page, at)
+            begin = at = end.end() if end else len(page)
         elif tag not in VOID and not token[3].rstrip().endswith("/"):
             stack.append(node)
             opened[tag] += 1
+    add(len(page))
+    return root
+
+
+@lru_cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
 def _cut_at(stack: list[Node], opened: Counter[str], depth: int) -> None:
@@ -178,53 +218,153 @@ def _white(text: str) -> str:
     return " ".join(text.split())
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest order-preserving map between two trees with equal roots."""
-    return _matched(a, b)[1]
-
-
-def _matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    if a.key != b.key:
-        return 0, []
+def shaped(root: Node) -> Node:
+    """The tree with ``shape``, ``content`` and ``size`` of every subtree."""
+    order = [root]
+    for node in order:
+        order.extend(node.children)
+    for node in reversed(order):
+        node.shape = hash((node.tag, node.label, *[c.shape for c in node.children]))
+        node.content = hash((node.shape, node.text, *[c.content for c in node.children]))
+        node.size = 1 + sum(c.size for c in node.children)
+    return root
+
+
+#: Cells of a table of two lists of children that is kept as a whole; scores of pairs of shapes that are kept.
+CELLS, SCORES = 1 << 20, 1 << 17
+_scores: dict[tuple[int, int], int] = {}
+
+
+def _ends(left: list[int], right: list[int]) -> tuple[int, int]:
+    """How many children at the front and at the back have equal hashes; these match in a largest map."""
+    most = min(len(left), len(right))
+    head = 0
+    while head < most and left[head] == right[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and left[-1 - tail] == right[-1 - tail]:
+        tail += 1
+    return head, tail
+
+
+def _known(a: Node, b: Node) -> int | None:
+    if a.tag != b.tag or a.label != b.label:
+        return 0
+    return a.size if a.shape == b.shape else _scores.get((a.shape, b.shape))
+
+
+class _Table:
+    """Scores of two lists of children by their distinct shapes; ``texts``: of largest maps, one with most equal texts."""
+
+    def __init__(self, left: list[Node], right: list[Node], texts: bool = False) -> None:
+        self.left, self.right = left, right
+        self.unit = min(len(left), len(right)) + 1 if texts else 1
+        self.contents = np.array([n.content for n in right]) if texts else None
+        kinds = {n.shape: n for n in right}
+        number = {shape: i for i, shape in enumerate(kinds)}
+        self.kinds, self.at = list(kinds.values()), np.array([number[n.shape] for n in right])
+        self.rows: dict[int, np.ndarray] = {}
+
+    def missing(self) -> list[tuple[Node, Node]]:
+        """Pairs whose score is not known yet."""
+        return [(x, y) for x in {n.shape: n for n in self.left}.values() for y in self.kinds if _known(x, y) is None]
+
+    def row(self, i: int) -> np.ndarray:
+        shape = self.left[i].shape
+        if shape not in self.rows:
+            self.rows[shape] = self.unit * np.array([_known(self.left[i], y) for y in self.kinds])[self.at]
+        row = self.rows[shape]
+        return row if self.contents is None else row + (self.contents == self.left[i].content)
+
+    def best(self, rows: range, lo: int, hi: int, back: bool = False, keep: bool = False) -> np.ndarray:
+        """Best scores of the children ``rows`` with each front (``back``: each rear) of ``lo:hi``; ``keep``: after each row."""
+        now, kept = np.zeros(hi - lo + 1, dtype=np.int64), []
+        for i in rows:
+            score = self.row(i)[lo:hi]
+            step = now.copy()
+            np.maximum(step[1:], now[:-1] + (score[::-1] if back else score), out=step[1:])
+            now = np.maximum.accumulate(step)
+            if keep:
+                kept.append(now)
+        return np.array([np.zeros(hi - lo + 1, dtype=np.int64), *kept]) if keep else now
+
+    def pairs(self) -> list[tuple[Node, Node]]:
+        """Matched children of a largest map; large tables are halved."""
+        found, parts = [], [(0, len(self.left), 0, len(self.right))]
+        while parts:
+            top, bottom, lo, hi = parts.pop()
+            if top == bottom or lo == hi:
+                continue
+            if (bottom - top) * (hi - lo) > CELLS and bottom - top > 1:
+                middle = (top + bottom) // 2
+                front = self.best(range(top, middle), lo, hi)
+                rear = self.best(range(bottom - 1, middle - 1, -1), lo, hi, back=True)[::-1]
+                cut = lo + int((front + rear).argmax())
+                parts += [(top, middle, lo, cut), (middle, bottom, cut, hi)]
+                continue
+            size = self.best(range(top, bottom), lo, hi, keep=True)
+            i, j = bottom - top, hi - lo
+            while i and j:
+                if size[i][j] == size[i - 1][j]:
+                    i -= 1
+                elif size[i][j] == size[i][j - 1]:
+                    j -= 1
+                else:
+                    found.append((self.left[top + i - 1], self.right[lo + j - 1]))
+                    i, j = i - 1, j - 1
+        return found
+
+
+def similarity(a: Node, b: Node) -> int:
+    """Simple tree matching: the size of the largest order-preserving map between two shaped trees with equal roots."""
+    waiting = [(a, b)]
+    while waiting:
+        x, y = waiting[-1]
+        if _known(x, y) is not None:
+            waiting.pop()
+            continue
+        head, tail = _ends([c.shape for c in x.children], [c.shape for c in y.children])
+        left, right = x.children[head : len(x.children) - tail], y.children[head : len(y.children) - tail]
+        ends = [*x.children[:head], *x.children[len(x.children) - tail :]]
+        total = 1 + sum(n.size for n in ends)
+        if left and right:
+            table = _Table(left, right)
+            if missing := table.missing():
+                waiting += missing
+                continue
+            total += int(table.best(range(len(left)), 0, len(right))[-1])
+        _scores[x.shape, y.shape] = total
+        waiting.pop()
+    return _known(a, b)
+
+
+def alignment(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """The pairs of nodes of a largest map between two shaped trees."""
+    if len(_scores) > SCORES:
+        _scores.clear()
+    if not similarity(a, b):
+        return []
     pairs = [(a, b)]
-    left, right = a.children, b.children
-    if not left or not right:
-        return 1, pairs
-    # equal ends match in every largest map
-    head = next((i for i, (x, y) in enumerate(zip(left, right, strict=False)) if x != y), min(len(left), len(right)))
-    most = min(len(left), len(right)) - head
-    tail = next((i for i in range(most) if left[-1 - i] != right[-1 - i]), most)
-    ends = [*zip(left[:head], right[:head], strict=True), *zip(left[len(left) - tail :], right[len(right) - tail :], strict=True)]
-    pairs += [p for x, y in ends for p in _matched(x, y)[1]]
-    left, right, score = left[head : len(left) - tail], right[head : len(right) - tail], len(pairs)
-    below = [[_matched(x, y) if x.key == y.key else (0, []) for y in right] for x in left]
-    size = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i in range(1, len(left) + 1):
-        row, above, scores = size[i], size[i - 1], below[i - 1]
-        for j in range(1, len(right) + 1):
-            row[j] = max(above[j], row[j - 1], above[j - 1] + scores[j - 1][0])
-    i, j = len(left), len(right)
-    while i and j:
-        if size[i][j] == size[i - 1][j]:
-            i -= 1
-        elif size[i][j] == size[i][j - 1]:
-            j -= 1
+    for x, y in pairs:
+        if x.shape == y.shape:
+            head, tail = len(x.children), 0
         else:
-            pairs.extend(below[i - 1][j - 1][1])
-            i, j = i - 1, j - 1
-    return score + size[-1][-1], pairs
+            head, tail = _ends([c.content for c in x.children], [c.content for c in y.children])
+        n, m = len(x.children) - tail, len(y.children) - tail
+        pairs += zip(x.children[:head], y.children[:head], strict=True)
+        pairs += zip(x.children[n:], y.children[m:], strict=True)
+        if head < n and head < m:
+            table = _Table(x.children[head:n], y.children[head:m], True)
+            for p, q in table.missing():
+                similarity(p, q)
+            pairs += table.pairs()
+    return pairs
 
 
 def _crc(key: str, above: int) -> int:
     return zlib.crc32(f"/{key}".encode(), above)
 
 
-def _mark(path: int, text: str) -> int:
-    """A text at a path, as a signed number of 64 bits."""
-    mark = path << 32 | zlib.crc32(text.encode(errors="replace"))
-    return mark - (1 << 64) if mark >> 63 else mark
-
-
 def _paths(node: Node) -> Iterator[tuple[Node, int, int, bool]]:
     """Nodes in page order with the hash of their path, their depth and whether they are inside article or main."""
     stack = [(node, 0, 0, False)]
@@ -239,17 +379,48 @@ def _paths(node: Node) -> Iterator[tuple[Node, int, int, bool]]:
 CONTAINERS = set("article aside body center details dialog div fieldset footer form header html main nav section table".split())
 
 
-def texts_of(root: Node) -> tuple[int, dict[int, bool]]:
-    """The template of a page and the marks of its texts, each with whether it is inside article or main."""
-    marks, shape = {}, set()
+def template_of(root: Node) -> int:
+    """The template of a page; -1 for a page without text."""
+    shape, text = set(), False
     for node, path, depth, inner in _paths(root):
         if node.tag == "#text":
-            if text := _white(node.text):
-                marks[_mark(path, text)] = inner
+            text = text or bool(node.text.strip())
         elif node.tag in CONTAINERS and depth <= TEMPLATE_DEPTH and (not inner or node.tag in ("article", "main")):
             shape.add(path)
-    template = zlib.crc32(",".join(map(str, sorted(shape))).encode())
-    return template, marks
+    return zlib.crc32(",".join(map(str, sorted(shape))).encode()) if text else -1
+
+
+@dataclass
+class Wrapper:
+    """A representative page, its texts in page order, and which of them are constant."""
+
+    root: Node
+    texts: list[Node]
+    inner: list[bool]
+    constant: set[int] = field(default_factory=set)
+
+    @classmethod
+    def of(cls, page: str | None) -> Wrapper:
+        root = shaped(parse(page))
+        told = [(node, inner) for node, _, _, inner in _paths(root) if node.tag == "#text"]
+        return cls(root, [t[0] for t in told], [t[1] for t in told])
+
+    def same(self, page: Node) -> dict[int, int]:
+        """Of the page's texts (by ``id``) that say what their aligned text says: the number of that one."""
+        number = {id(node): i for i, node in enumerate(self.texts)}
+        found = {}
+        for x, y in alignment(self.root, shaped(page)):
+            if x.tag == "#text" and (x.text == y.text or _white(x.text) == _white(y.text)):
+                found[id(y)] = number[id(x)]
+        return found
+
+    def learn(self, pages: int, votes: list[tuple[int, int]]) -> Wrapper:
+        """Constant texts by the pages that have the same text there."""
+        for number, n in votes:
+            share = n >= INNER_SHARE * pages and pages >= INNER_PAGES if self.inner[number] else n >= CONSTANT_SHARE * pages
+            if share:
+                self.constant.add(id(self.texts[number]))
+        return self
 
 
 def _cut(root: Node, varies: dict[int, bool]) -> tuple[set[int], Node]:
@@ -282,11 +453,13 @@ def _cut(root: Node, varies: dict[int, bool]) -> tuple[set[int], Node]:
     return left_out, named[-1] if named else root
 
 
-def extract(page: str | None, constants: dict[int | None, set[int]]) -> str:
-    """The main text of a page, by the constant texts of its host (key None) and of each template."""
+def extract(page: str | None, wrapper: Wrapper | None) -> str:
+    """The main text of a page, by the wrapper of its template."""
     root = parse(page)
-    constant = constants.get(None, set()) | constants.get(texts_of(root)[0], set())
-    same = {id(n): _mark(p, _white(n.text)) in constant for n, p, _, _ in _paths(root) if n.tag == "#text"}
+    same = {id(node): False for node, _, _, _ in _paths(root) if node.tag == "#text"}
+    if wrapper and wrapper.constant:
+        same |= {at: id(wrapper.texts[number]) in wrapper.constant for at, number in wrapper.same(root).items()}
+    constant = any(same.values())
     left_out, top = _cut(root, {k: not v for k, v in same.items()})
     blocks: list[str] = []
     run: list[tuple[str, bool]] = []
@@ -316,80 +489,103 @@ def extract(page: str | None, constants: dict[int | None, set[int]]) -> str:
     return "\n\n".join(blocks)
 
 
-def wrappers(pages: DataFrame, page: str = "html") -> DataFrame:
-    """``host, wrapper`` (JSON rows of template and mark) for each host of ``pages`` with constant texts."""
+_MADE = 256  # wrappers that a task keeps made
+
+
+def wrappers(hosted: DataFrame, page: str = "html") -> tuple[DataFrame, DataFrame]:
+    """Which pages go with which representative, and the wrappers.
+
+    The first: ``host, page, rep`` (hashes) for each distinct page of ``hosted`` (``host`` and the html). The second:
+    ``host, rep, wrapper_html, pages, votes`` for each representative.
+    """
+    digest = F.xxhash64(page)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [texts_of(parse(p)) for p in batch.column(2).to_pylist()]
-            marks = [[{"mark": m, "inner": i} for m, i in sorted(t[1].items())] for t in found]
-            kind = pa.list_(pa.struct([("mark", pa.int64()), ("inner", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([t[0] for t in found], pa.int64()), pa.array(marks, kind)],
-                names=["host", "page", "template", "marks"],
-            )
-
-    html = F.coalesce(F.col(page), F.lit(""))
-    told = pages.select("host", F.xxhash64(html).alias("page"), html.alias("html")).mapInArrow(
-        run, "host string, page long, template long, marks array<struct<mark:long,inner:boolean>>"
-    )
-    # copies of a page count once; the row without a mark counts pages
-    told = told.filter(F.size("marks") > 0).groupBy("host", "page").agg(F.first(F.struct("template", "marks")).alias("t"))
-    every = F.explode(F.concat(F.array(F.lit(None).cast("struct<mark:long,inner:boolean>")), F.col("t.marks"))).alias("m")
-    counts = told.select("host", F.col("t.template").alias("template"), every)
-    counts = counts.groupBy("host", "template", "m.mark", "m.inner").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    of_host = counts.groupBy("host", "mark", "inner").agg(F.sum("n").alias("n")).withColumn("template", F.lit(None).cast("long"))
-    found = None
-    for level, least in ((counts, TEMPLATE_PAGES), (of_host, HOST_PAGES)):
-        size = level.filter(F.col("mark").isNull() & (F.col("n") >= least))
-        size = size.select("host", F.col("template").alias("__t"), F.col("n").alias("pages"))
-        often = level.filter(F.col("mark").isNotNull() & (F.col("n") >= 2))
-        met = often.join(size, (often["host"] == size["host"]) & often["template"].eqNullSafe(size["__t"])).drop(size["host"])
-        met = met.filter(_is_constant()).select("host", "template", "mark")
-        found = met if found is None else found.unionByName(met)
-    rows = F.sort_array(F.collect_list(F.struct("template", "mark")))
-    return found.groupBy("host").agg(F.to_json(rows).alias("wrapper"))
-
-
-def _is_constant() -> Column:
-    inner = (F.col("pages") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("pages"))
-    return F.when(F.col("inner"), inner).otherwise(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-
-
-def _constants(wrapper: str | None) -> dict[int | None, set[int]]:
-    constants: dict[int | None, set[int]] = {}
-    for row in json.loads(wrapper or "[]"):
-        constants.setdefault(row.get("template"), set()).add(row["mark"])
-    return constants
+            found = [template_of(parse(p)) for p in batch.column(2).to_pylist()]
+            arrays = [batch.column(0), batch.column(1), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "page", "template"])
+
+    told = hosted.select("host", digest.alias("page"), page).mapInArrow(run, "host string, page long, template long")
+    told = told.filter("template >= 0").distinct().checkpoint()
+    kinds = told.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("rep")).checkpoint()
+    hosts = kinds.groupBy("host").agg(F.max_by("rep", F.struct("n", "template")).alias("main"), F.sum("n").alias("all")).checkpoint()
+    of = kinds.join(hosts, "host").filter(F.col("all") >= HOST_PAGES)
+    of = of.select("host", "template", F.when(F.col("n") >= TEMPLATE_PAGES, F.col("rep")).otherwise(F.col("main")).alias("rep")).checkpoint()
+    pages = told.join(of, ["host", "template"]).select("host", "page", "rep").checkpoint()
+    reps = of.select("host", "rep").distinct()
+    made = hosted.select("host", digest.alias("rep"), F.col(page).alias("wrapper_html")).join(_shared(reps, 16), ["host", "rep"])
+    made = made.dropDuplicates(["host", "rep"]).checkpoint()
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, Wrapper] = {}
+        for batch in batches:
+            same = []
+            for own, other in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if other not in known:
+                    if len(known) >= _MADE:
+                        known.clear()
+                    known[other] = Wrapper.of(other)
+                same.append(sorted(known[other].same(parse(own)).values()))
+            arrays = [*(batch.column(k) for k in range(3)), pa.array(same, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "rep", "page", "same"])
+
+    met = _met(hosted.select("host", digest.alias("page"), F.col(page).alias("html")), pages, made)
+    votes = met.select("host", "rep", "page", "html", "wrapper_html").mapInArrow(vote, "host string, rep long, page long, same array<int>")
+    # copies of a page count once
+    votes = votes.groupBy("host", "rep", "page").agg(F.first("same").alias("same"))
+    votes = votes.select("host", "rep", F.explode("same").alias("node")).groupBy("host", "rep", "node").agg(F.count(F.lit(1)).alias("n"))
+    sizes = pages.groupBy("host", "rep").agg(F.count(F.lit(1)).alias("pages")).checkpoint()
+    votes = votes.join(sizes, ["host", "rep"]).filter(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    votes = votes.groupBy("host", "rep", "pages").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("votes"))
+    return pages, made.join(votes, ["host", "rep"]).checkpoint()
+
+
+def _shared(table: DataFrame, width: int) -> DataFrame:
+    """A table for a join: broadcast if its measured size allows."""
+    return F.broadcast(table) if table.count() * width <= BROADCAST_BYTES else table
+
+
+def _met(hosted: DataFrame, pages: DataFrame, made: DataFrame, how: str = "inner") -> DataFrame:
+    """Pages (``host, page``) with their wrapper's columns; small tables go to all tasks."""
+    size = made.agg(F.sum(F.length("host") + F.length("wrapper_html") + 64)).first()[0] or 0
+    told = hosted.join(_shared(pages.withColumnRenamed("host", "__h").withColumnRenamed("page", "__p"), 64),
+                       (F.col("host") == F.col("__h")) & (F.col("page") == F.col("__p")), how)
+    told = told.drop("__h", "__p")
+    made = made.withColumnRenamed("host", "__h").withColumnRenamed("rep", "__r")
+    met = told.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, (F.col("host") == F.col("__h")) & (F.col("rep") == F.col("__r")), how)
+    return met.drop("__h", "__r")
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``pages`` without the html, with ``host, text, n_chars``."""
     ensure_checkpoint_dir(pages.sparkSession)
-    added = {"host", "wrapper", "text", "n_chars"} - {key, url, page}
-    hosted = pages.drop(*added).withColumn("host", host_of(F.col(url)))
-    found = wrappers(hosted, page).checkpoint()
-    size = found.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
-    joined = hosted.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
-    names = joined.columns
-    kept = [c for c in names if c not in (page, "wrapper")]
+    own = pages.drop(*({"host", "text", "n_chars"} - {key, url, page}))
+    kept = [c for c in own.columns if c != page]
+    row = "row"
+    plain = own.select(F.struct(*kept).alias(row), F.coalesce(F.col(page), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
+    told, made = wrappers(plain.select("host", "html"))
+    joined = _met(plain.withColumn("page", F.xxhash64("html")), told, made, "left")
+    joined = joined.select(row, "host", "html", "wrapper_html", "pages", "votes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, Wrapper | None] = {None: None}
         for batch in batches:
-            known: dict[str | None, dict] = {}
             texts = []
-            for html, wrapper in zip(*(batch.column(names.index(c)).to_pylist() for c in (page, "wrapper")), strict=True):
-                if wrapper not in known:
-                    known[wrapper] = _constants(wrapper)
-                texts.append(extract(html, known[wrapper]))
+            for html, rep, n, votes in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                if rep not in known:
+                    if len(known) >= _MADE:
+                        known = {None: None}
+                    known[rep] = Wrapper.of(rep).learn(n, [(v["node"], v["n"]) for v in votes])
+                texts.append(extract(html, known[rep]))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(names.index(c)) for c in kept), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())],
-                names=[*kept, "text", "n_chars"],
-            )
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=[row, "host", "text", "n_chars"],
+            )
 
-    schema = joined.select(*kept, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-    return joined.mapInArrow(run, schema)
+    schema = joined.select(row, "host", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    found = joined.mapInArrow(run, schema)
+    return found.select(*[F.col(row)[c].alias(c) for c in kept], *[c for c in ("host", "text", "n_chars") if c not in kept])
 
 
 def op9_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
