@@ -10,6 +10,7 @@ from textloom.operators import labelers
 from textloom.plans import generation, model, providers
 from textloom.plans.pipeline import Run, RunConfig
 from textloom.sources import artifacts, corpus, store
+from textloom.streaming import predict
 from textloom.types import (
     NONE_KEY, Agreement, Axis, DataPlan, Decision, HParamPatch, LabelDef, Metrics, RoundResult, Split, TaskKind, TaskSpec,
     TrainConfig,
@@ -156,6 +157,40 @@ def test_span_model_and_json(spark):
     assert {"text", "label", "start", "end", "score"} == set(line["spans"][0])
 
 
+def test_warm_start_goes_on(spark):
+    """A round that starts from the last one's coefficients begins with a lower loss than one that starts anew."""
+    rows = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i}", ["pos" if i % 2 else "neg"]) for i in range(60)], "id long, text string, labels array<string>")
+    first = model.train(BINARY, rows, TrainConfig("mllib", epochs=3))
+    little = TrainConfig("mllib", epochs=0.1)
+    cold, warm = model.train(BINARY, rows, little), model.train(BINARY, rows, little, first)
+    loss = [m.stages[-1].summary.objectiveHistory[0] for m in (cold, warm)]
+    assert loss[1] < 0.5 * loss[0]
+
+
+def test_characters_where_words_hide_spans(spark, tmp_path):
+    spec = TaskSpec("Mark numbers.", TaskKind.SPAN, (LabelDef("N"),))
+    rows = spark.createDataFrame([(i, f"abc{i + 10}def ghi{i}jk") for i in range(40)], "id long, text string")
+    marked = labelers.pattern_spans("[0-9]+", "N")(rows)
+    assert model.token_context(marked) == model.CHARACTERS
+    fitted = model.train(spec, marked, TrainConfig("mllib", epochs=2, weight_decay=0.0))
+    found = model.evaluate(spec, fitted, marked)
+    assert found.primary > 0.9 and found.unreachable_spans == 0
+
+
+def test_predictions_over_a_stream(spark, tmp_path):
+    """Equal lines of a batch are each given their own spans."""
+    spec = TaskSpec("Mark numbers.", TaskKind.SPAN, (LabelDef("N"),))
+    rows = spark.createDataFrame([(i, f"abc {i + 10} def {i}") for i in range(40)], "id long, text string")
+    fitted = model.train(spec, labelers.pattern_spans("[0-9]+", "N")(rows), TrainConfig("mllib", epochs=2, weight_decay=0.0))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("abc 12 def 3\n\nabc 12 def 3\nabc 25 def 7\n")
+    out: list[str] = []
+    emit = lambda frame: out.extend(r["value"] for r in frame.collect())
+    predict.predict_stream(spark, spec, fitted, str(tmp_path / "in"), emit, str(tmp_path / "state")).awaitTermination()
+    assert sorted(json.loads(v)["text"] for v in out) == ["abc 12 def 3", "abc 12 def 3", "abc 25 def 7"]
+    assert [len(json.loads(v)["spans"]) for v in out] == [2, 2, 2]
+
+
 def test_judge_accepts_without_asking():
     result = RoundResult(0, TrainConfig("m"), Metrics(0.95, 0.9, (), 10))
     verdict = generation.judge(BINARY, DataPlan({}), [result], {}, [], None, 0.9, True)
@@ -175,7 +210,10 @@ def test_types_check():
         TaskSpec("r", TaskKind.BINARY, (LabelDef("a"),))
     with pytest.raises(ValueError):
         HParamPatch(epochs=0)
-    assert HParamPatch(epochs=5).apply(TrainConfig("m")).epochs == 5
+    assert HParamPatch(epochs=5).apply(TrainConfig("m")).epochs == 5 and HParamPatch(epochs=0.5, batch_size=4096).given
+    for bad in ({"learning_rate": 1.0}, {"max_length": 7}, {"warmup_ratio": 1.0}, {"weight_decay": -0.1}, {"batch_size": 0}):
+        with pytest.raises(ValueError):
+            HParamPatch(**bad)
     assert (Agreement(1, 1, 1) + Agreement(1)).rate == 2 / 3 and Agreement().rate is None
     with pytest.raises(ValueError):
         RunConfig("x", "rule", corpus="c.txt")

@@ -17,15 +17,27 @@ def with_norm(rows: DataFrame, text: str = "text", norm: Column | None = None) -
     return rows.withColumn("norm", normalized(F.col(text)) if norm is None else norm)
 
 
-def first_per_norm(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """Of rows with equal ``norm`` the first in order; the aggregate combines before the shuffle."""
-    first = rows.groupBy("norm").agg(F.min(order).alias(order))
-    return rows.join(first, ["norm", order], "left_semi")
+def digest(norm: str | Column = "norm") -> Column:
+    """128 bits that stand for a normalized text, so that no text is a key of a shuffle."""
+    return F.unhex(F.md5(norm))
+
+
+def first_per_norm(rows: DataFrame, order: str = "seq", *also: str) -> DataFrame:
+    """Of rows with equal ``norm`` (and ``also``) the first in order, which tells all rows apart.
+
+    Only digests are grouped, combined before the shuffle; groups of several rows are joined back, the rest pass.
+    """
+    keyed = rows.withColumn("__digest", digest())
+    names = ["__digest", *also]
+    groups = keyed.groupBy(*names).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    joined = keyed.join(groups, names, "left").filter(F.col("__first").isNull() | (F.col(order) == F.col("__first")))
+    return joined.select(*rows.columns)
 
 
 def not_seen(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows whose ``norm`` is not among ``seen``'s."""
-    return rows.join(seen.select("norm"), "norm", "left_anti")
+    """Rows whose ``norm`` is not among ``seen``'s; null norms are not."""
+    known = seen.select(digest().alias("__digest")).distinct()
+    return rows.withColumn("__digest", digest()).join(known, "__digest", "left_anti").drop("__digest")
 
 
 def insertable(rows: DataFrame, stored: DataFrame, order: str = "seq") -> DataFrame:

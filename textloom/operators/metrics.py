@@ -5,10 +5,11 @@ Predictions are a frame with ``id, labels, pred_labels`` (classification) or ``i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import describe
+from textloom.operators.pools import with_position
 from textloom.types import LabelScore, Metrics, TaskKind, TaskSpec
 
 MAX_ERRORS = 20
@@ -111,12 +112,10 @@ def errors(pairs: DataFrame, kind: TaskKind) -> DataFrame:
 
 def error_sample(wrong: DataFrame, order: str, most: int = MAX_ERRORS) -> DataFrame:
     """Every stride-th error in order, at most ``most``, stride ``max(1, n // most)``."""
-    n = wrong.count()
-    stride = max(1, n // most)
-    # only the first stride * most errors can be in the sample, so only these are ranked
-    head = wrong.orderBy(order).limit(stride * most)
-    ranked = head.withColumn("__rank", F.row_number().over(Window.orderBy(order)) - 1)
-    return ranked.filter(F.col("__rank") % stride == 0).drop("__rank")
+    stride = max(1, wrong.count() // most)
+    placed = with_position(wrong.select(order), order)
+    chosen = placed.filter(((F.col("position") - 1) % stride == 0) & (F.col("position") <= stride * most))
+    return wrong.join(F.broadcast(chosen.select(order)), order, "left_semi")  # at most ``most`` rows
 
 
 def evaluate(pairs: DataFrame, spec: TaskSpec, text: str = "text", keep_errors: int = MAX_ERRORS) -> Metrics:

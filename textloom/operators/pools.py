@@ -55,7 +55,7 @@ def chunk_id(order: str, size: int) -> Column:
 def with_position(rows: DataFrame, *order: str) -> DataFrame:
     """Add ``position`` from 1 on in a total order, without ranking all rows in one task.
 
-    Rows are sorted by range; the partitions' sizes (a number each) give the offsets.
+    Rows are sorted by range; the partitions' sizes (a number each) give the offsets, as a table of their own.
     """
     numbered = (
         rows.repartitionByRange(*order)
@@ -64,11 +64,11 @@ def with_position(rows: DataFrame, *order: str) -> DataFrame:
         .withColumn("__id", F.monotonically_increasing_id())
         .checkpoint()
     )
-    sizes = {r["__part"]: r["n"] for r in numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, pairs = 0, []
-    for part in sorted(sizes):
-        pairs += [F.lit(part), F.lit(offset)]
-        offset += sizes[part]
-    shift = F.element_at(F.create_map(*pairs), F.col("__part")) if pairs else F.lit(0)
-    place = F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33) + shift + 1
-    return numbered.withColumn("position", place.cast("long")).drop("__part", "__id")
+    offset, starts = 0, []
+    for row in numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect():
+        starts.append((row["__part"], offset))
+        offset += row["n"]
+    shifts = F.broadcast(rows.sparkSession.createDataFrame(starts, "__part int, __shift long"))  # a row for each partition
+    place = F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33) + F.col("__shift") + 1
+    joined = numbered.join(shifts, "__part").withColumn("position", place.cast("long"))
+    return joined.drop("__part", "__id", "__shift")

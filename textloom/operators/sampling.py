@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.dedup import not_seen, with_norm
+from textloom.operators.dedup import digest, first_per_norm, not_seen, with_norm
 from textloom.operators.labelers import Labeler
 from textloom.operators.quotas import bucket
 
@@ -52,27 +52,33 @@ def first_per_bucket(found: DataFrame, quotas: dict[str, int], order: str, extra
 
 def unique_per_bucket(found: DataFrame, order: str) -> DataFrame:
     """First row of each (norm, bucket)."""
-    first = found.groupBy("norm", "bucket").agg(F.min(order).alias(order))
-    return found.join(first, ["norm", "bucket", order], "left_semi")
+    return first_per_norm(found, order, "bucket")
 
 
 def collect(found: DataFrame, quotas: dict[str, int], order: str = "position") -> DataFrame:
     """Rows that the scan collects, before the stall rule.
 
     A text is skipped once it is collected, not once it is seen. So equal texts with different labels may fill two
-    buckets' candidates: for each such text one more row of every bucket is kept, and that bounded set is replayed.
+    buckets' candidates. The first rows of each bucket are replayed on the driver, as many as its quota; where skipped
+    texts leave a bucket short that has more rows, the first twice as many are, and so on. So the driver holds
+    digests of a few times the quotas, whatever the data.
     """
-    unique = unique_per_bucket(found, order)
-    conflicts = unique.groupBy("norm").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count()
-    chosen = first_per_bucket(unique, quotas, order, conflicts)
-    if not conflicts:
+    unique = unique_per_bucket(found, order).checkpoint()
+    extra = 0
+    while True:
+        chosen = first_per_bucket(unique, quotas, order, extra)
+        left, used, places, met = dict(quotas), set(), [], dict.fromkeys(quotas, 0)
+        for row in chosen.select(order, digest().alias("d"), "bucket").orderBy(order).collect():
+            met[row["bucket"]] += 1
+            if row["d"] not in used and left[row["bucket"]] > 0:
+                used.add(row["d"])
+                left[row["bucket"]] -= 1
+                places.append((row[order],))
+        if not any(left[b] and met[b] >= quotas[b] + extra for b in quotas):
+            break
+        extra = max(16, 2 * extra)
+    if len(places) == sum(met.values()):
         return chosen
-    left, used, places = dict(quotas), set(), []
-    for row in chosen.select(order, "norm", "bucket").orderBy(order).collect():
-        if row["norm"] not in used and left[row["bucket"]] > 0:
-            used.add(row["norm"])
-            left[row["bucket"]] -= 1
-            places.append((row[order],))
     kept = found.sparkSession.createDataFrame(places, f"{order} long")
     return chosen.join(F.broadcast(kept), order, "left_semi")
 

@@ -77,9 +77,24 @@ def task_text(spec: TaskSpec) -> str:
     return "\n".join(parts)
 
 
-SPEC_PROMPT = "Turn a labeling rule into a task: its kind, its labels with a description each, the texts it is for."
-PLAN_PROMPT = "Plan a data set for a labeling task: label weights, axes along which texts vary, hard cases, style, seeds."
-JUDGE_PROMPT = "Decide how to go on after a training round: accept, more_data with focus items, tune with options, or stop."
+SPEC_PROMPT = (
+    "Turn a labeling rule into a task. Choose its kind: binary (two labels, exactly one holds), multiclass (exactly one of "
+    "several), multilabel (any number, or none) or span (parts of the text are marked). Name each label in Latin letters, "
+    "digits and underscores, beginning with a letter, and describe it so that two people would decide alike; a binary task "
+    "needs a label for the case and one for its absence. Spans never overlap and are exact quotes. Say which texts the task "
+    "is for, in which language, and how to decide at the border of the rule."
+)
+PLAN_PROMPT = (
+    "Plan a data set for a labeling task. Give every label a weight (for tasks whose texts may have no label, also "
+    f"{NONE_KEY}). Name three to six axes along which texts of any label vary, such as topic, register, length or place of "
+    "the evidence, each with 4 to 8 short values; no axis may give the label away. List hard cases: texts that look like "
+    "one label and have another. Describe style. Seeds are short, real-sounding texts from the research, and only from there."
+)
+JUDGE_PROMPT = (
+    "Decide how to go on after a training round. accept: the result serves its purpose. more_data: say in focus, in a few "
+    "items, what kinds of text are missing, told from the validation errors. tune: give only the options to change, when the "
+    "data are enough but training is not. stop: more rounds would not help. Compare all rounds and give a short reason."
+)
 
 
 def research_prompt(spec: TaskSpec) -> str:
@@ -272,16 +287,17 @@ def parsed(replies: DataFrame, spec: TaskSpec) -> DataFrame:
 
 
 def generate(
-    spark: SparkSession, spec: TaskSpec, plan: DataPlan, writer: Provider, count: int, seen: set[str], shown: list[str],
+    spark: SparkSession, spec: TaskSpec, plan: DataPlan, writer: Provider, count: int, stored: DataFrame, shown: list[str],
     focus: Sequence[str] = (), workers: int = 4, seed: int = 0, max_calls: int | None = None,
 ) -> list[dict[str, Any]]:
     """Up to ``count`` new examples in order of requests; stops when the budget is spent or waves keep failing.
 
-    ``count`` is what a data set of written examples needs, so examples pass through the driver.
+    ``count`` is what a data set of written examples needs, so examples pass through the driver. ``stored`` (``norm``)
+    does not: each wave's norms are looked up in it.
     """
     rng = random.Random(seed)
     budget = max_calls or max(workers, 3 * math.ceil(count / BATCH))
-    keys = {normalize_text(t) for t in seen}
+    keys: set[str] = set()
     out: list[dict[str, Any]] = []
     calls = failed = 0
     while len(out) < count and calls < budget and failed < FAILED_WAVES:
@@ -291,11 +307,15 @@ def generate(
         replies = _asked(spark, spec, writer, prompts).cache()
         calls += wave
         failed = failed + 1 if replies.filter("reply is not null").isEmpty() else 0
-        for row in parsed(replies, spec).orderBy("call", "item").collect():
+        made = dedup.with_norm(parsed(replies, spec)).cache()
+        known = stored.select("norm").join(F.broadcast(made.select("norm").distinct()), "norm", "left_semi").distinct()
+        keys.update(r["norm"] for r in known.collect())
+        for row in made.orderBy("call", "item").collect():
             key = normalize_text(row["text"])
             if key not in keys and len(out) < count:
                 keys.add(key)
                 out.append({"text": row["text"], "labels": list(row["labels"]), "spans": [s.asDict() for s in row["spans"]]})
+        made.unpersist()
         replies.unpersist()
     return out
 

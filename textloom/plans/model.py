@@ -9,7 +9,7 @@ from dataclasses import replace
 from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -68,14 +68,22 @@ def _features(column: str, words: bool) -> list:
 
 def _regression(label: str, config: TrainConfig, name: str = "") -> LogisticRegression:
     return LogisticRegression(
-        featuresCol="features", labelCol=label, maxIter=10 * config.epochs, regParam=config.weight_decay / 10,
+        featuresCol="features", labelCol=label, maxIter=max(1, round(10 * config.epochs)), regParam=config.weight_decay / 10,
         rawPredictionCol=f"raw{name}", probabilityCol=f"probability{name}", predictionCol=f"prediction{name}",
     )
 
 
-def _token_rows(rows: DataFrame) -> DataFrame:
-    """A row for each word of a text: its neighbourhood as a string, its offsets and its tag's id if spans are known."""
-    tokens = rows.withColumn("__tokens", spans.word_tokens(F.col("text")))
+#: The column of token contexts tells what the tokens are, also in a stored model.
+WORDS, CHARACTERS = "context", "character_context"
+
+
+def _tokens(context: str) -> Column:
+    return spans.character_tokens(F.col("text")) if context == CHARACTERS else spans.word_tokens(F.col("text"))
+
+
+def _token_rows(rows: DataFrame, named: str) -> DataFrame:
+    """A row for each token of a text: its neighbourhood as a string, its offsets and its tag's id if spans are known."""
+    tokens = rows.withColumn("__tokens", _tokens(named))
     if "spans" in rows.columns:
         tokens = tokens.withColumn("__tags", spans.bio_tags(F.col("spans"), F.col("__tokens")))
     else:
@@ -88,28 +96,49 @@ def _token_rows(rows: DataFrame) -> DataFrame:
         shape = F.regexp_replace(F.regexp_replace(w, r"\p{N}", "9"), r"\p{Lu}", "A")
         return F.concat(F.lit(f"w{k}="), w, F.lit(f" s{k}="), shape)
 
-    context = F.concat_ws(" ", *[word(k) for k in (-1, 0, 1)])
-    return each.select("id", "text", "pos", "token", F.get("__tags", F.col("pos")).alias("tag"), context.alias("context"))
+    context = F.concat_ws(" ", *[word(k) for k in ((-2, -1, 0, 1, 2) if named == CHARACTERS else (-1, 0, 1))])
+    return each.select("id", "text", "pos", "token", F.get("__tags", F.col("pos")).alias("tag"), context.alias(named))
+
 
+def token_context(rows: DataFrame) -> str:
+    """What the tokens of a span task are: words, or characters if too many gold spans cut through words."""
+    lost = spans.unreachable(F.col("text"), F.col("spans"), spans.word_tokens(F.col("text")))
+    total = rows.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n"), F.coalesce(F.sum(lost), F.lit(0)).alias("lost")).first()
+    return CHARACTERS if spans.needs_characters(total["n"], total["lost"]) else WORDS
 
-def train(spec: TaskSpec, rows: DataFrame, config: TrainConfig) -> PipelineModel:
-    """Fit on ``id, text, labels, spans``."""
+
+def _fitted(stages: list, rows: DataFrame, start: PipelineModel | None) -> PipelineModel:
+    """Fit stages; regressions go on from the coefficients of ``start`` (the same task) where their shapes agree."""
+    if start is not None and len(start.stages) == len(stages):
+        for stage, before in zip(stages, start.stages, strict=True):
+            if isinstance(stage, LogisticRegression) and isinstance(before, LogisticRegressionModel):
+                stage._java_obj.setInitialModel(before._java_obj)
+    return Pipeline(stages=stages).fit(rows)
+
+
+def train(spec: TaskSpec, rows: DataFrame, config: TrainConfig, start: PipelineModel | None = None) -> PipelineModel:
+    """Fit on ``id, text, labels, spans``, from the coefficients of ``start`` if given.
+
+    Of the options, epochs (optimizer steps) and weight decay (ridge) have a meaning here; learning rate, batch size,
+    length and warm-up are those of an encoder and are kept for one that plugs in.
+    """
     if spec.kind is TaskKind.SPAN:
-        tagged = _token_rows(rows).withColumn("label", spans.class_id(spec, F.col("tag")).cast("double"))
+        context = start.stages[0].getInputCol() if start is not None else token_context(rows)
+        tagged = _token_rows(rows, context).withColumn("label", spans.class_id(spec, F.col("tag")).cast("double"))
         stages = [
-            RegexTokenizer(inputCol="context", outputCol="__words", pattern=" ", toLowercase=False),
+            RegexTokenizer(inputCol=context, outputCol="__words", pattern=" ", toLowercase=False),
             HashingTF(inputCol="__words", outputCol="features", numFeatures=FEATURES),
             _regression("label", config),
         ]
-        return Pipeline(stages=stages).fit(tagged)
+        return _fitted(stages, tagged, start)
     if spec.kind is TaskKind.MULTILABEL:
         marked = rows
         for i, name in enumerate(spec.names):
             marked = marked.withColumn(f"label{i}", F.array_contains("labels", name).cast("double"))
         each = [_regression(f"label{i}", config, str(i)) for i in range(len(spec.names))]
-        return Pipeline(stages=[*_features("text", True), *each]).fit(marked)
+        return _fitted([*_features("text", True), *each], marked, start)
     marked = rows.withColumn("label", spans.class_id(spec, F.get("labels", 0)).cast("double"))
-    return Pipeline(stages=[*_features("text", True), _regression("label", config)]).fit(marked)
+    return _fitted([*_features("text", True), _regression("label", config)], marked, start)
 
 
 def predict(spec: TaskSpec, model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -117,7 +146,7 @@ def predict(spec: TaskSpec, model: PipelineModel, rows: DataFrame) -> DataFrame:
     names = spec.names
     if spec.kind is TaskKind.SPAN:
         plain = rows.select("id", "text")
-        tags = model.transform(_token_rows(plain)).withColumn("p", vector_to_array("probability"))
+        tags = model.transform(_token_rows(plain, model.stages[0].getInputCol())).withColumn("p", vector_to_array("probability"))
         tag_name = F.get(F.array(*map(F.lit, spans.label_names(spec))), F.col("prediction").cast("int"))
         item = F.struct(
             "pos", F.struct("token.start", "token.end", "token.special", F.array_max("p").alias("prob")).alias("token"), tag_name.alias("tag")
@@ -172,5 +201,5 @@ def evaluate(spec: TaskSpec, model: PipelineModel, rows: DataFrame):
     found = metrics.evaluate(rows.join(predicted, "id"), spec)
     if spec.kind is not TaskKind.SPAN:
         return found
-    lost = spans.unreachable(F.col("text"), F.col("spans"), spans.word_tokens(F.col("text")))
+    lost = spans.unreachable(F.col("text"), F.col("spans"), _tokens(model.stages[0].getInputCol()))
     return replace(found, unreachable_spans=rows.agg(F.coalesce(F.sum(lost), F.lit(0))).first()[0])

@@ -16,6 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.text import normalize_text
 from textloom.operators import labelers, quotas, sampling
 from textloom.operators.metrics import MAX_ERRORS
 from textloom.operators.pools import split_train_valid
@@ -33,6 +34,8 @@ from textloom.types import (
 
 log = logging.getLogger(__name__)
 
+#: Stored texts of which prompts may quote some.
+SHOWN = 1000
 TOP_UP_SHARE, TOP_UP_FACTOR = 0.05, 1.5
 _RANGES = {"corpus_max_chars": 20, "examples": 2, "test_examples": 1, "examples_per_round": 1, "max_rounds": 1, "workers": 1}
 
@@ -180,7 +183,8 @@ class Run:
         warm = artifacts.cached(folder / "init.json", RoundInit, lambda: RoundInit(warm)).warm_from
         if not (folder / "model").exists():
             folder.mkdir(parents=True, exist_ok=True)
-            model.save(model.train(spec, self.store.load(Split.TRAIN), used), folder / "model")
+            start = None if warm is None else PipelineModel.load(str(self.root / "rounds" / str(warm) / "model"))
+            model.save(model.train(spec, self.store.load(Split.TRAIN), used, start), folder / "model")
         fitted = PipelineModel.load(str(folder / "model"))
 
         def scored(split: Split) -> Metrics:
@@ -258,15 +262,19 @@ class Run:
 
     def _written(self, spec, plan, labeler, writer, checker, count: int, focus, seed: int) -> DataFrame:
         """Written examples that hold: the labeler's word where it has one, else a second annotator's agreement."""
-        seen = {r["text"] for r in self.store.texts().collect()}
-        shown = [r["text"] for r in self.store.texts(Split.TRAIN, Split.VALID).collect()]
+        written: set[str] = set()
+        own = self.store.rows().filter(F.col("split") != Split.TEST.value)
+        shown = [r["text"] for r in own.select("text").orderBy(F.xxhash64("text", F.lit(seed)), "id").limit(SHOWN).collect()]
         check = generation.annotator(spec, checker)
 
         def batch(n: int, batch_seed: int, base: int) -> DataFrame:
+            known = self.store.rows().select("norm")
+            if written:
+                known = known.unionByName(self.spark.createDataFrame([(t,) for t in sorted(written)], "norm string"))
             made = generation.generate(
-                self.spark, spec, plan, writer, n, seen, shown, focus, self.config.workers, batch_seed
+                self.spark, spec, plan, writer, n, known, shown, focus, self.config.workers, batch_seed
             )
-            seen.update(m["text"] for m in made)
+            written.update(normalize_text(m["text"]) for m in made)
             rows = [(base + i, m["text"], m["labels"], m["spans"]) for i, m in enumerate(made)]
             drafts = self.spark.createDataFrame(rows, EXAMPLE)
             if labeler is not None:

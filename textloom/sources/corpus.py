@@ -49,7 +49,8 @@ def read_documents(spark: SparkSession, path: str, split_gzip: int = 0) -> DataF
 
 def read_passages(spark: SparkSession, path: str, max_chars: int) -> DataFrame:
     """``position, pool, text`` of every passage; the pool is that of the whole document."""
-    docs = read_documents(spark, path).withColumn("pool", pool(F.col("text")))
+    spread = spark.sparkContext.defaultParallelism if str(path).endswith(".gz") else 0
+    docs = read_documents(spark, path, spread).withColumn("pool", pool(F.col("text")))
     each = explode_passages(docs, max_chars)
     return with_position(each, "file", "line", "passage_idx").select("position", "pool", "text")
 
