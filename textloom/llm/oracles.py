@@ -2,10 +2,71 @@
 
 from __future__ import annotations
 
+from textloom.llm.decontaminate import ENOUGH, MASKS, MIN_SHARE, MIN_TOKENS
+
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_TOKENS = (
+    r"list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), "
+    r"'[^\p{L}\p{M}\p{N}\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g'), "
+    r"'[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')"
+)
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _masked(n: str) -> str:
+    """Tokens under the ones of every mask laid at each place of ``ts``, as text; the mask must fit in ``n`` tokens."""
+    parts = []
+    for number, mask in enumerate(MASKS):
+        cared = ", ".join(f"ts[i + {k}]" for k, bit in enumerate(mask) if bit == "1")
+        parts.append(f"CASE WHEN i + {len(mask) - 1} <= {n} THEN concat_ws(' ', '{number}', {cared}) END")
+    return f"unnest([{', '.join(parts)}])"
+
+
 SQL: dict[str, str] = {
+    # tokens under the masks instead of their hashes; a short item is its own mask. A stretch ends at a place with a score
+    # of 2.5 for each match less 1.5 for each token since the last lowest sum before it
+    "op1_spaced_seed_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, ts FROM (SELECT DISTINCT doc_id, {_TOKENS} AS ts FROM documents)),
+        b AS (SELECT item_id, ts, len(ts) AS n FROM (SELECT item_id, {_TOKENS} AS ts FROM benchmark) WHERE len(ts) > 0),
+        items AS (SELECT row_number() OVER () AS item, ts, len(ts) AS n FROM (SELECT DISTINCT ts FROM b)),
+        item_seeds AS (SELECT item, i, {_masked("n")} AS k FROM items, unnest(range(1, n + 1)) AS u(i) WHERE n >= {MIN_TOKENS}),
+        doc_seeds AS (SELECT r, i, {_masked("len(ts)")} AS k FROM d, unnest(range(1, len(ts) + 1)) AS u(i)),
+        hits AS (
+          SELECT DISTINCT r, item, x.i - y.i AS shift FROM doc_seeds x JOIN item_seeds y USING (k)
+          UNION
+          SELECT r, item, i - 1 FROM items, d, unnest(range(1, len(d.ts) - n + 2)) AS u(i)
+          WHERE n < {MIN_TOKENS} AND list_contains(d.ts, items.ts[1]) AND d.ts[i:i + n - 1] = items.ts
+        ),
+        along AS (
+          SELECT r, item, shift, n, p, (shift + p >= 1 AND coalesce(d.ts[shift + p] = items.ts[p], false))::INT AS hit
+          FROM hits JOIN d USING (r) JOIN items USING (item), unnest(range(1, n + 1)) AS v(p)
+        ),
+        sums AS (
+          SELECT *, 2.5 * m - 1.5 * p AS s FROM (SELECT *, sum(hit) OVER (PARTITION BY r, item, shift ORDER BY p) AS m FROM along)
+        ),
+        lows AS (SELECT *, least(0, min(s) OVER (PARTITION BY r, item, shift ORDER BY p)) AS low FROM sums),
+        runs AS (
+          SELECT *, s - low AS score, m - coalesce(max(m) FILTER (s = low) OVER (PARTITION BY r, item, shift ORDER BY p), 0) AS run FROM lows
+        ),
+        diagonals AS (
+          SELECT r, item, shift, n, sum(hit) AS n_matched,
+            CASE WHEN max(score) > 0 THEN arg_max(run, (score, -p)) ELSE 0 END AS n_stretch
+          FROM runs GROUP BY r, item, shift, n
+        ),
+        judged AS (
+          SELECT *, CASE WHEN n < {MIN_TOKENS} THEN n ELSE greatest({MIN_TOKENS}, ceil({MIN_SHARE} * n - 1e-9)) END AS needed FROM diagonals
+        ),
+        best AS (
+          SELECT r, item, n, needed, max((n_matched, n_stretch)) AS best FROM judged
+          WHERE n_matched >= least(needed, {max(MIN_TOKENS, ENOUGH)}) GROUP BY r, item, n, needed
+        ),
+        found AS (
+          SELECT doc_id, item, n, max(best) AS best FROM best JOIN d USING (r)
+          WHERE best[1] >= needed OR (best[2] >= {max(MIN_TOKENS, ENOUGH)} AND n >= {MIN_TOKENS}) GROUP BY doc_id, item, n
+        )
+        SELECT DISTINCT doc_id, item_id, best[1]::INT AS n_matched, best[2]::INT AS n_stretch, found.n::INT AS n_item
+        FROM found JOIN items USING (item) JOIN b ON b.ts = items.ts""",
     "op4_token_group_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
         shingles AS (
