@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -202,11 +203,29 @@ VERSE = [
 ]
 
 
-def test_verses(spark):
-    assert labelers.verse_spans(VERSE, "HAIKU") == [{"start": 0, "end": 11, "label": "HAIKU"}]
-    assert labelers.verse_spans([unit("。", "補助記号")], "H") is None
-    assert labelers.verse_spans([*VERSE[:4], unit("。", "補助記号"), *VERSE[4:]], "H") == []
-    assert labelers.verse_spans([*VERSE[:4], unit("50", "名詞", "ゴ"), *VERSE[4:]], "H") == []
+def test_verses():
+    stop = unit("。", "補助記号")
+    texts = [VERSE, [stop], [*VERSE[:4], stop, *VERSE[4:]], [*VERSE[:4], unit("50", "名詞", "ゴ"), *VERSE[4:]], None, [], [*VERSE, stop, *VERSE]]
+    verse = {"start": 0, "end": 11, "label": "HAIKU"}
+    expected = [[verse], None, [], [], None, None, [verse, {"start": 12, "end": 23, "label": "HAIKU"}]]
+    assert labelers.verse_spans(texts, "HAIKU") == expected
+
+
+@pytest.mark.parametrize(("before", "unit_", "opens"), [
+    (None, unit("水", "名詞", "ミズ"), True), (None, unit("や", "助詞", "ヤ"), False),
+    (unit("お", "接頭辞", "オ"), unit("茶", "名詞", "チャ"), False), (unit("一", "名詞", "イチ"), unit("件", "名詞", "ケン"), False),
+    (unit("一", "名詞", "イチ"), unit("件", "名詞", "ケン", white=" "), True), (unit("。", "補助記号"), unit("件", "名詞", "ケン"), True),
+    (unit("通っ", "動詞", "カヨッ"), unit("いる", "動詞", "イル", "非自立可能"), False),
+    (unit("て", "助詞", "テ", "接続助詞"), unit("いる", "動詞", "イル", "非自立可能"), False),
+    (unit("で", "助詞", "デ"), unit("いる", "動詞", "イル", "非自立可能"), True), (unit("で", "助詞", "デ"), unit("見た", "動詞", "ミタ"), True),
+    (unit("静か", "形状詞", "シズカ"), unit("よう", "形状詞", "ヨウ", "助動詞語幹"), False),
+])
+def test_phrase_starts(before, unit_, opens):
+    rows = [{"text": 0, **u} for u in (before, unit_) if u]
+    assert labelers.measured(pd.DataFrame(rows))["opens"].tolist()[-1] is opens
+
+
+def test_verse_labeler(spark):
     spec = TaskSpec("r", TaskKind.SPAN, (LabelDef("HAIKU"),))
     rows = spark.createDataFrame([("古池や蛙飛び込む水の音", [tuple(u.values()) for u in VERSE])], "text string, units array<struct<surface:string,white_space:string,pos1:string,pos2:string,pron:string>>")
     assert [tuple(s) for s in labelers.verse_labeler(spec)(rows).first()["spans"]] == [(0, 11, "HAIKU")]

@@ -12,7 +12,7 @@ from textloom.plans.pipeline import Run, RunConfig
 from textloom.sources import artifacts, corpus, store
 from textloom.streaming import predict
 from textloom.types import (
-    NONE_KEY, Agreement, Axis, DataPlan, Decision, HParamPatch, LabelDef, Metrics, RoundResult, Split, TaskKind, TaskSpec,
+    NONE_KEY, Axis, DataPlan, Decision, HParamPatch, LabelDef, Metrics, RoundResult, Split, TaskKind, TaskSpec,
     TrainConfig,
 )
 
@@ -214,7 +214,6 @@ def test_types_check():
     for bad in ({"learning_rate": 1.0}, {"max_length": 7}, {"warmup_ratio": 1.0}, {"weight_decay": -0.1}, {"batch_size": 0}):
         with pytest.raises(ValueError):
             HParamPatch(**bad)
-    assert (Agreement(1, 1, 1) + Agreement(1)).rate == 2 / 3 and Agreement().rate is None
     with pytest.raises(ValueError):
         RunConfig("x", "rule", corpus="c.txt")
     with pytest.raises(ValueError):

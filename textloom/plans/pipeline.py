@@ -206,7 +206,7 @@ class Run:
 
     def _agreement(self) -> dict[str, Agreement]:
         rows = self.store.agreement().collect()
-        return {r["split"]: Agreement(r["agreed"], r["disagreed"], r["abstained"]) for r in rows}
+        return {r["split"]: Agreement(r["agreed"], r["disagreed"], r["abstained"], r["rate"]) for r in rows}
 
     def _state(self, n: int) -> None:
         told = {k: dataclasses.asdict(a) for k, a in self._agreement().items()}

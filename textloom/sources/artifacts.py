@@ -45,8 +45,9 @@ def load_rounds(root: Path) -> list[RoundResult]:
 
 
 def best(rounds: list[RoundResult]) -> RoundResult:
-    """The round with the best rank, the earliest at a tie."""
-    return max(rounds, key=lambda r: (r.rank, -r.round))
+    """The round with the best test score, then validation score (0 without one); the earliest at a tie."""
+    scores = {r.round: [m.primary if m else 0.0 for m in (r.metrics, r.valid_metrics)] for r in rounds}
+    return max(rounds, key=lambda r: (scores[r.round], -r.round))
 
 
 def link_best(root: Path, rounds: list[RoundResult]) -> Path:
