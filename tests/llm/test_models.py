@@ -282,6 +282,18 @@ def test_words_of_the_table_are_learned(spark, monkeypatch):
     assert results[0] == results[1]
 
 
+def test_odd_urls(spark, monkeypatch):
+    """Very long names and paths, repeated rows, an empty table; with and without the broadcast."""
+    urls = ["http://" + "casinobonus" * 5_000 + ".org/", "http://a.org/" + "x/" * 20_000, "http://a.org/" + "y" * 100_000] + ["http://free-bets.org/"] * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for limit in (1 << 20, -1):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+        found = url_filter.judge(pages, [], url_filter.fit(pages, rules=[])).orderBy("page_id").collect()
+        assert [r["verdict"] for r in found] == ["block", "allow", "allow", "block", "block"]
+        assert found[0]["words"] == "casino bonus " * 5_000 + "org" and found[2]["words"] == "a org " + "y" * 100_000
+    assert url_filter.judge(pages.limit(0), [], url_filter.fit(pages.limit(0), rules=[])).isEmpty()
+
+
 def texts_by_id(spark, pages: list[str | None]) -> list[str]:
     rows = spark.createDataFrame([(i, "http://a.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     return [r["text"] for r in wrapper.extracted(rows).orderBy("page_id").collect()]

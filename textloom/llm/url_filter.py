@@ -8,8 +8,8 @@ The lexicon is every string that separators set apart in any url of the table, w
 the words of the labelled example urls below (seeds). A name is no witness for itself: as one word it counts the other
 hosts that use it. Bayes counts come from the seeds and from the urls that rules decide (hosts for each word, by their
 logarithm), without the rules' own words, which those urls hold because they were picked by them. The lexicon stays a
-table: each distinct name meets the lexicon words among its substrings in a join and is segmented once. The result for
-each name goes to all tasks when its measured size is within ``BROADCAST_BYTES``, else it is joined by a shuffle. Words
+table: each distinct name meets the lexicon words among its substrings in a join and is segmented once. Only strings of at
+most ``WORD_LETTERS`` letters are words, so a name of any length has substrings in proportion to it. The result for each name goes to all tasks when its measured size is within ``BROADCAST_BYTES``, else it is joined by a shuffle. Words
 that no labelled url holds carry no evidence, and strings outside the lexicon cost a price for each letter.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; repeated
@@ -35,11 +35,11 @@ from textloom.session import ensure_checkpoint_dir
 BLOCKED_EXAMPLES = """
 online casino slots bonus win | casino win big jackpot | free bets sports betting odds | best poker casino free spins
 cheap pills online pharmacy | buy viagra cialis pills cheap | discount pharmacy no prescription pills | cheap meds
-adult x videos | xxx adult porn tube | free sex cams adult chat | nude girls porn x | adult dating sex | escort adult
-spam farm links | link farm seo backlinks spam | buy backlinks cheap seo | free traffic spam farm | spam bot clicks
+adult videos | xxx adult porn tube | free sex cams adult chat | nude girls porn | adult dating sex | escort adult
+link farm seo backlinks spam | buy backlinks cheap seo | free traffic exchange | spam bot clicks
 fast payday loan cash | instant loan approval cash | free crypto giveaway win | win free prize gift cards claim
 replica watches cheap | fake rolex replica | crack keygen warez download | torrent warez crack free | hack cheats free
-ads track clicks | ads tracker popup banner | track ads pixel | ad server ads popup
+popup banner ads network | click tracker pixel | ad server ads popup
 lottery win jackpot prize | roulette blackjack bets casino | bet bets gambling slots | cheap rolex pills
 """
 ALLOWED_EXAMPLES = """
@@ -54,6 +54,8 @@ wiki article | blog post archive | garden food market
 PRIOR_BLOCK = 0.3
 #: Price in nats of each letter outside the vocabulary, and of each unknown run.
 UNKNOWN_LETTER, UNKNOWN_RUN = 3.6, 6.0
+#: Letters of a lexicon word at most, as a label of a host name has no more; longer runs are segmented into such words.
+WORD_LETTERS = 63
 #: Measured size of the names' table that is sent to all tasks at most.
 BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -190,29 +192,42 @@ def fit(pages: DataFrame, url: str = "url", rules: list[Rule] | None = None) ->
     return UrlModel({}, both.checkpoint())
 
 
+def _pieces(longest: int):
+    """``key, word``: the substrings of names of at most ``longest`` letters, a thousand places at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for low in range(0, len(name), 1000):
+                    places = range(low, min(low + 1000, len(name)))
+                    found = sorted({name[i:end] for i in places for end in range(i + 1, min(i + longest, len(name)) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found)], names=["key", "word"])
+
+    return run
+
+
 def name_table(lexicon: DataFrame) -> DataFrame:
     """``name, words, odds`` (parallel arrays) for every name of the table."""
     labelled = F.col("block") + F.col("allow") > 0
     mass = F.col("seed") + F.log1p("hosts")
     n, total, blocks, allows, longest = lexicon.agg(
-        F.sum(labelled.cast("int")), *(F.round(F.sum(c), 6) for c in (mass, F.col("block"), F.col("allow"))), F.max(F.length("word"))
+        F.sum(labelled.cast("int")), *(F.round(F.sum(c), 6) for c in (mass, F.col("block"), F.col("allow"))), F.max(F.least(F.length("word"), F.lit(WORD_LETTERS)))
     ).first()
     evidence = F.log((F.col("block") + 0.5) / (blocks + 0.5 * n)) - F.log((F.col("allow") + 0.5) / (allows + 0.5 * n))
-    words = lexicon.select("word", "hosts", "seed", F.when(labelled, evidence).otherwise(0.0).alias("odds"))
-    pieces = F.expr(
-        "explode(array_distinct(flatten(transform(sequence(1, length(name)), i -> "
-        f"transform(sequence(1, least({longest}, length(name) - i + 1)), n -> substring(name, i, n))))))"
-    )
+    words = lexicon.filter(F.length("word") <= WORD_LETTERS).select("word", "hosts", "seed", F.when(labelled, evidence).otherwise(0.0).alias("odds"))
     names = lexicon.filter("hosts > 0").select(F.col("word").alias("name"))
-    met = names.select("name", pieces.alias("word")).join(words, "word")
-    met = met.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("word", "hosts", "seed", "odds"))).alias("met"))
+    names = names.withColumn("key", F.xxhash64("name"))
+    pieces = names.select("key", "name").mapInArrow(_pieces(longest), "key long, word string")
+    # names of one key would share their words, of which each only finds its own substrings
+    met = pieces.join(words, "word").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("word", "hosts", "seed", "odds"))).alias("met"))
+    met = names.join(met, "key", "left").select("name", F.coalesce("met", F.array()).alias("met"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list[str]] = []
             odds: list[list[float]] = []
             for name, met in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # every name is in the lexicon by itself, so as one word only other hosts count
+                # a name is no witness for itself: as one word only other hosts count
                 mass = {m["word"]: m["seed"] + math.log1p(m["hosts"] - (m["word"] == name)) for m in met}
                 found.append(segmented(name, {w: math.log(x / total) for w, x in mass.items() if x > 0}))
                 known = {m["word"]: m["odds"] for m in met}
