@@ -93,4 +93,53 @@ SQL: dict[str, str] = {
         )
         SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    # bytes as two hexadecimal digits each
+    "op11_suffix_array_levels": """
+        WITH d AS (
+          SELECT r, doc_id, t, (length(t) // 2) AS n
+          FROM (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents)
+        ),
+        strings AS (SELECT r, doc_id, i, substring(t, 2 * i - 1, 100) AS k FROM d, unnest(range(1, n - 48)) AS u(i)),
+        firsts AS (SELECT k, min(doc_id) AS first FROM strings GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        starts AS (SELECT r, i FROM strings JOIN firsts USING (k) WHERE doc_id > first),
+        breaks AS (SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -50) > 50 AS new FROM starts),
+        runs AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM breaks),
+        spans AS (SELECT r, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY r, run),
+        ordered AS (SELECT *, lead(a) OVER (PARTITION BY r ORDER BY a) AS next FROM spans),
+        pieces AS (
+          SELECT r, b AS a, coalesce(next - 1, d.n) AS z FROM ordered JOIN d USING (r)
+          UNION ALL SELECT r, 1, a - 1 FROM d JOIN (SELECT r, min(a) AS a FROM spans GROUP BY r) USING (r)
+        ),
+        kept AS (SELECT r, string_agg(substring(d.t, 2 * a - 1, 2 * (z - a + 1)), '' ORDER BY a) AS t FROM pieces JOIN d USING (r) GROUP BY r),
+        sums AS (SELECT r, sum(b - a) AS gone, count(*) AS n FROM spans GROUP BY r)
+        SELECT doc_id, d.n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(sums.n, 0) AS n_spans,
+          sha256(unhex(CASE WHEN gone IS NULL THEN d.t ELSE kept.t END)) AS kept_sha256
+        FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)""",
+    # the checksum of an id bit by bit; stretches of a lag are islands among the pairs of equal words
+    "op13_all_lag_runs": f"""
+        WITH w0 AS (
+          SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS ws,
+            xor(list_reduce(
+              list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda b: (ascii(c)::BIGINT >> b) & 1)))),
+              lambda s, bit: xor(s >> 1, (xor(s, bit) & 1) * 3988292384)), 4294967295) AS h
+          FROM documents
+        ),
+        w1 AS (SELECT *, len(ws) AS n, h // 10 AS g, (h // 10) % len(ws) AS a FROM w0),
+        w2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w1),
+        words AS (
+          SELECT r, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM w2, unnest(range(n)) AS u(i)
+        ),
+        pairs AS (SELECT x.r, y.i - x.i AS p, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND x.i < y.i JOIN w2 ON w2.r = x.r WHERE 2 * (y.i - x.i) <= n),
+        islands AS (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM pairs),
+        stretches AS (SELECT r, p, min(i) AS s, count(*) + p AS k FROM islands GROUP BY r, p, island HAVING count(*) + p >= greatest(12, 2 * p)),
+        runs AS (SELECT r, s, k, min(p) AS q FROM stretches GROUP BY r, s, k),
+        told AS (
+          SELECT r, count(*) AS n_runs, arg_min((s, k, q), (-k, s, q)) AS best, string_agg(s || ',' || k || ',' || q || chr(10), '' ORDER BY s, q) AS t
+          FROM runs GROUP BY r
+        ),
+        gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(s + q, s + k)) AS u(i)),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM words LEFT JOIN gone USING (r, i) WHERE gone.r IS NULL GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+          1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+        FROM w2 LEFT JOIN told USING (r) LEFT JOIN kept USING (r)""",
 }
