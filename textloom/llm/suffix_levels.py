@@ -40,7 +40,7 @@ from textloom.session import ensure_checkpoint_dir
 
 LENGTH = 50
 #: Anchors of a bucket, and pieces of one, about.
-ANCHORS, PIECES = 4_000_000, 60_000
+ANCHORS, PIECES = 2_000_000, 60_000
 #: Pieces of a batch, at least; more where they share an id.
 BATCH = 4_000
 #: Entries (slices or documents) from which an anchor is dealt by its strings; the most frequent ``HOT_CODES`` are.
@@ -83,7 +83,7 @@ def _pieces(texts: Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         starts = np.flatnonzero(new & valid)
         bounds = np.flatnonzero(np.append(new | ~valid, True))
         ends = bounds[np.searchsorted(bounds, starts, side="right")]
-        found.append((lo + starts, ends - starts, code[anchor[starts]]))
+        found.append((lo + starts, ends - starts, mixed(code[anchor[starts]])))  # least hashes are small ones: spread them
     if not found:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none.astype(np.uint64), none
@@ -127,7 +127,6 @@ def _anchor_rows(n: int, length: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
         for batch in batches:
             uids = batch.column("uid").to_numpy(zero_copy_only=False)
             for texts in slices(batch.column("text")):
@@ -144,9 +143,8 @@ def _anchor_rows(n: int, length: int):
                 known, own = code[several][order], whose[several][order]
                 if len(known):
                     ends = _runs(own)
-                    low = _key(known, n)
-                    number += 1
-                    rows.append((n + number % n, low.tobytes(), own[ends[:-1]].tobytes(), np.diff(ends).astype(np.uint32).tobytes(), b""))
+                    keys = _key(known, n).tobytes()
+                    rows.append((n + int(own[0]) % n, keys, own[ends[:-1]].tobytes(), np.diff(ends).astype(np.uint32).tobytes(), b""))
                 if rows:
                     yield _packed(rows, _ANCHOR_TYPES, ["bucket", "codes", "uids", "counts", "many"])
 
@@ -226,7 +224,6 @@ def _piece_rows(n_anchors: int, n: int, length: int, hot: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
         for batch in batches:
             ords, subs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "sub"))
             about = batch.column("codes").to_pylist()
@@ -244,8 +241,7 @@ def _piece_rows(n_anchors: int, n: int, length: int, hot: np.ndarray):
                 start, count, code, owner = start[meets], count[meets], code[meets], owner[meets]
                 if len(hot):
                     start, count, code, owner = _split(texts, start, count, code, owner, np.isin(key[meets], hot), length)
-                number += 1
-                rows = _placed(texts, start, count, code, ords[texts.lo + owner], subs[texts.lo + owner], n, length, number)
+                rows = _placed(texts, start, count, code, ords[texts.lo + owner], subs[texts.lo + owner], n, length)
                 if rows:
                     yield _packed(rows, _PIECE_TYPES, _PIECE_NAMES)
 
@@ -268,7 +264,7 @@ def _split(texts: Texts, start, count, code, owner, frequent: np.ndarray, length
     return start[order], count[order], code[order], owner[order]
 
 
-def _placed(texts: Texts, start, count, code, ords, subs, n: int, length: int, number: int) -> list[tuple]:
+def _placed(texts: Texts, start, count, code, ords, subs, n: int, length: int) -> list[tuple]:
     """Rows of the pieces of a slice; of pieces with one content those of the smallest id are sent."""
     place = start - texts.off[np.searchsorted(texts.off, start, side="right") - 1]
     content = texts.hashes(start, start + count + (length - 1))
@@ -279,9 +275,9 @@ def _placed(texts: Texts, start, count, code, ords, subs, n: int, length: int, n
     later = ords > least
     rows: list[tuple] = []
     if later.any():
-        kinds = ((ords, np.int64), (subs, np.int64), (place, np.uint32), (place + count + (length - 1), np.uint32))
-        o, s, lo, hi = (x[later].astype(t).tobytes() for x, t in kinds)
-        rows.append((n + number % n, b"", o, b"", b"", s, lo, hi))
+        known = _maximal(ords[later], subs[later], place[later], (place + count)[later] + (length - 1))
+        o, s, lo, hi = (x.astype(t).tobytes() for x, t in zip(known, (np.int64, np.int64, np.uint32, np.uint32), strict=True))
+        rows.append((n + int(known[1][0]) % n, b"", o, b"", b"", s, lo, hi))
     start, count, code, place, ords, subs, content = (x[~later] for x in (start, count, code, place, ords, subs, content))
     cuts = _runs(content)
     first, times = cuts[:-1], np.diff(cuts)
@@ -385,37 +381,40 @@ def _family(n: int, length: int, batch: int):
 _SPANS = "ord long, sub long, spans binary"
 
 
-def _spans(ords: np.ndarray, subs: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+def _maximal(ords: np.ndarray, subs: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs by document, overlapping and adjacent ones as one."""
     order = np.lexsort((lo, subs, ords))
     ords, subs, lo, hi = ords[order], subs[order], lo[order], hi[order]
+    if not len(ords):
+        return ords, subs, lo, hi
     cuts = _runs(ords, subs)
-    rows = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        rows.append((int(ords[a]), int(subs[a]), _merged(lo[a:b], hi[a:b]).tobytes()))
-    return pa.Table.from_batches([_packed(rows, [pa.int64(), pa.int64(), pa.binary()], ["ord", "sub", "spans"])])
-
-
-def _merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Maximal runs of sorted spans, as ``start, end`` in turn."""
-    reach = np.maximum.accumulate(hi)
+    shift = np.repeat(np.arange(len(cuts) - 1, dtype=np.int64) << 32, np.diff(cuts))
+    reach = np.maximum.accumulate(hi + shift)
     new = np.ones(len(lo), dtype=bool)
-    new[1:] = lo[1:] > reach[:-1]
+    new[1:] = (lo + shift)[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    out = np.empty(2 * len(first), dtype=np.uint32)
-    out[::2], out[1::2] = lo[first], reach[np.append(first[1:], len(lo)) - 1]
-    return out
+    last = np.append(first[1:], len(lo)) - 1
+    return ords[first], subs[first], lo[first], reach[last] - shift[last]
+
+
+def _spans(ords: np.ndarray, subs: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+    """Maximal runs packed by document, as ``start, end`` in turn."""
+    ords, subs, lo, hi = _maximal(ords, subs, lo, hi)
+    pairs = np.stack([lo, hi], axis=1).astype(np.uint32).tobytes()
+    cuts = _runs(ords, subs)
+    packed = [pairs[8 * a : 8 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    named = {"ord": pa.array(ords[cuts[:-1]], pa.int64()), "sub": pa.array(subs[cuts[:-1]], pa.int64())}
+    return pa.table({**named, "spans": pa.array(packed, pa.binary())})
 
 
 def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of a document that several buckets found, as one list."""
     for batch in batches:
-        rows = []
-        for o, s, found in zip(*(batch.column(c).to_pylist() for c in ("ord", "sub", "spans")), strict=True):
-            pairs = buckets.joined(found, np.uint32).reshape(-1, 2).astype(np.int64)
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-            rows.append((o, s, _merged(pairs[:, 0], pairs[:, 1]).tobytes()))
-        yield _packed(rows, [pa.int64(), pa.int64(), pa.binary()], ["ord", "sub", "spans"])
+        ords, subs = (batch.column(c).to_numpy() for c in ("ord", "sub"))
+        found = [buckets.joined(f, np.uint32) for f in batch.column("spans").to_pylist()]
+        size = [len(f) // 2 for f in found]
+        pairs = np.concatenate(found).reshape(-1, 2).astype(np.int64) if found else np.zeros((0, 2), dtype=np.int64)
+        yield from _spans(np.repeat(ords, size), np.repeat(subs, size), pairs[:, 0], pairs[:, 1]).to_batches()
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
