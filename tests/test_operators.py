@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pandas as pd
@@ -8,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators import dedup, labelers, metrics, pools, quotas, sampling, spans, verify
+from textloom.operators import dedup, labelers, metrics, pools, quotas, sampling, scan, spans, verify
 from textloom.types import NONE_KEY, LabelDef, TaskKind, TaskSpec
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -107,7 +108,66 @@ def test_sampling_equals_the_scan(spark, given_rows, a, b, limit):
     nothing = spark.createDataFrame([], "norm string")
     got = sampling.sample(frame, labeler, "train", wanted, nothing, limit, norm=F.col("n"))
     places = sorted(r["position"] for r in got.rows.collect())
-    assert (places, got.scanned, got.stalled) == sequential([r[:4] for r in rows], wanted, limit)
+    expected = sequential([r[:4] for r in rows], wanted, limit)
+    assert (places, got.scanned, got.stalled) == expected
+    got = sampling.sample_ranges(scan.positioned_ranges(frame, 3), labeler, "train", wanted, nothing, limit, norm=F.col("n"))
+    places = sorted(r["position"] for r in got.rows.collect()) if got.read else []
+    assert (places, got.scanned, got.stalled) == expected
+    assert got.read <= max(3, 2 * got.scanned)
+
+
+@pytest.mark.parametrize("keys", [
+    list(range(5000)), [i * i * i for i in range(3000)], [0] * 400 + [10**15 + i for i in range(2000)], [-7], [None, 3, None, 1],
+    [i // 50 for i in range(4000)],
+])
+def test_key_ranges_double(spark, keys):
+    """Ranges cover every key once, in order; none but one of a single key has more rows than all before it."""
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    known = sorted(k for k in keys if k is not None)
+    before, held = 0, []
+    for lo, hi, n in scan.key_ranges(rows, "k", first=100, bins=64):
+        own = [k for k in known if lo <= k <= hi]
+        assert len(own) == n and (n <= max(100, before) or len(set(own)) == 1)
+        before += n
+        held += own
+    assert held == known
+    placed = [r for part in scan.ordered_ranges(rows, "k", first=1000) for r in part.rows.collect()]
+    assert [r["position"] for r in sorted(placed, key=lambda r: r["position"])] == list(range(1, len(keys) + 1))
+    assert [r["k"] for r in sorted(placed, key=lambda r: r["position"])] == [None] * (len(keys) - len(known)) + known
+
+
+def test_early_stop_reads_little(spark, tmp_path):
+    """Of 60,000 rows in the order of their ids, a sample that ends early reads twice the rows scanned at most."""
+    path = str(tmp_path / "rows")
+    spark.range(60_000).selectExpr("id", "concat('text ', id) text", "'train' pool").repartitionByRange(8, "id").write.parquet(path)
+    rows = spark.read.parquet(path)
+    labeler = labelers.rule(F.when(F.col("id") % 3 == 0, "a").otherwise("b"), F.lit(False))
+    nothing = spark.createDataFrame([], "norm string")
+    ranges = scan.ordered_ranges(rows, "id", first=200)
+    got = sampling.sample_ranges(ranges, labeler, "train", {"a": 400, "b": 10}, nothing)
+    assert (got.scanned, got.stalled, got.rows.count()) == (1198, False, 410) and got.read <= 2 * got.scanned
+    plan = next(scan.ordered_ranges(rows, "id", first=200)).rows
+    assert plan.count() <= 200
+
+
+@pytest.mark.parametrize("k", [1, 2, 17, 399, 400, 1000])
+def test_radix_selection(spark, k):
+    keys = [hashlib.md5(str(i % 300).encode()).hexdigest() for i in range(400)]
+    rows = spark.createDataFrame([(x,) for x in keys], "x string").repartition(5)
+    cut = pools.smallest_prefix(rows, F.col("x"), k, length=32, digits=1)
+    taken = sorted(x for x in keys if x[: len(cut)] <= cut)
+    least = sorted(keys)[:k]
+    assert taken == sorted(x for x in keys if x <= least[-1])
+    assert pools.smallest_prefix(rows.limit(0), F.col("x"), k) == ""
+
+
+def test_split_of_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(None,)] * 5 + [("same",)] * 50 + [(f"t{i}",) for i in range(150)], "t string")
+    split = {(r["t"], r["split"]) for r in pools.split_train_valid(rows, "t", 3, 0.1).collect()}
+    assert (None, "train") in split and len(split) == 152
+    assert pools.split_train_valid(rows.limit(0), "t", 3).count() == 0
+    plan = pools.split_train_valid(rows, "t", 3)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "Join" not in plan
 
 
 def test_consulted_and_gate(spark):

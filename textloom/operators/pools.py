@@ -31,20 +31,42 @@ def fixed_shuffle(rows: DataFrame, text: str, seed: int) -> DataFrame:
     return rows.orderBy(shuffle_key(F.col(text), seed), F.col(text))
 
 
+def smallest_prefix(rows: DataFrame, key: Column, k: int, length: int = 64, digits: int = 4) -> str:
+    """Radix selection: the shortest prefix ``p`` so that the rows with ``key`` up to ``p`` are the ``k`` smallest.
+
+    ``key`` is a hexadecimal text of ``length`` digits. Every round counts rows by the next ``digits`` of it, under the
+    prefix that holds the k-th: at most ``16 ** digits`` counts, no row moves. Rows are up to ``p`` where the first
+    ``len(p)`` digits are. Rows with the k-th key are all taken, also where that makes more than ``k``; a ``k`` beyond all
+    rows gives the largest key's prefix.
+    """
+    keyed = rows.select(key.alias("__key"))
+    prefix, left = "", k
+    while len(prefix) < length:
+        own = keyed.filter(F.startswith("__key", F.lit(prefix))) if prefix else keyed
+        step = F.substring("__key", len(prefix) + 1, digits).alias("d")
+        counts = own.groupBy(step).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+        for row in counts:
+            if row["n"] >= left or row is counts[-1]:
+                break
+            left -= row["n"]
+        if not counts:
+            return prefix
+        prefix += row["d"]
+        if row["n"] <= left:
+            break
+    return prefix
+
+
 def split_train_valid(rows: DataFrame, key: str, seed: int, valid_ratio: float = 0.15) -> DataFrame:
     """Add ``split``: of n rows the ``max(1, round(n * valid_ratio))`` with the smallest hashes are for validation.
 
-    The cut is the k-th smallest hash, found by a top-k; no row is ranked in one task.
+    The cut is found by radix selection; rows with one key are in one split. Null keys are for training and do not count.
     """
-    hashed = rows.withColumn("__order", F.struct(shuffle_key(F.col(key), seed), F.col(key)))
-    n = rows.count()
-    k = max(1, round(n * valid_ratio))
-    first = hashed.select("__order").orderBy("__order").limit(k).agg(F.max("__order").alias("cut"))
-    return (
-        hashed.crossJoin(F.broadcast(first))  # one row
-        .withColumn("split", F.when(F.col("__order") <= F.col("cut"), Split.VALID.value).otherwise(Split.TRAIN.value))
-        .drop("__order", "cut")
-    )
+    hashed = shuffle_key(F.col(key), seed)
+    n = rows.agg(F.count(key)).first()[0]
+    cut = smallest_prefix(rows.filter(F.col(key).isNotNull()), hashed, max(1, round(n * valid_ratio)))
+    first = F.col(key).isNotNull() & (F.substring(hashed, 1, len(cut)) <= cut)
+    return rows.withColumn("split", F.when(first & F.lit(bool(cut)), Split.VALID.value).otherwise(Split.TRAIN.value))
 
 
 def chunk_id(order: str, size: int) -> Column:

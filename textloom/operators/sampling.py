@@ -2,12 +2,14 @@
 
 ``sample`` gives what a sequential scan would collect: passages of one pool in order, texts seen before are skipped,
 abstentions and full buckets are dropped, and the scan ends when all quotas are filled or ``stall_limit`` passages in
-a row added nothing. It is computed by ranks, not by a scan: the k first of each bucket come from a top-k window, of
-which every task passes on k rows at most.
+a row added nothing. It is computed by ranks, not row by row: the k first of each bucket come from a top-k window, of
+which every task passes on k rows at most. ``sample_ranges`` does so range by range (``scan``) and stops where the scan
+stops; open quotas, collected texts and the gap since the last one carry over.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -16,17 +18,22 @@ from pyspark.sql import functions as F
 from textloom.operators.dedup import digest, first_per_norm, not_seen, with_norm
 from textloom.operators.labelers import Labeler
 from textloom.operators.quotas import bucket
+from textloom.operators.scan import Range
 
 STALL_LIMIT = 1_000_000
 
 
 @dataclass(frozen=True)
 class Sampled:
-    """Collected rows (``position, text, labels, spans, bucket, norm``), passages scanned, whether the scan stalled."""
+    """Collected rows (``position, text, labels, spans, bucket, norm``), passages scanned, whether the scan stalled.
+
+    ``read`` counts the source rows of the ranges that were read.
+    """
 
     rows: DataFrame
     scanned: int
     stalled: bool
+    read: int = 0
 
 
 def candidates(passages: DataFrame, labeler: Labeler, pool: str, quotas: dict[str, int], seen: DataFrame, norm=None):
@@ -92,22 +99,51 @@ def sample(
     stall_limit: int = STALL_LIMIT,
     norm=None,
 ) -> Sampled:
-    """``passages``: ``position`` (1.. over both pools, see ``pools.with_position``), ``pool``, ``text``."""
-    wanted = {k: n for k, n in quotas.items() if n > 0}
-    if not wanted:
-        return Sampled(passages.limit(0), 0, False)
-    chosen = collect(candidates(passages, labeler, pool, wanted, seen, norm), wanted).checkpoint()
+    """``passages``: ``position`` (1.. over both pools, see ``pools.with_position``), ``pool``, ``text``; one range."""
     total = passages.agg(F.max("position")).first()[0] or 0
-    # at most as many numbers as there are quotas to fill
-    rows = chosen.select("position", "bucket").orderBy("position").collect()
-    last, left, kept = 0, dict(wanted), 0
-    for row in rows:
-        if row["position"] - last > stall_limit:
+    return sample_ranges([Range(passages, total, total)], labeler, pool, quotas, seen, stall_limit, norm)
+
+
+def sample_ranges(
+    ranges: Iterable[Range],
+    labeler: Labeler,
+    pool: str,
+    quotas: dict[str, int],
+    seen: DataFrame,
+    stall_limit: int = STALL_LIMIT,
+    norm=None,
+) -> Sampled:
+    """What a scan of all ranges in order collects; no range is asked for after the one in which it stops.
+
+    The driver holds places and digests of the collected rows, as many as there are quotas to fill. Each range must have
+    the columns of the others; without any range, ``rows`` has those of ``seen``.
+    """
+    left = {k: n for k, n in quotas.items() if n > 0}
+    used: list[tuple[bytes]] = []
+    parts: list[DataFrame] = []
+    last = end = read = 0
+    for own, end, read in ranges if left else ():
+        found = candidates(own, labeler, pool, left, seen, norm)
+        if used:
+            known = seen.sparkSession.createDataFrame(used, "__digest binary")  # rows of the quotas at most
+            found = found.withColumn("__digest", digest()).join(F.broadcast(known), "__digest", "left_anti").drop("__digest")
+        chosen = collect(found, {k: n for k, n in left.items() if n}).checkpoint()
+        parts.append(chosen)
+        rows = chosen.select("position", "bucket", digest().alias("d")).orderBy("position").collect()
+        for row in rows:
+            if row["position"] - last > stall_limit:
+                break
+            last = row["position"]
+            left[row["bucket"]] -= 1
+            used.append((bytes(row["d"]),))
+        left = {k: n for k, n in left.items() if n}
+        if not left or end > last + stall_limit:
             break
-        last = row["position"]
-        left[row["bucket"]] -= 1
-        kept += 1
-    if not any(left.values()):
-        return Sampled(chosen, last, False)
-    stalled = total > last + stall_limit
-    return Sampled(chosen.filter(F.col("position") <= last), last + stall_limit if stalled else total, stalled)
+    if not parts:
+        return Sampled(seen.limit(0), 0, False)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    stalled = bool(left) and end > last + stall_limit
+    scanned = last + stall_limit if stalled else end if left else last
+    return Sampled(rows.filter(F.col("position") <= last), scanned, stalled, read)

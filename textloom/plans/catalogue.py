@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import describe, normalized_latin, signature
-from textloom.operators import dedup, labelers, metrics, pools, prepare, quotas, sampling, segment, spans, verify
+from textloom.operators import dedup, labelers, metrics, pools, prepare, quotas, sampling, scan, segment, spans, verify
 from textloom.plans import generation, model
 from textloom.session import ensure_checkpoint_dir
 from textloom.sources.store import label_counts
@@ -24,6 +24,8 @@ LANG_SPEC = TaskSpec("Name the language.", TaskKind.MULTICLASS, tuple(LabelDef(n
 FLAG_SPEC = TaskSpec("Flag the text.", TaskKind.MULTILABEL, (LabelDef("quality"), LabelDef("toxic")))
 DIGIT_SPEC = TaskSpec("Mark the numbers.", TaskKind.SPAN, (LabelDef("NUMBER"),))
 QUOTAS = {"short": 40, "medium": 60, "long": 30, NONE_KEY: 0}
+STALLING, STALL = {"medium": 25, "long": 1_000_000}, 20
+FIRST_RANGE = 128
 PLAN = DataPlan({"de": 0.4, "en": 0.1, "es": 0.3, "fr": 0.2}, (Axis("tone", ("dry", "warm", "odd")), Axis("form", ("note", "talk", "list", "tale"))))
 
 
@@ -162,13 +164,13 @@ def rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeled.select("doc_id", quotas.bucket(F.col("labels"), F.col("spans")).alias("bucket"), "abstained")
 
 
-def _sampled(spark: SparkSession, sf_dir: str) -> sampling.Sampled:
+def _sampled(spark: SparkSession, sf_dir: str, wanted: dict = QUOTAS, stall_limit: int = sampling.STALL_LIMIT) -> sampling.Sampled:
     ensure_checkpoint_dir(spark)
     docs = _docs(spark, sf_dir).withColumn("pool", pools.portable_pool(F.col("text")))
-    passages = pools.with_position(docs.select("doc_id", "pool", "text"), "doc_id")
-    seen = dedup.with_norm(_table(spark, sf_dir, "benchmark"), norm=normalized_latin(F.col("text"))).select("norm")
+    ranges = scan.ordered_ranges(docs.select("doc_id", "pool", "text"), "doc_id", first=FIRST_RANGE)
     norm = normalized_latin(F.col("text"))
-    return sampling.sample(passages, length_labeler(), Pool.TRAIN.value, QUOTAS, seen, norm=norm)
+    seen = dedup.with_norm(_table(spark, sf_dir, "benchmark"), norm=norm).select("norm")
+    return sampling.sample_ranges(ranges, length_labeler(), Pool.TRAIN.value, wanted, seen, stall_limit, norm=norm)
 
 
 def sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +187,13 @@ def sample_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.rows.agg(F.count(F.lit(1)).alias("collected")).withColumns({"scanned": F.lit(got.scanned).cast("long"), "stalled": F.lit(got.stalled)})
 
 
+def sample_stall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that stalls: it asks for more long texts than there are, and gives up after 20 texts without one."""
+    got = _sampled(spark, sf_dir, STALLING, STALL)
+    told = {"scanned": F.lit(got.scanned).cast("long"), "stalled": F.lit(got.stalled)}
+    return got.rows.select("doc_id", "position", "bucket").withColumns(told)
+
+
 def cell_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"))
     return generation.sampled_cells(keys, "key", PLAN, SEED)
@@ -405,7 +414,7 @@ _QUERIES = [
     flagship, normalize_text, dedup_first_wins, store_insert, held_out_isolation, clean_seeds, prepare_paragraphs, source_stats,
     split_sentences, split_passages, pool_assignment, pool_assignment_blake, fixed_hash_shuffle, chunk_requests,
     train_valid_split, normalized_weights, label_quotas, corpus_weights, rule_labels, sample_quota, sample_fill_report,
-    sample_stats, cell_sampling, consult_labeler, labeler_agreement, verify_filter, verification_gate, signatures,
+    sample_stats, sample_stall, cell_sampling, consult_labeler, labeler_agreement, verify_filter, verification_gate, signatures,
     describe_examples, class_items, span_items, digit_spans, bio_encode, bio_decode, encode_labels, unreachable_spans,
     multiclass_metrics, multiclass_summary, multilabel_metrics, span_metrics, error_listing, error_sample, best_round,
     decision_rules, store_label_counts, train_predict_language,

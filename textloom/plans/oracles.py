@@ -147,6 +147,12 @@ SQL: dict[str, str] = {
         FROM (VALUES ('short', 40), ('medium', 60), ('long', 30), ('__none__', 0)) AS q(label, quota) LEFT JOIN chosen c ON c.bucket = q.label GROUP BY 1, 2""",
     "sample_stats": f"""{_CANDIDATES} SELECT (SELECT count(*) FROM chosen) AS collected, CASE WHEN (SELECT count(*) FROM chosen) = 130
         THEN (SELECT max(position) FROM chosen) ELSE (SELECT count(*) FROM documents) END AS scanned, false AS stalled""",
+    "sample_stall": f"""{_CANDIDATES}, wanted AS (
+          SELECT * FROM ranked WHERE bucket = 'long' OR (bucket = 'medium' AND rank <= 25)
+        ), gaps AS (SELECT *, position - lag(position, 1, 0) OVER (ORDER BY position) AS gap FROM wanted),
+        kept AS (SELECT * FROM gaps WHERE position < coalesce((SELECT min(position) FROM gaps WHERE gap > 20), 1 << 60)),
+        ends AS (SELECT coalesce((SELECT max(position) FROM kept), 0) AS last, (SELECT count(*) FROM documents) AS total)
+        SELECT doc_id, position, bucket, least(last + 20, total) AS scanned, total > last + 20 AS stalled FROM kept, ends""",
     "cell_sampling": f"""SELECT doc_id::VARCHAR AS key, CASE WHEN {_hash("label")} < 0.4 THEN 'de' WHEN {_hash("label")} < 0.5 THEN 'en'
         WHEN {_hash("label")} < 0.8 THEN 'es' ELSE 'fr' END AS label, ['dry', 'warm', 'odd'][CAST(floor({_hash("tone")} * 3) AS INTEGER) + 1] AS tone,
         ['note', 'talk', 'list', 'tale'][CAST(floor({_hash("form")} * 4) AS INTEGER) + 1] AS form, {_hash("lookalike")} < 0.3 AS lookalike FROM documents""",

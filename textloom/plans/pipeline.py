@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import normalize_text
-from textloom.operators import labelers, quotas, sampling
+from textloom.operators import labelers, quotas, sampling, scan
 from textloom.operators.metrics import MAX_ERRORS
 from textloom.operators.pools import split_train_valid
 from textloom.operators.verify import gate
@@ -25,7 +25,7 @@ from textloom.plans import generation, model
 from textloom.plans.providers import Provider, ProviderError, Researcher, parse_spec, provider
 from textloom.session import ensure_checkpoint_dir
 from textloom.sources import artifacts
-from textloom.sources.corpus import CorpusError, corpus_format, read_passages
+from textloom.sources.corpus import CorpusError, corpus_format, stored_passages
 from textloom.sources.store import ExampleStore
 from textloom.types import (
     EXAMPLE, Agreement, DataPlan, Decision, HParamPatch, Metrics, Pool, Record, RoundResult, Split, Stage, TaskSpec,
@@ -248,9 +248,10 @@ class Run:
         """Sampled passages of a pool that no stored text equals."""
         weights = quotas.corpus_weights(quotas.weight_frame(self.spark, plan.label_weights), spec.kind)
         wanted = quotas.as_dict(quotas.label_quotas(weights, count), "quota")
-        passages = read_passages(self.spark, self.config.corpus, self.config.corpus_max_chars)
-        got = sampling.sample(passages, labeler, pool.value, wanted, self.store.rows().select("norm"))
-        filled = {r["bucket"]: r["count"] for r in got.rows.groupBy("bucket").count().collect()}
+        passages = stored_passages(self.spark, self.config.corpus, self.config.corpus_max_chars)
+        ranges = scan.positioned_ranges(passages)
+        got = sampling.sample_ranges(ranges, labeler, pool.value, wanted, self.store.rows().select("norm"))
+        filled = {r["bucket"]: r["count"] for r in got.rows.groupBy("bucket").count().collect()} if got.read else {}
         told = ", ".join(f"{k} {filled.get(k, 0)}/{n}" for k, n in wanted.items())
         if sum(filled.values()) < count:
             log.warning("corpus gave %s after %d passages%s", told, got.scanned, " (stalled)" if got.stalled else "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import strip
 from textloom.operators.pools import pool, with_position
 from textloom.operators.segment import explode_passages
+from textloom.session import ensure_checkpoint_dir
 
 
 class CorpusError(ValueError):
@@ -55,9 +57,17 @@ def read_passages(spark: SparkSession, path: str, max_chars: int) -> DataFrame:
     return with_position(each, "file", "line", "passage_idx").select("position", "pool", "text")
 
 
+def stored_passages(spark: SparkSession, path: str, max_chars: int) -> DataFrame:
+    """``read_passages`` as Parquet in the shared folder, by position, so that a range of positions reads its own part."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/passages-{uuid.uuid4().hex}"
+    read_passages(spark, path, max_chars).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def read_json_texts(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """``text, source`` of newline-delimited JSON with an explicit schema."""
-    return spark.read.schema("text string").json(path).select("text", F.lit(source).alias("source"))
+    """``text, source`` of newline-delimited JSON with an explicit schema; a malformed line is an error."""
+    return spark.read.schema("text string").option("mode", "FAILFAST").json(path).select("text", F.lit(source).alias("source"))
 
 
 def read_parquet_texts(spark: SparkSession, path: str, source: str) -> DataFrame:
