@@ -339,3 +339,29 @@ def test_wide_and_deep_pages():
     page = f"<html><body><article><p>before</p>{deep}<p>after</p></article><p>outside</p></body></html>"
     assert wrapper.extract(page, None) == "before\n\nin\n\nafter"
     assert wrapper.extract("<b>" * 50_000 + "x" + "</i>" * 50_000, None) == "x"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><p>a <svg class='i'/> b</p><p>second block</p></body>", "a\n\nb\n\nsecond block"),
+    ("<p>x</p><iframe src=y /><p>after</p>", "x\n\nafter"),
+    ("<script src=a /><p>one</p><script>var x='<p>';</script><p>two</p>", "one\n\ntwo"),
+    ("<body><form id='aspnetForm'><div><p>The whole page is in here.</p><input value=q></div></form></body>", "The whole page is in here."),
+    ("<body><nav><ul><li><a>Home</a></li></ul><article><h1>T</h1><p>text of it</p></article></body>", "T\n\ntext of it"),
+    ("<body><nav><a>Home</a> <a>B</a><div><p>text that is long</p></div><p>more</p></body>", "text that is long\n\nmore"),
+    ("<article><header><h1>Head</h1><p>Lead text</p></header><p>Body</p></article>", "Head\n\nLead text\n\nBody"),
+    ("<header><h1>Site</h1></header><main><p>x y z</p></main>", "x y z"),
+    ("<html><head><title>Never closed<body><h1>H</h1><p>text</p></body></html>", "H\n\ntext"),
+    ("<form><input><label>Search</label><p>go</p></form><p>This is the main text of the page</p>", "This is the main text of the page"),
+    ("<head><meta a><p>in body</p>", "in body"),
+    ("<nav><a>Home</a></nav><p>kept</p><nav>x</nav>", "kept"),
+])
+def test_no_article_is_lost(page, text):
+    """Self-closed and unclosed elements, and menus, forms and headers around the text."""
+    assert wrapper.extract(page, None) == text
+
+
+def test_unclosed_elements_take_linear_time():
+    for part in ("<svg>", "<iframe/>", "<title>", "<nav>", "<script/>", "<form><p>", "<nav><div>", "<article><header><h1>"):
+        began = time.perf_counter()
+        wrapper.extract(part * 20_000 + "end", None)
+        assert time.perf_counter() - began < 20, part

@@ -9,6 +9,10 @@ the representative's tree with its constant nodes is the wrapper, all other text
 is aligned with its wrapper again; texts on constant nodes that say the same are template, everything else is content.
 Copies of a page count once, pages without text not at all. A block is template when all its texts are.
 
+Elements of raw content that close themselves end there; ones that are never closed, and menus, headers and the like that
+are not, end at the next block. A form or menu that holds an article, a main or a varying ``h1`` is no chrome, nor a form
+with most of the varying text of a page without these, nor a header with a varying heading inside an article.
+
 On a page, all slots become blocks in page order; the smallest region with all of them adds nothing, so none is formed.
 Template texts, and parts that elements, roles or attributes name as menus, headers, footers, asides, forms, scripts or
 hidden, are left out. A class or id that names such a part is only believed where the texts agree: not of a node with
@@ -36,7 +40,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -70,7 +74,12 @@ LISTS = set("ul ol menu dl table body html".split())
 CLOSES |= {"th": {"td", "th"}, "option": {"option"}}
 COMMENT_WORDS = set("comment comments respond reply replies discussion disqus".split())
 #: Elements, roles and words in class or id that are no main text.
-CHROME_TAGS = set("nav header footer aside form button select option label input menu dialog head".split()) | RAW
+CHROME_TAGS = set("footer aside button select option label input menu dialog head".split()) | RAW
+#: Elements that are no main text unless they hold it, and all that end at the next block where they are never closed.
+SOFT_TAGS = set("nav header form".split())
+OPEN_TAGS = (CHROME_TAGS | SOFT_TAGS) - RAW - {"head"}
+LISTED = LISTS | set("nav form header footer aside".split())
+FOREIGN = {"svg", "math"}
 CHROME_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 CHROME_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar "
@@ -94,6 +103,8 @@ class Node:
     tag: str
     label: str = ""
     chrome: bool = False
+    #: A menu, header or form by its element, which text that it holds may overrule; of a root, whether it has any.
+    soft: bool = False
     #: What a class or id says: "chrome", "comments" or nothing.
     named: str = ""
     text: str = ""
@@ -115,6 +126,7 @@ def parse(page: str | None) -> Node:
     opened: Counter[str] = Counter()  # tags on the stack, so that an end tag without a start is told at any depth
     quoted = True  # a quote that is never closed ends the pairing for the rest of the page
     begin, last = 0, page.rfind(">")
+    raw = _RawEnds(page)
 
     def add(end: int) -> None:
         if end > begin:
@@ -147,29 +159,77 @@ def parse(page: str | None) -> Node:
         if token[1]:
             _close(stack, opened, tag)
             continue
+        closed = token[3].rstrip().endswith("/")
+        if tag in BLOCK and opened["head"]:
+            _close_siblings(stack, opened, {"head"}, {"body"})
         if tag in CLOSES:
             _close_siblings(stack, opened, CLOSES[tag], LISTS)
         elif tag in BLOCK:
             _close_siblings(stack, opened, {"p"}, BLOCK - {"p"})
         node = _element(tag, token[3])
         stack[-1].children.append(node)
+        root.soft = root.soft or node.soft
         if tag in RAW:
-            end = _raw_end(tag).search(page, at)
-            begin = at = end.end() if end else len(page)
-        elif tag not in VOID and not token[3].rstrip().endswith("/"):
+            begin = at = raw.after(tag, at, closed)
+        elif tag not in VOID and not closed:
             stack.append(node)
             opened[tag] += 1
     add(len(page))
+    _cut_at(stack, opened, 1, own=False)
     return root
 
 
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
+
+
+class _RawEnds:
+    """Where elements with raw content end; each kind's tags are searched once along the page."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def _next(self, pattern: str, at: int) -> tuple[int, int]:
+        """Start and end of the next place of a pattern; the end of the page twice if there is none."""
+        found = self.known.get(pattern, (-1, -1))
+        if found[0] < at:
+            match = _compiled(pattern).search(self.page, at)
+            self.known[pattern] = found = match.span() if match else (len(self.page),) * 2
+        return found
+
+    def after(self, tag: str, at: int, closed: bool) -> int:
+        """Where an element whose start tag ends at ``at`` ends.
+
+        One that closes itself (``/>``) has no content if it is foreign or no end tag of its own follows; one that is never
+        closed ends at the next block.
+        """
+        if closed and tag in FOREIGN:
+            return at
+        start, end = self._next(rf"</{re.escape(tag)}\s*>", at)
+        if closed and (start == len(self.page) or self._next(rf"<{re.escape(tag)}(?=[\s/>])", at)[0] < start):
+            return at
+        return end if start < len(self.page) else self._next(_NEXT_BLOCK.pattern, at)[0]
+
+
 @lru_cache
-def _raw_end(tag: str) -> re.Pattern:
-    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.I)
 
 
-def _cut_at(stack: list[Node], opened: Counter[str], depth: int) -> None:
+def _cut_at(stack: list[Node], opened: Counter[str], depth: int, own: bool = True) -> None:
+    """Close what is open from ``depth`` on; all but the first (``own``) have no end tag.
+
+    A menu, header or the like without one ends at its first block that is no list; it and what follows become a plain
+    block.
+    """
     opened.subtract(node.tag for node in stack[depth:])
+    for node in stack[depth + own :]:
+        if node.tag in OPEN_TAGS:
+            cut = next((i for i, c in enumerate(node.children) if c.tag in BLOCK and c.tag not in LISTED), len(node.children))
+            if cut < len(node.children):
+                part = replace(node, children=node.children[:cut])
+                node.tag, node.chrome, node.soft, node.named = "div", False, False, ""
+                node.children[:cut] = [part]
     del stack[depth:]
 
 
@@ -211,7 +271,7 @@ def _element(tag: str, attributes: str) -> Node:
                     words = set(re.split(r"[^a-z]+", value))
                     if words & CHROME_WORDS:
                         named = "comments" if named == "comments" or words & COMMENT_WORDS else "chrome"
-    return Node(tag, label, chrome, named)
+    return Node(tag, label, chrome, tag in SOFT_TAGS, named)
 
 
 def _white(text: str) -> str:
@@ -423,34 +483,91 @@ class Wrapper:
         return self
 
 
+class _Weights:
+    """Nodes outside of chrome, parents first: the varying text in each, and how many articles, mains and varying ``h1``."""
+
+    def __init__(self, root: Node, varies: dict[int, bool]) -> None:
+        self.nodes, self.parent = [root], [-1]
+        for i, node in enumerate(self.nodes):
+            if not node.chrome and node.children:
+                self.nodes.extend(node.children)
+                self.parent.extend([i] * len(node.children))
+        self.mass, self.heads = [0] * len(self.nodes), [0] * len(self.nodes)
+        for i in range(len(self.nodes) - 1, -1, -1):
+            node = self.nodes[i]
+            if node.chrome:
+                continue
+            if node.tag == "#text":
+                if varies[id(node)]:
+                    self.mass[i] = len(_white(node.text))
+            elif node.tag in ("article", "main") or (node.tag == "h1" and self.mass[i]):
+                self.heads[i] += 1
+            if i:
+                self.mass[self.parent[i]] += self.mass[i]
+                self.heads[self.parent[i]] += self.heads[i]
+
+    def below(self, tags: tuple[str, ...], varying: bool = False) -> list[bool]:
+        """Which nodes are or hold an element of these tags, with varying text."""
+        found = [n.tag in tags and (not varying or m > 0) for n, m in zip(self.nodes, self.mass, strict=True)]
+        for i in range(len(found) - 1, 0, -1):
+            if found[i]:
+                found[self.parent[i]] = True
+        return found
+
+    def soft_chrome(self) -> set[int]:
+        """Menus, headers and forms that are left out; what is in them counts no more.
+
+        Text overrules the element: a menu or form with an article, a main or a varying ``h1``; a form with most of the
+        varying text of a page that has none of these; a header inside an article or main that has a varying heading (of
+        three levels).
+        """
+        inner, gone = [False] * len(self.nodes), [False] * len(self.nodes)
+        articles = headings = None
+        found: set[int] = set()
+        for i, node in enumerate(self.nodes):
+            above = self.parent[i]
+            if i:
+                inner[i], gone[i] = inner[above] or self.nodes[above].tag in ("article", "main"), gone[above]
+            if not node.soft or not i or gone[i]:
+                continue
+            if node.tag == "header":
+                articles = articles or self.below(("article", "main"))
+                headings = headings or self.below(("h1", "h2", "h3"), varying=True)
+                kept = articles[i] or (inner[i] and headings[i])
+            else:
+                most = node.tag == "form" and not self.heads[0] and self.mass[i] > MOST * self.mass[0]
+                kept = self.heads[i] > 0 or most
+            if not kept:
+                gone[i] = True
+                found.add(i)
+        if found:
+            less, fewer = [0] * len(self.nodes), [0] * len(self.nodes)
+            for i in range(len(self.nodes) - 1, 0, -1):
+                if i in found:
+                    less[i], fewer[i] = self.mass[i], self.heads[i]
+                less[self.parent[i]] += less[i]
+                fewer[self.parent[i]] += fewer[i]
+            self.mass = [m - x if not g else 0 for m, x, g in zip(self.mass, less, gone, strict=True)]
+            self.heads = [h - x if not g else 0 for h, x, g in zip(self.heads, fewer, gone, strict=True)]
+        return found
+
+
 def _cut(root: Node, varies: dict[int, bool]) -> tuple[set[int], Node]:
     """Nodes (by ``id``) that are left out with all they hold; the article or main with most of the varying text, or the root."""
-    mass: dict[int, int] = {}
-    heads: set[int] = set()
-    order = [root]
-    for node in order:
-        if not node.chrome:
-            order.extend(node.children)
-    for node in reversed(order):
-        if node.chrome:
-            mass[id(node)] = 0
-            continue
-        mass[id(node)] = sum(mass[id(c)] for c in node.children)
-        if node.tag == "#text" and varies[id(node)]:
-            mass[id(node)] = len(_white(node.text))
-        own = node.tag in ("article", "main") or (node.tag == "h1" and mass[id(node)] > 0)
-        if own or any(id(c) in heads for c in node.children):
-            heads.add(id(node))
-
-    def believed(node: Node) -> bool:
-        if id(node) in heads:
-            return False
-        # a page with a heading or article elsewhere may have an advert that is longer than its text
-        return node.named == "comments" or id(root) in heads or mass[id(node)] <= MOST * mass[id(root)]
-
-    left_out = {id(node) for node in order if node.chrome or (node.named and believed(node))}
-    named = [n for n in order if n.tag in ("article", "main") and mass[id(n)] > MOST * mass[id(root)]]
-    return left_out, named[-1] if named else root
+    found = _Weights(root, varies)
+    chrome = found.soft_chrome() if root.soft else set()
+    mass, heads = found.mass, found.heads
+    left_out, top = set(), root
+    for i, node in enumerate(found.nodes):
+        if node.chrome or i in chrome:
+            left_out.add(id(node))
+        elif node.named and not heads[i]:
+            # a page with a heading or article elsewhere may have an advert that is longer than its text
+            if node.named == "comments" or heads[0] or mass[i] <= MOST * mass[0]:
+                left_out.add(id(node))
+        if node.tag in ("article", "main") and mass[i] > MOST * mass[0]:
+            top = node
+    return left_out, top
 
 
 def extract(page: str | None, wrapper: Wrapper | None) -> str:
