@@ -305,3 +305,72 @@ def test_labeler_references():
         labelers.load("textloom.operators.labelers:missing", MULTI)
     with pytest.raises(labelers.LabelerError):
         labelers.load("textloom.operators.labelers:verse_labeler", MULTI)
+
+
+def plain_tags(tokens, given):
+    """Tags token by token and span by span."""
+    ordered, out, last = sorted(given), [], None
+    for a, b, special in tokens:
+        if special:
+            out.append(None)
+            continue
+        hit = next((i for i, (s, e, _) in enumerate(ordered) if a < e and b > s), None)
+        out.append("O" if hit is None else ("I-" if hit == last else "B-") + ordered[hit][2])
+        last = hit
+    return out
+
+
+def plain_lost(text, tokens, given):
+    starts, ends = set(), set()
+    for a, b, special in tokens:
+        if not special and a < b:
+            quote = text[a:b]
+            front = a + len(quote) - len(quote.lstrip())
+            starts |= {a, front}
+            ends |= {b, front + len(quote.strip())}
+    return sum(not (s in starts and e in ends) for s, e, _ in given)
+
+
+def test_tags_and_losses_equal_plain_loops(spark):
+    """Tokens with gaps, specials and white space; spans that overlap, repeat, are empty or end inside others."""
+    r = random.Random(1)
+    rows = []
+    for i in range(150):
+        n = r.randint(1, 40)
+        text, tokens, at = "".join(r.choice("ab \n") for _ in range(n)), [(0, 0, True)] * r.randint(0, 1), 0
+        while at < n:
+            end = min(n, at + r.randint(1, 4))
+            tokens.append((at, end, False))
+            at = end + r.choice([0, 0, 1])
+        given = [(a, min(n, a + r.randint(0, 6)), r.choice("XY")) for a in (r.randrange(n) for _ in range(r.randint(0, 5)))]
+        rows.append((i, text, tokens, given))
+    frame = spark.createDataFrame(rows, f"id int, text string, tokens {TOKENS}, spans {SPANS}")
+    found = frame.select("id", spans.bio_tags(F.col("spans"), F.col("tokens")).alias("t"), spans.unreachable(F.col("text"), F.col("spans"), F.col("tokens")).alias("n")).collect()
+    for row in found:
+        _, text, tokens, given = rows[row["id"]]
+        assert (row["t"], row["n"]) == (plain_tags(tokens, given), plain_lost(text, tokens, given)), rows[row["id"]]
+
+
+def test_many_spans_in_a_long_text(spark):
+    """20,000 spans in 200,000 characters: there and back, with scores, in time that grows with the text."""
+    frame = spark.createDataFrame([("ab 12 x 34" * 20_000,)], "text string").withColumn("tokens", spans.character_tokens(F.col("text")))
+    each = lambda j: F.struct((j * 10 + 3).alias("start"), (j * 10 + 5).alias("end"), F.lit("X").alias("label"))
+    frame = frame.withColumn("spans", F.transform(F.sequence(F.lit(0), F.lit(19_999)), each))
+    tagged = frame.withColumn("tags", spans.bio_tags(F.col("spans"), F.col("tokens"))).checkpoint()
+    scored = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["special"].alias("special"), F.lit(0.5).alias("prob")))
+    row = tagged.select(
+        (spans.decoded(F.col("text"), F.col("tokens"), F.col("tags")) == F.col("spans")).alias("same"),
+        F.array_distinct(spans.span_scores(F.col("spans"), scored)).alias("scores"),
+        spans.unreachable(F.col("text"), F.col("spans"), F.col("tokens")).alias("lost"),
+    ).first()
+    assert (row["same"], row["scores"], row["lost"]) == (True, [0.5], 0)
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text("ab ", max_size=14), st.lists(st.text("ab ", max_size=3), max_size=4))
+def test_located_equals_the_loop(spark, text, quotes):
+    pairs = [(q, str(i)) for i, q in enumerate(quotes)]
+    frame = spark.createDataFrame([(text, pairs)], "text string, quoted array<struct<text:string,label:string>>")
+    found = frame.select(spans.located(F.col("text"), F.col("quoted")).alias("s")).first()["s"]
+    expected = spans.locate(text, pairs)
+    assert (None if found is None else [tuple(s) for s in found]) == expected

@@ -167,6 +167,19 @@ def test_warm_start_goes_on(spark):
     assert loss[1] < 0.5 * loss[0]
 
 
+def test_best_epoch_is_kept(spark):
+    """Labels of the validation rows are turned round, so that every epoch is worse than the first."""
+    rows = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i}", ["pos" if i % 2 else "neg"]) for i in range(60)], "id long, text string, labels array<string>")
+    turned = rows.withColumn("labels", F.when(F.get("labels", 0) == "pos", F.array(F.lit("neg"))).otherwise(F.array(F.lit("pos"))))
+    config = TrainConfig("mllib", epochs=3, weight_decay=0.0)
+    found = model.train_epochs(BINARY, rows, config, turned)
+    assert len(found.losses) == 3 and found.best == 0 and min(found.losses) == found.losses[0]
+    assert len(model.train_epochs(BINARY, rows, config, turned, patience=1).losses) == 2
+    right = model.train_epochs(BINARY, rows, config, rows)
+    assert right.losses[right.best] == min(right.losses) < 0.1 < found.losses[0]
+    assert model.train_epochs(BINARY, rows, config, rows.limit(0)).losses == (None,)
+
+
 def test_characters_where_words_hide_spans(spark, tmp_path):
     spec = TaskSpec("Mark numbers.", TaskKind.SPAN, (LabelDef("N"),))
     rows = spark.createDataFrame([(i, f"abc{i + 10}def ghi{i}jk") for i in range(40)], "id long, text string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,15 +53,33 @@ def locate(text: str, quoted: list[tuple[str, str]]) -> list[tuple[int, int, str
     return sorted(taken, key=lambda s: s[0])
 
 
-@F.pandas_udf(SPANS)
-def located(texts: pd.Series, quoted: pd.Series) -> pd.Series:
-    """``locate`` of a column; null where a quote has no free occurrence."""
+def located(text: Column, quoted: Column) -> Column:
+    """``locate`` of columns; null where a quote has no free occurrence, or a quote, label or the text is null.
 
-    def one(text: str, items) -> list[dict] | None:
-        found = locate(text, [(i["text"], i["label"]) for i in items])
-        return None if found is None else [{"start": s, "end": e, "label": x} for s, e, x in found]
+    A fold over the quotes holds the taken intervals. A place that meets one is left for the first occurrence after that
+    interval: all places in between meet it too. So a quote is looked for once for each interval at most.
+    """
+    taken_type = "struct<taken:array<struct<start:int,end:int,label:string>>,lost:boolean>"
+    nothing = F.struct(F.array().cast(SPANS).alias("taken"), F.lit(False).alias("lost")).cast(taken_type)
+
+    def find(quote: Column, at: Column) -> Column:
+        return F.call_function("locate", quote, text, at + 1) - 1
+
+    def step(acc: Column, q: Column) -> Column:
+        size = F.length(q["text"])
+
+        def later(at: Column, _: Column) -> Column:
+            meets = F.filter(acc["taken"], lambda t: (at < t["end"]) & (at + size > t["start"]))
+            return F.when((at < 0) | (F.size(meets) == 0), at).otherwise(find(q["text"], F.array_max(F.transform(meets, lambda t: t["end"]))))
 
-    return pd.Series([one(t, q) for t, q in zip(texts, quoted, strict=True)])
+        first = F.when(size > 0, find(q["text"], F.lit(0))).otherwise(-1)
+        at = F.aggregate(acc["taken"], first, later)
+        span = F.struct(at.alias("start"), (at + size).alias("end"), q["label"].alias("label"))
+        fits = F.coalesce(~acc["lost"] & (at >= 0), F.lit(False))
+        grown = F.when(fits, F.concat(acc["taken"], F.array(span))).otherwise(acc["taken"])
+        return F.struct(grown.alias("taken"), (~fits).alias("lost")).cast(taken_type)
+
+    return F.aggregate(quoted, nothing, step, lambda acc: F.when(~acc["lost"], F.array_sort(acc["taken"])))
 
 
 def label_names(spec: TaskSpec) -> list[str]:
@@ -84,13 +101,20 @@ def encoded_labels(spec: TaskSpec, labels: Column) -> Column:
     return class_id(spec, F.get(labels, 0))
 
 
-def trimmed(text: Column, span: Column) -> Column:
-    """A span without white space at its edges."""
-    quote = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-    front = F.length(quote) - F.length(F.regexp_replace(quote, f"^[{WS}]+", ""))
-    rest = F.length(F.regexp_replace(quote, f"^[{WS}]+|[{WS}]+$", ""))
+def trimmed(chars: Column, span: Column) -> Column:
+    """A span without white space at its edges, from the characters of its text; it costs its own length."""
+    quote = F.slice(chars, span["start"] + 1, span["end"] - span["start"])
+    solid = F.transform(quote, lambda c: ~F.rlike(c, F.lit(f"^[{WS}]$")))
+    front = F.when(F.array_contains(solid, True), F.array_position(solid, True) - 1).otherwise(F.size(solid))
+    back = F.when(F.array_contains(solid, True), F.array_position(F.reverse(solid), True) - 1).otherwise(0)
     start = (span["start"] + front).cast("int")
-    return F.struct(start.alias("start"), (start + rest).cast("int").alias("end"), span["label"].alias("label"))
+    end = F.greatest(start, (span["end"] - back).cast("int"))
+    return F.struct(start.alias("start"), end.alias("end"), span["label"].alias("label"))
+
+
+def characters(text: Column) -> Column:
+    """The characters of a text."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def character_tokens(text: Column) -> Column:
@@ -104,7 +128,7 @@ def character_tokens(text: Column) -> Column:
     )
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once: in a lambda, an outer expression is computed for every element."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -125,26 +149,46 @@ def word_tokens(text: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<start:int,end:int,special:boolean>>")
-    return F.when(F.length(text) == 0, empty).otherwise(_let(F.split(text, ""), tokens))
+    return F.when(F.length(text) == 0, empty).otherwise(let(F.split(text, ""), tokens))
 
 
 def bio_tags(spans: Column, tokens: Column) -> Column:
     """Tag of each token; null for special ones.
 
     A token takes the first span by start that it overlaps: I when the last non-special token had the same span,
-    else B. Every step is a pass over the tokens.
+    else B. Every step is a pass over tokens, spans or places of the text; only spans that end no later than one before
+    them, which no token takes, are looked for among all spans.
     """
 
+    def leading(ordered: Column) -> Column:
+        rising = F.forall(
+            F.sequence(F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(1))),
+            lambda i: F.coalesce(F.get(ordered, i)["end"] > F.get(ordered, i - 1)["end"], F.lit(True)),
+        )
+        outlast = F.filter(ordered, lambda s, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda b: b["end"] >= s["end"]))
+        return F.when(rising, ordered).otherwise(outlast)
+
+
     def tagged(real: Column, ordered: Column) -> Column:
-        def hit(token: Column) -> Column:
-            over = F.transform(ordered, lambda s: (token["start"] < s["end"]) & (token["end"] > s["start"]))
-            return F.array_position(over, True) - 1
+        def listed(reach: Column) -> Column:
+            # the first span that ends after each place: every span has a run of places of its own
+            runs = F.transform(ordered, lambda s, j: F.array_repeat(j, F.get(reach, j + 1) - F.get(reach, j)))
+            return F.flatten(runs)
+
+        def hit(first: Column, token: Column) -> Column:
+            j = F.get(first, token["start"])
+            return F.when(F.get(ordered, j)["start"] < token["end"], j).otherwise(-1)
 
         def tag(hits: Column, index: Column, i: Column) -> Column:
             prefix = F.when(index == F.get(hits, i - 1), "I-").otherwise("B-")
-            return F.when(index < 0, OUTSIDE).otherwise(F.concat(prefix, F.get(ordered, index.cast("int"))["label"]))
+            return F.when(index < 0, OUTSIDE).otherwise(F.concat(prefix, F.get(ordered, index)["label"]))
+
+        def spread_hits(first: Column) -> Column:
+            hits = F.transform(real, lambda t: F.coalesce(hit(first, t), F.lit(-1)))
+            return let(hits, lambda known: F.transform(known, lambda h, i: tag(known, h, i)))
 
-        return _let(F.transform(real, hit), lambda hits: F.transform(hits, lambda h, i: tag(hits, h, i)))
+        reach = F.concat(F.array(F.lit(0)), F.transform(ordered, lambda s: s["end"]))
+        return let(let(reach, listed), spread_hits)
 
     def spread(real_tags: Column) -> Column:
         special = F.filter(F.transform(tokens, lambda t, j: F.when(t["special"], j)), lambda j: j.isNotNull())
@@ -155,10 +199,10 @@ def bio_tags(spans: Column, tokens: Column) -> Column:
                 lambda t, j: F.when(~t["special"], F.get(real_tags, j - F.size(F.filter(skipped, lambda k: k < j)))),
             )
 
-        return _let(special, place)
+        return let(special, place)
 
     real = F.filter(tokens, lambda t: ~t["special"])
-    return _let(_let(F.array_sort(spans), lambda o: tagged(real, o)), spread)
+    return let(let(let(F.array_sort(spans), leading), lambda o: tagged(real, o)), spread)
 
 
 def bio_ids(spec: TaskSpec, tags: Column) -> Column:
@@ -167,62 +211,88 @@ def bio_ids(spec: TaskSpec, tags: Column) -> Column:
 
 
 def decoded(text: Column, tokens: Column, tags: Column) -> Column:
-    """Spans of tagged tokens: B opens, I of the same label goes on, an orphan I opens, O closes, specials pass."""
+    """Spans of tagged tokens: B opens, I of the same label goes on, an orphan I opens, O closes, specials pass.
+
+    Whether a token goes on a span is told by the token before it, so spans are pairs of first and last tokens.
+    """
     pairs = F.arrays_zip(tokens.alias("token"), tags.alias("tag"))
-    state = "struct<open:boolean,out:array<struct<start:int,end:int,label:string>>>"
-    start = F.struct(F.lit(False).alias("open"), F.array().cast(SPANS).alias("out")).cast(state)
-
-    def step(acc: Column, pair: Column) -> Column:
-        token, tag = pair["token"], pair["tag"]
-        passes = token["special"] | tag.isNull()
-        fresh_label = F.substring(tag, F.lit(3), F.length(tag))
-        fresh = F.struct(token["start"].alias("start"), token["end"].alias("end"), fresh_label.alias("label"))
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        goes_on = acc["open"] & F.startswith(tag, F.lit("I")) & (last["label"] == fresh_label)
-        head = F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0)))
-        grown = F.struct(last["start"].alias("start"), token["end"].alias("end"), last["label"].alias("label"))
-        out = (
-            F.when(passes | (tag == OUTSIDE), acc["out"])
-            .when(goes_on, F.concat(head, F.array(grown)))
-            .otherwise(F.concat(acc["out"], F.array(fresh)))
-        )
-        return F.struct(F.when(passes, acc["open"]).otherwise(tag != OUTSIDE).alias("open"), out.alias("out")).cast(state)
+    told = F.filter(pairs, lambda p: ~p["token"]["special"] & p["tag"].isNotNull())
 
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.transform(spans, lambda s: trimmed(text, s))
+    def label(tag: Column) -> Column:
+        return F.substring(tag, F.lit(3), F.length(tag))
 
+    def spans_of(real: Column, chars: Column) -> Column:
+        def goes_on(i: Column) -> Column:
+            own, last = F.get(real, i)["tag"], F.get(real, i - 1)["tag"]
+            same = F.startswith(own, F.lit("I")) & (last != OUTSIDE) & (label(own) == label(last))
+            return F.coalesce(same, F.lit(False))
 
-def span_score(span: Column, tokens: Column) -> Column:
-    """Mean ``prob`` of the tokens that a span overlaps, 0 without any."""
-    inside = F.filter(tokens, lambda t: (t["start"] < span["end"]) & (t["end"] > span["start"]))
-    total = F.aggregate(inside, F.lit(0.0), lambda a, t: a + t["prob"])
-    return F.when(F.size(inside) > 0, total / F.size(inside)).otherwise(0.0)
+        inside = F.filter(F.transform(real, lambda p, i: F.when(p["tag"] != OUTSIDE, i)), lambda i: i.isNotNull())
+        starts = F.filter(inside, lambda i: ~goes_on(i))
+        ends = F.filter(inside, lambda i: ~goes_on(i + 1))
+
+        def span(a: Column, b: Column) -> Column:
+            first, last = F.get(real, a), F.get(real, b)
+            return F.struct(first["token"]["start"].alias("start"), last["token"]["end"].alias("end"), label(first["tag"]).alias("label"))
+
+        return F.transform(F.zip_with(starts, ends, span), lambda s: trimmed(chars, s))
+
+    return let(told, lambda real: let(characters(text), lambda chars: spans_of(real, chars)))
+
+
+def span_scores(found: Column, tokens: Column) -> Column:
+    """Mean ``prob`` of the tokens that each span overlaps, 0 without any.
+
+    Tokens and spans are in order and apart, so the tokens of a span are a run: it is found by the places where tokens
+    start and end.
+    """
+
+    def all_scores(real: Column, first: Column) -> Column:
+        def score(s: Column) -> Column:
+            a = F.get(first, s["start"])
+            b = F.coalesce(F.get(first, s["end"] - 1), F.size(real) - 1)
+            own = F.filter(F.slice(real, a + 1, b - a + 1), lambda t: (t["start"] < s["end"]) & (t["end"] > s["start"]))
+            total = F.aggregate(own, F.lit(0.0), lambda x, t: x + t["prob"])
+            return F.when(F.size(own) > 0, total / F.size(own))
+
+        return F.transform(found, lambda s: F.coalesce(F.when(s["start"] < s["end"], score(s)), F.lit(0.0)))
+
+    def listed(real: Column) -> Column:
+        # the first token that ends after each place
+        ends = F.transform(real, lambda t, j: F.array_repeat(j, t["end"] - F.coalesce(F.get(real, j - 1)["end"], F.lit(0))))
+        return let(F.flatten(ends), lambda first: all_scores(real, first))
+
+    return let(F.filter(tokens, lambda t: ~t["special"]), listed)
 
 
 def unreachable(text: Column, spans: Column, tokens: Column) -> Column:
-    """How many gold spans no tagging of the tokens can express: a boundary is no token's, trimmed or not."""
+    """How many gold spans no tagging of the tokens can express: a boundary is no token's, trimmed or not.
 
-    def edges(real: Column) -> Column:
-        def trim(t: Column) -> Column:
-            return trimmed(text, F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("label")))
+    Tokens are in order and apart. The token at a boundary is found by its place, so the cost is that of the text.
+    """
 
-        return F.concat(
-            F.transform(real, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("label"))),
-            F.transform(real, trim),
-        )
+    def lost(real: Column, trims: Column, first: Column) -> Column:
+        def starts(s: Column) -> Column:
+            j, before = F.get(first, s["start"]), F.get(first, s["start"] - 1)
+            blank = (F.get(trims, before)["start"] == s["start"]) & (F.get(real, before)["end"] == s["start"])
+            own = (F.get(real, j)["start"] == s["start"]) | (F.get(trims, j)["start"] == s["start"])
+            return F.coalesce(own, F.lit(False)) | F.coalesce(blank, F.lit(False))
+
+        def ends(s: Column) -> Column:
+            j = F.get(first, s["end"] - 1)
+            return F.coalesce((F.get(real, j)["end"] == s["end"]) | (F.get(trims, j)["end"] == s["end"]), F.lit(False))
 
-    def lost(known: Column) -> Column:
-        def split(s: Column) -> Column:
-            return ~(F.exists(known, lambda e: e["start"] == s["start"]) & F.exists(known, lambda e: e["end"] == s["end"]))
+        return F.size(F.filter(spans, lambda s: ~(starts(s) & ends(s))))
 
-        return F.size(F.filter(spans, split))
+    def trim(chars: Column, t: Column) -> Column:
+        return trimmed(chars, F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("label")))
 
-    # only tokens that touch a span's boundary matter
-    def near(t: Column) -> Column:
-        return F.exists(spans, lambda s: (t["start"] <= s["end"]) & (t["end"] >= s["start"]))
+    def counted(real: Column) -> Column:
+        ends = F.transform(real, lambda t, j: F.array_repeat(j, t["end"] - F.coalesce(F.get(real, j - 1)["end"], F.lit(0))))
+        trims = let(characters(text), lambda chars: F.transform(real, lambda t: trim(chars, t)))
+        return let(trims, lambda known: let(F.flatten(ends), lambda first: lost(real, known, first)))
 
-    real = F.filter(tokens, lambda t: ~t["special"] & (t["start"] < t["end"]) & near(t))
-    return _let(edges(real), lost)
+    return F.when(F.size(spans) == 0, 0).otherwise(let(F.filter(tokens, lambda t: ~t["special"] & (t["start"] < t["end"])), counted))
 
 
 def needs_characters(spans: int, lost: int, limit: float = 0.01) -> bool:

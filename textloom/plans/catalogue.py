@@ -274,6 +274,17 @@ def span_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.get("spans", 0)["start"].alias("start_at"), F.get("spans", 0)["end"].alias("end_at"))
 
 
+def locate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several quotes a document: its first words (twice), two that overlap them, and one word wherever it is free."""
+    words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
+    pair = lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
+    quotes = [(F.get(words, 1), "b"), (F.get(words, 0), "a"), (F.get(words, 0), "again"), (pair(F.lit(3)), "pair"), (F.get(words, 4), "in")]
+    items = F.array(*[F.struct(q.alias("text"), F.lit(label).alias("label")) for q, label in quotes])
+    own = _docs(spark, sf_dir).filter(F.size(words) > 5).select("doc_id", spans.located(F.col("text"), items).alias("spans"))
+    each = own.select("doc_id", F.col("spans").isNotNull().alias("found"), F.explode_outer("spans").alias("s"))
+    return each.select("doc_id", "found", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.label").alias("label"))
+
+
 # --- spans and tags ------------------------------------------------------------------------------------------------
 
 
@@ -410,14 +421,38 @@ def train_predict_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.prediction_json(model.predict(LANG_SPEC, fitted, rows.filter("pool = 'test'")))
 
 
+def train_best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss on the validation split after each epoch over all documents, and which epoch's model is kept."""
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("key"), "text", F.array("lang").alias("labels"))
+    split = pools.split_train_valid(rows, "key", SEED)
+    train, valid = (split.filter(F.col("split") == s.value) for s in (Split.TRAIN, Split.VALID))
+    found = model.train_epochs(LANG_SPEC, train, TrainConfig("mllib", epochs=3), valid, patience=2)
+    told = [(i, loss, i == found.best) for i, loss in enumerate(found.losses)]
+    return spark.createDataFrame(told, "epoch int, valid_loss double, kept boolean")
+
+
+def span_tagger_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that a tagger trained on the train pool finds in the test pool, with scores."""
+    rows = labelers.pattern_spans("[0-9]+", "NUMBER")(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
+    pooled = rows.withColumn("pool", pools.portable_pool(F.col("text")))
+    fitted = model.train(DIGIT_SPEC, pooled.filter("pool = 'train'"), TrainConfig("mllib", epochs=0.3, weight_decay=0.0))
+    found = model.predict(DIGIT_SPEC, fitted, pooled.filter("pool = 'test'"))
+    each = found.select("id", F.explode(F.arrays_zip(F.col("pred_spans").alias("s"), F.col("span_scores").alias("p"))).alias("x"))
+    return each.select(
+        F.col("id").alias("doc_id"), F.col("x.s.start").alias("start_at"), F.col("x.s.end").alias("end_at"), F.col("x.s.label").alias("label"),
+        F.round("x.p", 6).alias("score"),
+    )
+
+
 _QUERIES = [
     flagship, normalize_text, dedup_first_wins, store_insert, held_out_isolation, clean_seeds, prepare_paragraphs, source_stats,
     split_sentences, split_passages, pool_assignment, pool_assignment_blake, fixed_hash_shuffle, chunk_requests,
     train_valid_split, normalized_weights, label_quotas, corpus_weights, rule_labels, sample_quota, sample_fill_report,
     sample_stats, sample_stall, cell_sampling, consult_labeler, labeler_agreement, verify_filter, verification_gate, signatures,
-    describe_examples, class_items, span_items, digit_spans, bio_encode, bio_decode, encode_labels, unreachable_spans,
+    describe_examples, class_items, span_items, locate_quotes, digit_spans, bio_encode, bio_decode, encode_labels, unreachable_spans,
     multiclass_metrics, multiclass_summary, multilabel_metrics, span_metrics, error_listing, error_sample, best_round,
     decision_rules, store_label_counts, train_predict_language,
+    train_best_checkpoint, span_tagger_predictions,
 ]
 
 

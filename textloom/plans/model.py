@@ -5,13 +5,14 @@ Encoder fine-tuning plugs in as another ``train`` and ``predict`` pair; the torc
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
+from pyspark import SparkContext, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +67,13 @@ def _features(column: str, words: bool) -> list:
     ]
 
 
+#: Steps of the optimizer in an epoch.
+STEPS = 10
+
+
 def _regression(label: str, config: TrainConfig, name: str = "") -> LogisticRegression:
     return LogisticRegression(
-        featuresCol="features", labelCol=label, maxIter=max(1, round(10 * config.epochs)), regParam=config.weight_decay / 10,
+        featuresCol="features", labelCol=label, maxIter=max(1, round(STEPS * config.epochs)), regParam=config.weight_decay / 10,
         rawPredictionCol=f"raw{name}", probabilityCol=f"probability{name}", predictionCol=f"prediction{name}",
     )
 
@@ -82,22 +87,32 @@ def _tokens(context: str) -> Column:
 
 
 def _token_rows(rows: DataFrame, named: str) -> DataFrame:
-    """A row for each token of a text: its neighbourhood as a string, its offsets and its tag's id if spans are known."""
-    tokens = rows.withColumn("__tokens", _tokens(named))
-    if "spans" in rows.columns:
-        tokens = tokens.withColumn("__tags", spans.bio_tags(F.col("spans"), F.col("__tokens")))
-    else:
-        tokens = tokens.withColumn("__tags", F.transform("__tokens", lambda t: F.lit(spans.OUTSIDE)))
-    each = tokens.select("id", "text", "__tokens", "__tags", F.posexplode("__tokens").alias("pos", "token"))
+    """A row for each token of a text: its neighbourhood as a string, its offsets and its tag's id if spans are known.
+
+    Neighbours come from shifted arrays of the words, so that a row holds its own token only and a text costs its length.
+    """
+    reach = 2 if named == CHARACTERS else 1
+    words = F.split("text", "") if named == CHARACTERS else F.split("text", f"[{spans.WS}]+")
+    own = rows.withColumn("__tokens", _tokens(named)).withColumn("__words", F.filter(words, lambda w: w != ""))
+    outside = F.array_repeat(F.lit(spans.OUTSIDE), F.size("__tokens"))
+    tags = spans.bio_tags(F.col("spans"), F.col("__tokens")) if "spans" in rows.columns else outside
+    edge = F.array_repeat(F.lit("_"), reach)
+
+    def shape(w: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(w, r"\p{N}", "9"), r"\p{Lu}", "A")
 
-    def word(k: int) -> Column:
-        t = F.get("__tokens", F.col("pos") + k)
-        w = F.coalesce(F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"]), F.lit("_"))
-        shape = F.regexp_replace(F.regexp_replace(w, r"\p{N}", "9"), r"\p{Lu}", "A")
-        return F.concat(F.lit(f"w{k}="), w, F.lit(f" s{k}="), shape)
+    def near(padded: Column, shapes: Column) -> Column:
+        def parts(i: Column) -> list[Column]:
+            places = [(k, i + (reach + k)) for k in range(-reach, reach + 1)]
+            return [c for k, at in places for c in (F.lit(f" w{k}="), F.get(padded, at), F.lit(f" s{k}="), F.get(shapes, at))]
 
-    context = F.concat_ws(" ", *[word(k) for k in ((-2, -1, 0, 1, 2) if named == CHARACTERS else (-1, 0, 1))])
-    return each.select("id", "text", "pos", "token", F.get("__tags", F.col("pos")).alias("tag"), context.alias(named))
+        return F.transform("__words", lambda _, i: F.concat(*parts(i)))
+
+    padded = F.concat(edge, F.col("__words"), edge)
+    contexts = spans.let(padded, lambda p: spans.let(F.transform(p, shape), lambda shapes: near(p, shapes)))
+    zipped = F.arrays_zip(F.col("__tokens").alias("token"), tags.alias("tag"), contexts.alias("context"))
+    each = own.select("id", F.posexplode(zipped).alias("pos", "t"))
+    return each.select("id", "pos", "t.token", "t.tag", F.col("t.context").alias(named))
 
 
 def token_context(rows: DataFrame) -> str:
@@ -107,38 +122,101 @@ def token_context(rows: DataFrame) -> str:
     return CHARACTERS if spans.needs_characters(total["n"], total["lost"]) else WORDS
 
 
-def _fitted(stages: list, rows: DataFrame, start: PipelineModel | None) -> PipelineModel:
-    """Fit stages; regressions go on from the coefficients of ``start`` (the same task) where their shapes agree."""
-    if start is not None and len(start.stages) == len(stages):
-        for stage, before in zip(stages, start.stages, strict=True):
-            if isinstance(stage, LogisticRegression) and isinstance(before, LogisticRegressionModel):
-                stage._java_obj.setInitialModel(before._java_obj)
-    return Pipeline(stages=stages).fit(rows)
+@dataclass(frozen=True)
+class Trained:
+    """A model, the loss on the validation rows after each epoch (null without any), and the epoch that was kept."""
+
+    model: PipelineModel
+    losses: tuple[float | None, ...]
+    best: int
 
 
-def train(spec: TaskSpec, rows: DataFrame, config: TrainConfig, start: PipelineModel | None = None) -> PipelineModel:
+def _steps(config: TrainConfig, several: bool) -> list[int]:
+    """Optimizer steps of each epoch, the last one in part; all in one where nothing is compared."""
+    total = max(1, round(STEPS * config.epochs))
+    return [min(STEPS, total - at) for at in range(0, total, STEPS)] if several else [total]
+
+
+def _marked(spec: TaskSpec, rows: DataFrame, context: str) -> tuple[DataFrame, list, list[str]]:
+    """Rows with their targets, the stages that make features of them, and the targets' names."""
+    if spec.kind is TaskKind.SPAN:
+        tagged = _token_rows(rows, context).withColumn("label", spans.class_id(spec, F.col("tag")).cast("double"))
+        tokens = RegexTokenizer(inputCol=context, outputCol="__words", pattern=" ", toLowercase=False)
+        return tagged, [tokens, HashingTF(inputCol="__words", outputCol="features", numFeatures=FEATURES)], ["label"]
+    if spec.kind is TaskKind.MULTILABEL:
+        targets = {f"label{i}": F.array_contains("labels", name).cast("double") for i, name in enumerate(spec.names)}
+        return rows.withColumns(targets), _features("text", True), list(targets)
+    return rows.withColumn("label", spans.class_id(spec, F.get("labels", 0)).cast("double")), _features("text", True), ["label"]
+
+
+def _loss(spec: TaskSpec, regressions: list[LogisticRegressionModel], featured: DataFrame, targets: list[str]) -> float | None:
+    """Mean logarithmic loss of the targets (of each label where several may hold)."""
+    total, scored = F.lit(0.0), featured
+    for target, fitted in zip(targets, regressions, strict=True):
+        scored = fitted.transform(scored)
+        chance = F.get(vector_to_array(fitted.getProbabilityCol()), F.col(target).cast("int"))
+        total = total - F.log(F.greatest(F.coalesce(chance, F.lit(0.0)), F.lit(1e-15)))
+    return scored.agg(F.avg(total / len(targets)).alias("loss")).first()["loss"]
+
+
+def train_epochs(
+    spec: TaskSpec,
+    rows: DataFrame,
+    config: TrainConfig,
+    valid: DataFrame | None = None,
+    start: PipelineModel | None = None,
+    patience: int | None = None,
+) -> Trained:
     """Fit on ``id, text, labels, spans``, from the coefficients of ``start`` if given.
 
+    After each epoch the loss on ``valid`` is taken, and the model with the smallest one is kept (the earlier at a tie);
+    ``patience`` epochs without a smaller one end the fit. Without validation rows the last model is kept. Texts
+    are tokenized and hashed once; gradients are summed over all partitions of the hashed features.
     Of the options, epochs (optimizer steps) and weight decay (ridge) have a meaning here; learning rate, batch size,
     length and warm-up are those of an encoder and are kept for one that plugs in.
     """
+    context = ""
     if spec.kind is TaskKind.SPAN:
         context = start.stages[0].getInputCol() if start is not None else token_context(rows)
-        tagged = _token_rows(rows, context).withColumn("label", spans.class_id(spec, F.col("tag")).cast("double"))
-        stages = [
-            RegexTokenizer(inputCol=context, outputCol="__words", pattern=" ", toLowercase=False),
-            HashingTF(inputCol="__words", outputCol="features", numFeatures=FEATURES),
-            _regression("label", config),
-        ]
-        return _fitted(stages, tagged, start)
-    if spec.kind is TaskKind.MULTILABEL:
-        marked = rows
-        for i, name in enumerate(spec.names):
-            marked = marked.withColumn(f"label{i}", F.array_contains("labels", name).cast("double"))
-        each = [_regression(f"label{i}", config, str(i)) for i in range(len(spec.names))]
-        return _fitted([*_features("text", True), *each], marked, start)
-    marked = rows.withColumn("label", spans.class_id(spec, F.get("labels", 0)).cast("double"))
-    return _fitted([*_features("text", True), _regression("label", config)], marked, start)
+    marked, stages, targets = _marked(spec, rows, context)
+    if valid is not None and valid.isEmpty():
+        valid = None
+    hashing = stages[:2]
+    inputs = PipelineModel(hashing).transform
+    kept = [*targets, stages[1].getOutputCol()]
+    hashed = inputs(marked).select(kept).persist(StorageLevel.DISK_ONLY)
+    held = inputs(_marked(spec, valid, context)[0]).select(kept).persist(StorageLevel.DISK_ONLY) if valid is not None else None
+    weighing = [stage.fit(hashed) for stage in stages[2:]]
+    featured = PipelineModel(weighing).transform(hashed)
+    names = [t.removeprefix("label") for t in targets]
+    before = [s for s in (start.stages if start is not None else ()) if isinstance(s, LogisticRegressionModel)]
+    current: list[LogisticRegressionModel] = before if len(before) == len(targets) else []
+    best, losses, at = current, [], 0
+    for epoch, steps in enumerate(_steps(config, held is not None)):
+        fits = []
+        for i, (target, name) in enumerate(zip(targets, names, strict=True)):
+            regression = _regression(target, config, name).setMaxIter(steps)
+            if current:
+                regression._java_obj.setInitialModel(current[i]._java_obj)
+            fits.append(regression.fit(featured))
+        current = fits
+        loss = _loss(spec, current, PipelineModel(weighing).transform(held), targets) if held is not None else None
+        if loss is None or all(old is None or loss < old for old in losses):
+            best, at = current, epoch
+        losses.append(loss)
+        if patience is not None and epoch - at >= patience:
+            break
+    for frame in (hashed, held):
+        if frame is not None:
+            frame.unpersist()
+    return Trained(PipelineModel([*hashing, *weighing, *best]), tuple(losses), at)
+
+
+def train(
+    spec: TaskSpec, rows: DataFrame, config: TrainConfig, start: PipelineModel | None = None, valid: DataFrame | None = None
+) -> PipelineModel:
+    """The model of ``train_epochs``."""
+    return train_epochs(spec, rows, config, valid, start).model
 
 
 def predict(spec: TaskSpec, model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -151,11 +229,12 @@ def predict(spec: TaskSpec, model: PipelineModel, rows: DataFrame) -> DataFrame:
         item = F.struct(
             "pos", F.struct("token.start", "token.end", "token.special", F.array_max("p").alias("prob")).alias("token"), tag_name.alias("tag")
         )
-        each = tags.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("t"))
+        tags = tags.select("id", item.alias("item"))
+        each = tags.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("t"))
         joined = plain.join(each, "id", "left").withColumn("tokens", F.col("t.token"))
         found = F.coalesce(spans.decoded(F.col("text"), F.col("tokens"), F.col("t.tag")), F.array().cast(SPANS))
         scored = joined.withColumn("pred_spans", found)
-        scores = F.transform("pred_spans", lambda s: spans.span_score(s, F.col("tokens")))
+        scores = spans.span_scores(F.col("pred_spans"), F.col("tokens"))
         return scored.select(
             "id", "text", F.array().cast(LABELS).alias("pred_labels"), "pred_spans",
             F.lit(None).cast("map<string,double>").alias("scores"), scores.alias("span_scores"),
@@ -189,10 +268,15 @@ def prediction_json(predicted: DataFrame) -> DataFrame:
 
 
 def save(model: PipelineModel, path: Path) -> None:
-    """Save beside, then rename, so a model folder is whole."""
-    beside = path.with_name(path.name + ".tmp")
-    model.write().overwrite().save(str(beside))
-    beside.rename(path)
+    """Save beside, then rename, so a model folder is whole; in whatever file system Spark names the path in."""
+    beside = f"{path}.tmp"
+    model.write().overwrite().save(beside)
+    context = SparkContext._active_spark_context
+    made, named = (context._jvm.org.apache.hadoop.fs.Path(str(p)) for p in (beside, path))
+    system = made.getFileSystem(context._jsc.hadoopConfiguration())
+    system.delete(named, True)
+    if not system.rename(made, named):
+        raise OSError(f"cannot rename {beside} to {path}")
 
 
 def evaluate(spec: TaskSpec, model: PipelineModel, rows: DataFrame):

@@ -173,6 +173,24 @@ SQL: dict[str, str] = {
     "span_items": r"""WITH f AS (SELECT doc_id, trim(text) AS text, regexp_extract(text, '[^ \n]+') AS w FROM documents)
         SELECT doc_id, CAST(strpos(text, w) - 1 AS INTEGER) AS start_at, CAST(strpos(text, w) - 1 + length(w) AS INTEGER) AS end_at FROM f
         WHERE w <> '' AND (length(text) - length(replace(text, w, ''))) / length(w) = 1""",
+    # each quote in turn: the smallest place where it stands and meets none of the taken intervals
+    "locate_quotes": r"""WITH RECURSIVE w AS (
+          SELECT doc_id, text, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') AS ws FROM documents
+        ), q AS (
+          SELECT doc_id, text, [ws[2], ws[1], ws[1], ws[4] || ' ' || ws[5], ws[5]] AS qs, ['b', 'a', 'again', 'pair', 'in'] AS ls FROM w WHERE len(ws) > 5
+        ), walk AS (
+          SELECT doc_id, text, qs, ls, 1 AS i, []::STRUCT(s BIGINT, e BIGINT, l VARCHAR)[] AS taken, true AS found FROM q
+          UNION ALL
+          SELECT doc_id, text, qs, ls, i + 1, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, {'s': p - 1, 'e': p - 1 + length(qs[i]), 'l': ls[i]}) END,
+            found AND p IS NOT NULL
+          FROM (
+            SELECT *, list_min(list_filter(range(1, length(text) + 1), lambda c: substr(text, c, length(qs[i])) = qs[i]
+              AND len(list_filter(taken, lambda t: c - 1 < t.e AND c - 1 + length(qs[i]) > t.s)) = 0)) AS p
+            FROM walk WHERE i <= 5 AND found
+          )
+        ), ended AS (SELECT doc_id, found, CASE WHEN found THEN taken END AS taken FROM walk WHERE i = 6 OR NOT found)
+        SELECT doc_id, found, CAST(t.s AS INTEGER) AS start_at, CAST(t.e AS INTEGER) AS end_at, t.l AS label
+        FROM ended, unnest(CASE WHEN found THEN taken ELSE [NULL] END) AS u(t)""",
     "digit_spans": f"{_RUNS} SELECT doc_id, CAST(start_at AS INTEGER) AS start_at, CAST(end_at AS INTEGER) AS end_at FROM spans",
     "bio_encode": f"""{_RUNS} SELECT doc_id, CAST(pos AS INTEGER) AS pos,
         CASE WHEN pos = min(pos) OVER (PARTITION BY doc_id, run) THEN 'B-NUMBER' ELSE 'I-NUMBER' END AS tag FROM digits""",

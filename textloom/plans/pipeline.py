@@ -184,7 +184,8 @@ class Run:
         if not (folder / "model").exists():
             folder.mkdir(parents=True, exist_ok=True)
             start = None if warm is None else PipelineModel.load(str(self.root / "rounds" / str(warm) / "model"))
-            model.save(model.train(spec, self.store.load(Split.TRAIN), used, start), folder / "model")
+            valid = self.store.load(Split.VALID)
+            model.save(model.train(spec, self.store.load(Split.TRAIN), used, start, valid), folder / "model")
         fitted = PipelineModel.load(str(folder / "model"))
 
         def scored(split: Split) -> Metrics:
