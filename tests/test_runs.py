@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +63,34 @@ def test_store(spark, tmp_path):
     assert kept.load(Split.TRAIN, 1).isEmpty() and kept.load(Split.TEST, 0).count() == 2
 
 
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Writers that start from one version: norms and ids stay unique, versions are whole, readers keep theirs."""
+    path = str(tmp_path / "s")
+    schema = f"seq long, text string, labels array<string>, spans {SPANS}, split string"
+    drafts = lambda texts: spark.createDataFrame([(i, t, ["x"], [], "train") for i, t in enumerate(texts)], schema)
+    barrier, publish = threading.Barrier(2, timeout=120), store.ExampleStore._publish
+    monkeypatch.setattr(store.ExampleStore, "_publish", lambda self, m: (m["version"] > 1 or barrier.wait() is not None) and publish(self, m))
+    with ThreadPoolExecutor(2) as pool:
+        added = list(pool.map(lambda t: store.ExampleStore(spark, path).add(drafts(t), 0, "me"), [["a", "b", "c"], ["B", "c", "d"]]))
+    kept = store.ExampleStore(spark, path)
+    rows = kept.rows().collect()
+    assert sorted(r["norm"] for r in rows) == ["a", "b", "c", "d"] and len({r["id"] for r in rows}) == 4
+    assert sorted(added) == [1, 3] and kept.version() == 2
+    assert kept.rows(1).count() == 3 and kept.rows(0).count() == 0
+    assert kept.add(drafts(["A"]), 1, "me") == 0 and kept.version() == 2
+    (tmp_path / "s" / "batch=lost" / "split=train" / "round=0").mkdir(parents=True)
+    assert kept.rows().count() == 4
+
+
+def test_writer_gives_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "TRIES", 2)
+    monkeypatch.setattr(store.ExampleStore, "_publish", lambda self, m: False)
+    rows = spark.createDataFrame([(0, "a", ["x"], [], "train")], f"seq long, text string, labels array<string>, spans {SPANS}, split string")
+    with pytest.raises(store.StoreConflict):
+        store.ExampleStore(spark, str(tmp_path / "s")).add(rows, 0, "me")
+    assert store.ExampleStore(spark, str(tmp_path / "s")).rows().count() == 0
+
+
 def test_corpus_files(spark, tmp_path):
     import gzip
 

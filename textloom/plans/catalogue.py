@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import describe, normalized_latin, signature
 from textloom.operators import dedup, labelers, metrics, pools, prepare, quotas, sampling, scan, segment, spans, verify
 from textloom.plans import generation, model
 from textloom.session import ensure_checkpoint_dir
-from textloom.sources.store import label_counts
+from textloom.sources.store import ExampleStore, label_counts
 from textloom.types import NONE_KEY, Axis, DataPlan, LabelDef, Pool, Split, TaskKind, TaskSpec, TrainConfig
 
 MAX_CHARS = 300
@@ -65,6 +67,20 @@ def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.insertable(new, stored, "doc_id").select("doc_id", "source")
 
 
+def store_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers at once, whose texts overlap, fill a store: every norm once, under ids of its own."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    docs = dedup.with_norm(_docs(spark, sf_dir), norm=normalized_latin(F.col("text")))
+    split = F.when(F.col("doc_id") % 5 == 0, Split.TEST.value).otherwise(Split.TRAIN.value)
+    drafts = docs.select(F.col("doc_id").alias("seq"), "text", "norm", F.array("lang").alias("labels"), labelers.no_spans().alias("spans"), split.alias("split"))
+    parts = [drafts.filter(F.col("seq") % 3 != k) for k in (0, 1)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda rows: ExampleStore(spark, path).add(rows, 0, "documents"), parts))
+    by_norm = ExampleStore(spark, path).rows().withColumn("ids", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    return by_norm.groupBy(F.md5("norm").alias("norm_md5")).agg(F.count(F.lit(1)).alias("rows"), F.max("ids").alias("rows_of_id"))
+
+
 def held_out_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = normalized_latin(F.col("text"))
     held = dedup.with_norm(_table(spark, sf_dir, "benchmark"), norm=norm)
@@ -141,8 +157,6 @@ def label_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by(column: str):
-    from pyspark.sql import Window
-
     return Window.orderBy(column)  # a row for each language
 
 
@@ -445,7 +459,7 @@ def span_tagger_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [
-    flagship, normalize_text, dedup_first_wins, store_insert, held_out_isolation, clean_seeds, prepare_paragraphs, source_stats,
+    flagship, normalize_text, dedup_first_wins, store_insert, store_two_writers, held_out_isolation, clean_seeds, prepare_paragraphs, source_stats,
     split_sentences, split_passages, pool_assignment, pool_assignment_blake, fixed_hash_shuffle, chunk_requests,
     train_valid_split, normalized_weights, label_quotas, corpus_weights, rule_labels, sample_quota, sample_fill_report,
     sample_stats, sample_stall, cell_sampling, consult_labeler, labeler_agreement, verify_filter, verification_gate, signatures,

@@ -173,6 +173,7 @@ SQL: dict[str, str] = {
     "span_items": r"""WITH f AS (SELECT doc_id, trim(text) AS text, regexp_extract(text, '[^ \n]+') AS w FROM documents)
         SELECT doc_id, CAST(strpos(text, w) - 1 AS INTEGER) AS start_at, CAST(strpos(text, w) - 1 + length(w) AS INTEGER) AS end_at FROM f
         WHERE w <> '' AND (length(text) - length(replace(text, w, ''))) / length(w) = 1""",
+    "store_two_writers": f"SELECT md5(n) AS norm_md5, 1 AS rows, 1 AS rows_of_id FROM (SELECT DISTINCT {_NORM} AS n FROM documents)",
     # each quote in turn: the smallest place where it stands and meets none of the taken intervals
     "locate_quotes": r"""WITH RECURSIVE w AS (
           SELECT doc_id, text, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') AS ws FROM documents

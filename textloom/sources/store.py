@@ -1,17 +1,26 @@
-"""The example store: a Parquet table partitioned by split and round, unique by normalized text."""
+"""The example store: Parquet batches partitioned by split and round, unique by normalized text, and a log of commits.
+
+``_commits`` holds a numbered manifest for each version: the batch that it adds and the next free id. A manifest is
+written beside and then takes its number in one step that fails where the number is taken (a rename of the file
+system; a link on local disks), so versions have one writer each, and a batch is seen whole or not at all. A writer that
+finds its number taken drops what the new versions already hold, takes new ids and tries the next number. Readers read
+the batches up to a version, whatever is written meanwhile. Batches that no manifest names are never read.
+"""
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-from textloom.operators.dedup import insertable, with_norm
+from textloom.operators.dedup import insertable, not_seen, with_norm
 from textloom.operators.verify import agreement
+from textloom.session import ensure_checkpoint_dir
 from textloom.types import LABELS, NONE_KEY, SPANS, Split
 
 SCHEMA = T.StructType(
@@ -48,18 +57,67 @@ def label_counts(rows: DataFrame, splits: list[str] | None = None) -> DataFrame:
     return dim.join(counts, "split", "left").select("split", "label", F.coalesce("count", F.lit(0)).alias("count"))
 
 
+class StoreConflict(RuntimeError):
+    """Other writers took every version that this one tried for."""
+
+
+#: Versions that a writer tries for.
+TRIES = 20
+
+
 class ExampleStore:
-    """Labeled examples of a run. One writer at a time; readers see whole batches, as a batch is one append."""
+    """Labeled examples of a run, for several writers and readers."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def rows(self) -> DataFrame:
-        """All stored rows; columns that older files lack are null."""
-        try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
-        except AnalysisException:
+    def _file(self, *names: str):
+        """A Hadoop path in the store and its file system."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """How many commits there are."""
+        folder, system = self._file("_commits")
+        if not system.exists(folder):
+            return 0
+        numbers = [f.getPath().getName() for f in system.listStatus(folder)]
+        return max((int(n) for n in numbers if n.isdigit()), default=0)
+
+    def manifests(self, version: int, after: int = 0) -> list[dict]:
+        """What the versions after ``after`` up to ``version`` committed."""
+        if version <= after:
+            return []
+        paths = [f"{self.path}/_commits/{n:012d}" for n in range(after + 1, version + 1)]
+        lines = self.spark.read.text(paths, wholetext=True).collect()  # a line for each commit
+        return sorted((json.loads(r["value"]) for r in lines), key=lambda m: m["version"])
+
+    def _batches(self, manifests: list[dict]) -> DataFrame:
+        folders = [f"{self.path}/batch={m['batch']}" for m in manifests if m["rows"]]
+        if not folders:
             return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*folders).select(*SCHEMA.names)
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        """All stored rows as of a version (the last one); columns that older files lack are null."""
+        return self._batches(self.manifests(self.version() if version is None else version))
+
+    def _publish(self, manifest: dict) -> bool:
+        """Give a manifest its number; false if another writer has it."""
+        made, system = self._file("_commits", f"_{uuid.uuid4().hex}")
+        named, _ = self._file("_commits", f"{manifest['version']:012d}")
+        out = system.create(made, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        try:
+            if system.getUri().getScheme() == "file":  # its rename would replace the other writer's manifest
+                os.link(made.toUri().getPath(), named.toUri().getPath())
+                return True
+            return not system.exists(named) and system.rename(made, named)
+        except FileExistsError:
+            return False
+        finally:
+            system.delete(made, False)
 
     def load(self, split: Split, round_: int | None = None) -> DataFrame:
         """Examples of a split (and round) in insertion order; partitions are pruned."""
@@ -80,27 +138,41 @@ class ExampleStore:
 
         The first of equal texts wins. Returns how many rows were inserted.
         """
-        stored = self.rows()
-        last = stored.agg(F.max("id")).first()[0]
-        base = 0 if last is None else last + 1
         given = drafts if "norm" in drafts.columns else with_norm(drafts)
-        fresh = insertable(given, stored)
         columns = {c: F.lit(None).cast(SCHEMA[c].dataType) for c in ("outcome", "written_labels", "written_spans")}
-        columns = {c: e for c, e in columns.items() if c not in fresh.columns}
-        now = datetime.now(UTC)
-        batch = (
-            fresh.withColumns(columns)
-            .withColumns({"id": F.col("seq") + base, "source": F.lit(source), "created_at": F.lit(now), "round": F.lit(round_)})
-            .select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields])
-        )
-        tag = f"{self.path}/_staging-{uuid.uuid4().hex}"
-        batch.write.parquet(tag)  # computed once, before the table changes
-        written = self.spark.read.schema(SCHEMA).parquet(tag)
-        count = written.count()
-        written.write.mode("append").partitionBy("split", "round").parquet(self.path)
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(tag)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        return count
+        columns = {c: e for c, e in columns.items() if c not in given.columns}
+        columns |= {"source": F.lit(source), "created_at": F.lit(datetime.now(UTC)), "round": F.lit(round_)}
+        known = self.version()
+        batch = insertable(given, self.rows(known)).withColumns(columns)
+        ensure_checkpoint_dir(self.spark)
+        for _ in range(TRIES):
+            manifests = self.manifests(known)
+            base = manifests[-1]["next_id"] if manifests else 0
+            name = uuid.uuid4().hex
+            folder = f"{self.path}/batch={name}"
+            placed = batch.withColumn("id", F.col("seq") + base)
+            placed.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields]).write.partitionBy("split", "round").parquet(folder)
+            written = self._batches([{"batch": name, "rows": 1}]) if self._any(folder) else self.spark.createDataFrame([], SCHEMA)
+            told = written.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).first()
+            if not told["n"]:
+                self._drop(folder)
+                return 0
+            if self._publish({"version": known + 1, "batch": name, "rows": told["n"], "next_id": told["last"] + 1}):
+                return told["n"]
+            # what the other writers added since counts as stored; ids move behind theirs
+            now = self.version()
+            fresh = not_seen(written, self._batches(self.manifests(now, known))).withColumn("seq", F.col("id") - base)
+            batch, known = fresh.checkpoint(), now
+            self._drop(folder)
+        raise StoreConflict(f"{self.path}: {TRIES} versions were taken by other writers")
+
+    def _any(self, folder: str) -> bool:
+        path, system = self._file(folder.removeprefix(f"{self.path}/"))
+        return any(f.isDirectory() for f in system.listStatus(path))
+
+    def _drop(self, folder: str) -> None:
+        path, system = self._file(folder.removeprefix(f"{self.path}/"))
+        system.delete(path, True)
 
     def counts(self) -> dict[str, dict[str, int]]:
         """Label counts of every split."""
