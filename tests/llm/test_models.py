@@ -365,3 +365,17 @@ def test_unclosed_elements_take_linear_time():
         began = time.perf_counter()
         wrapper.extract(part * 20_000 + "end", None)
         assert time.perf_counter() - began < 20, part
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 25])
+def test_urls_outside_of_the_fit(spark, monkeypatch, broadcast):
+    """Names that no fitted url holds are split by the words of the fit, alike with and without a broadcast."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", broadcast)
+    fitted = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(["green-garden.org", "green.net", "garden.info", "tea-garden.org", "green-tea.org"])], "page_id long, url string")
+    others = spark.createDataFrame([(1, "http://greengarden.biz/zzqq"), (2, "http://green.net/x"), (3, None), (4, "http://zzz/")], "page_id long, url string")
+    found = {r["page_id"]: r for r in url_filter.judge(others, [], url_filter.fit(fitted)).collect()}
+    assert len(found) == 4 and found[1]["words"].split()[:2] == ["green", "garden"]
+    assert found[4]["words"] == "zzz" and found[3]["words"] == ""
+    same = {r["page_id"]: (r["words"], r["log_odds"]) for r in url_filter.judge(fitted.select("*"), [], url_filter.fit(fitted)).collect()}
+    model = url_filter.fit(fitted)
+    assert same == {r["page_id"]: (r["words"], r["log_odds"]) for r in url_filter.judge(fitted, [], model).collect()}

@@ -137,7 +137,8 @@ def _seeds() -> tuple[Counter, Counter]:
 class UrlModel:
     """Unigram segmentation and naive Bayes: the seeds' own words, and a ``lexicon`` of the table where it was fitted."""
 
-    def __init__(self, corpus_counts: dict[str, int], lexicon: DataFrame | None = None) -> None:
+    def __init__(self, corpus_counts: dict[str, int], lexicon: DataFrame | None = None, pages: DataFrame | None = None) -> None:
+        self.pages = pages
         block, allow = _seeds()
         words = sorted(block.keys() | allow.keys())
         total_block, total_allow, n = sum(block.values()), sum(allow.values()), len(words)
@@ -189,7 +190,7 @@ def fit(pages: DataFrame, url: str = "url", rules: list[Rule] | None = None) ->
     rows = [(w, 0, 1.0 + block[w] + allow[w], float(block[w]), float(allow[w])) for w in sorted(block.keys() | allow.keys())]
     seeds = pages.sparkSession.createDataFrame(rows, "word string, hosts long, seed double, block double, allow double")
     both = counted.unionByName(seeds).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("hosts", "seed", "block", "allow")))
-    return UrlModel({}, both.checkpoint())
+    return UrlModel({}, both.checkpoint(), pages)
 
 
 def _pieces(longest: int):
@@ -206,8 +207,11 @@ def _pieces(longest: int):
     return run
 
 
-def name_table(lexicon: DataFrame) -> DataFrame:
-    """``name, words, odds`` (parallel arrays) for every name of the table."""
+def name_table(lexicon: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``name, words, odds`` (parallel arrays) for every name of the table, or of ``names`` (``name``, distinct).
+
+    A name that the table lacks is split like any other: by the words that its substrings meet.
+    """
     labelled = F.col("block") + F.col("allow") > 0
     mass = F.col("seed") + F.log1p("hosts")
     n, total, blocks, allows, longest = lexicon.agg(
@@ -215,7 +219,8 @@ def name_table(lexicon: DataFrame) -> DataFrame:
     ).first()
     evidence = F.log((F.col("block") + 0.5) / (blocks + 0.5 * n)) - F.log((F.col("allow") + 0.5) / (allows + 0.5 * n))
     words = lexicon.filter(F.length("word") <= WORD_LETTERS).select("word", "hosts", "seed", F.when(labelled, evidence).otherwise(0.0).alias("odds"))
-    names = lexicon.filter("hosts > 0").select(F.col("word").alias("name"))
+    if names is None:
+        names = lexicon.filter("hosts > 0").select(F.col("word").alias("name"))
     names = names.withColumn("key", F.xxhash64("name"))
     pieces = names.select("key", "name").mapInArrow(_pieces(longest), "key long, word string")
     # names of one key would share their words, of which each only finds its own substrings
@@ -228,7 +233,7 @@ def name_table(lexicon: DataFrame) -> DataFrame:
             odds: list[list[float]] = []
             for name, met in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 # a name is no witness for itself: as one word only other hosts count
-                mass = {m["word"]: m["seed"] + math.log1p(m["hosts"] - (m["word"] == name)) for m in met}
+                mass = {m["word"]: m["seed"] + math.log1p(max(0, m["hosts"] - (m["word"] == name))) for m in met}
                 found.append(segmented(name, {w: math.log(x / total) for w, x in mass.items() if x > 0}))
                 known = {m["word"]: m["odds"] for m in met}
                 odds.append([known.get(w, 0.0) for w in found[-1]])
@@ -275,10 +280,12 @@ def _scored(urls: DataFrame, table: DataFrame, prior: float) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url") -> DataFrame:
-    """``pages`` with ``host, path, rule, verdict, words, log_odds``; ``model`` is fitted on urls that include these."""
+    """``pages`` with ``host, path, rule, verdict, words, log_odds``, by a model fitted on these urls or others."""
     added = ["host", "path", "rule", "verdict", "words", "log_odds"]
     parsed = pages.drop(*[c for c in added if c != url]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    table = name_table(model.lexicon).checkpoint()
+    told = F.explode(names_of(F.col("host"), F.col("path"))).alias("name")
+    names = None if model.pages is pages else parsed.select(told).distinct()
+    table = name_table(model.lexicon, names).checkpoint()
     rule = rule_of(F.col("host"), F.col("path"), rules)
     by_model = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
     return (
