@@ -271,16 +271,20 @@ def unreachable(text: Column, spans: Column, tokens: Column) -> Column:
     Tokens are in order and apart. The token at a boundary is found by its place, so the cost is that of the text.
     """
 
-    def lost(real: Column, trims: Column, first: Column) -> Column:
+    def lost(real: Column, chars: Column, first: Column) -> Column:
+        # tokens are only trimmed at boundaries that are not theirs
         def starts(s: Column) -> Column:
-            j, before = F.get(first, s["start"]), F.get(first, s["start"] - 1)
-            blank = (F.get(trims, before)["start"] == s["start"]) & (F.get(real, before)["end"] == s["start"])
-            own = (F.get(real, j)["start"] == s["start"]) | (F.get(trims, j)["start"] == s["start"])
-            return F.coalesce(own, F.lit(False)) | F.coalesce(blank, F.lit(False))
+            own, before = F.get(real, F.get(first, s["start"])), F.get(real, F.get(first, s["start"] - 1))
+            blank = (before["end"] == s["start"]) & (trim(chars, before)["start"] == s["start"])
+            return (
+                F.when(own["start"] == s["start"], True)
+                .when(trim(chars, own)["start"] == s["start"], True)
+                .otherwise(F.coalesce(blank, F.lit(False)))
+            )
 
         def ends(s: Column) -> Column:
-            j = F.get(first, s["end"] - 1)
-            return F.coalesce((F.get(real, j)["end"] == s["end"]) | (F.get(trims, j)["end"] == s["end"]), F.lit(False))
+            own = F.get(real, F.get(first, s["end"] - 1))
+            return F.when(own["end"] == s["end"], True).otherwise(F.coalesce(trim(chars, own)["end"] == s["end"], F.lit(False)))
 
         return F.size(F.filter(spans, lambda s: ~(starts(s) & ends(s))))
 
@@ -289,8 +293,7 @@ def unreachable(text: Column, spans: Column, tokens: Column) -> Column:
 
     def counted(real: Column) -> Column:
         ends = F.transform(real, lambda t, j: F.array_repeat(j, t["end"] - F.coalesce(F.get(real, j - 1)["end"], F.lit(0))))
-        trims = let(characters(text), lambda chars: F.transform(real, lambda t: trim(chars, t)))
-        return let(trims, lambda known: let(F.flatten(ends), lambda first: lost(real, known, first)))
+        return let(characters(text), lambda chars: let(F.flatten(ends), lambda first: lost(real, chars, first)))
 
     return F.when(F.size(spans) == 0, 0).otherwise(let(F.filter(tokens, lambda t: ~t["special"] & (t["start"] < t["end"])), counted))
 
