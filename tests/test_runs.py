@@ -14,8 +14,8 @@ from textloom.plans.pipeline import Run, RunConfig
 from textloom.sources import artifacts, corpus, store
 from textloom.streaming import predict
 from textloom.types import (
-    NONE_KEY, Axis, DataPlan, Decision, HParamPatch, LabelDef, Metrics, RoundResult, Split, TaskKind, TaskSpec,
-    TrainConfig,
+    NONE_KEY, Axis, DataPlan, Decision, HParamPatch, LabelDef, LabelScore, Metrics, RoundResult, Split, TaskKind, TaskSpec,
+    TrainConfig, Verdict,
 )
 
 BINARY = TaskSpec("Is it good?", TaskKind.BINARY, (LabelDef("pos"), LabelDef("neg")))
@@ -234,6 +234,20 @@ def test_predictions_over_a_stream(spark, tmp_path):
     assert [len(json.loads(v)["spans"]) for v in out] == [2, 2, 2]
 
 
+def test_prompts_tell_notes_scores_and_verdicts():
+    plan = DataPlan({}, style_notes="dry", research_notes="people write briefly")
+    asked = generation.request_prompt(BINARY, plan, [], (), (), (), ())
+    assert "Style: dry" in asked and "What research found: people write briefly" in asked
+    assert "research" not in generation.request_prompt(BINARY, DataPlan({}), [], (), (), (), ())
+    scores = (LabelScore("pos", 0.5, 0.25, 1 / 3, 8),)
+    verdict = Verdict(Decision.MORE_DATA, "few positives", ("irony",), HParamPatch(epochs=5))
+    done = RoundResult(1, TrainConfig("m"), Metrics(0.7, 0.8, scores, 16), Metrics(0.6, 0.65, scores, 9, 2), verdict, 0)
+    told = generation.judge_prompt(BINARY, plan, [done], {"train": {"pos": 3}}, [], 0.9, True)
+    for part in ("from the model of round 0", "pos 0.500/0.250/0.333 of 8", "validation: 0.6000", "2 spans out of reach",
+                 "few positives", "focus: irony", '"epochs": 5'):
+        assert part in told, part
+
+
 def test_judge_accepts_without_asking():
     result = RoundResult(0, TrainConfig("m"), Metrics(0.95, 0.9, (), 10))
     verdict = generation.judge(BINARY, DataPlan({}), [result], {}, [], None, 0.9, True)

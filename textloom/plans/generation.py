@@ -6,7 +6,7 @@ import json
 import math
 import random
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import Any
 
 import pandas as pd
@@ -17,7 +17,7 @@ from textloom.functions.text import normalize_text
 from textloom.operators import dedup, quotas, spans
 from textloom.operators.verify import Annotator
 from textloom.plans.providers import Provider, ProviderError, Researcher
-from textloom.types import NONE_KEY, Axis, DataPlan, Decision, RoundResult, TaskKind, TaskSpec, Verdict
+from textloom.types import NONE_KEY, Axis, DataPlan, Decision, Metrics, RoundResult, TaskKind, TaskSpec, Verdict
 
 LOOKALIKE_SHARE = 0.3
 BATCH, LEAST_BATCH = 12, 5
@@ -129,9 +129,10 @@ def request_prompt(
         return f"\n\n{title}:\n" + "\n".join(f"- {line}" for line in lines) if lines else ""
 
     wanted = "\n".join(cell_line(i + 1, c, spec.kind) for i, c in enumerate(cells))
-    style = f"\n\nStyle: {plan.style_notes}" if plan.style_notes else ""
+    told = {"Style": plan.style_notes, "What research found": plan.research_notes}
+    notes = "".join(f"\n\n{title}: {text}" for title, text in told.items() if text)
     return (
-        f"Write {len(cells)} texts, one for each line:\n{wanted}{style}"
+        f"Write {len(cells)} texts, one for each line:\n{wanted}{notes}"
         + block("Hard cases to cover", hard) + block("Focus", focus) + block("Unlike these", avoid) + block("In the vein of", seeds)
     )
 
@@ -144,11 +145,32 @@ def texts_prompt(texts: Sequence[str]) -> str:
     return "\n".join(f"[{i}] {t}" for i, t in enumerate(texts))
 
 
+def score_line(metrics: Metrics) -> str:
+    """Scores as one line: the two totals, then precision, recall and F1 of each label with its support."""
+    each = [f"{s.label} {s.precision:.3f}/{s.recall:.3f}/{s.f1:.3f} of {s.support}" for s in metrics.per_label]
+    lost = f"; {metrics.unreachable_spans} spans out of reach" if metrics.unreachable_spans else ""
+    return f"{metrics.primary:.4f}, accuracy {metrics.accuracy:.4f} of {metrics.n_test}{lost}; " + ", ".join(each)
+
+
+def round_lines(result: RoundResult) -> str:
+    """What a round was trained with, its test and validation scores, and what was decided after it."""
+    begun = "" if result.warm_from is None else f", from the model of round {result.warm_from}"
+    lines = [f"round {result.round}{begun}: {result.config}", f"  test: {score_line(result.metrics)}"]
+    if result.valid_metrics is not None:
+        lines.append(f"  validation: {score_line(result.valid_metrics)}")
+    if result.verdict is not None:
+        patch = {k: v for k, v in asdict(result.verdict.hparams).items() if v is not None}
+        lines.append(f"  decided: {result.verdict.decision.value}, {result.verdict.reason}")
+        lines += [f"  focus: {', '.join(result.verdict.focus)}"] * bool(result.verdict.focus)
+        lines += [f"  changed: {json.dumps(patch)}"] * bool(patch)
+    return "\n".join(lines)
+
+
 def judge_prompt(
     spec: TaskSpec, plan: DataPlan, history: Sequence[RoundResult], counts: dict[str, dict[str, int]],
     wrong: Sequence[tuple[str, str, str]], target: float, warm_start: bool,
 ) -> str:
-    rounds = "\n".join(f"round {r.round}: test {r.metrics.primary:.4f}, accuracy {r.metrics.accuracy:.4f}, {r.config}" for r in history)
+    rounds = "\n".join(map(round_lines, history))
     errors = "\n".join(f"- {t[:300]!r}: gold {g}, predicted {p}" for t, g, p in wrong)
     return (
         f"{task_text(spec)}\n\nWeights: {plan.label_weights}\nTarget: {target}\nExamples: {json.dumps(counts)}\n"
