@@ -374,3 +374,23 @@ def test_located_equals_the_loop(spark, text, quotes):
     found = frame.select(spans.located(F.col("text"), F.col("quoted")).alias("s")).first()["s"]
     expected = spans.locate(text, pairs)
     assert (None if found is None else [tuple(s) for s in found]) == expected
+
+
+def test_drawn_without_replacement(spark):
+    """Every request gets k distinct rows that it may get, or all there are; all rows come up about as often."""
+    from textloom.operators import draws
+
+    requests = spark.range(400).withColumnRenamed("id", "request")
+    pool = spark.range(10, 30).withColumnRenamed("id", "n")
+    banned = requests.selectExpr("request", "10 + request % 20 AS n").unionByName(requests.selectExpr("request", "request AS n"))
+    got = {}
+    for r in draws.drawn(requests, "request", pool, "n", 5, 7, banned).collect():
+        got.setdefault(r["request"], []).append(r["n"])
+    assert len(got) == 400 and all(len(set(v)) == len(v) == 5 for v in got.values())
+    assert all(10 + q % 20 not in v and q not in v for q, v in got.items())
+    times = {n: sum(n in v for v in got.values()) for n in range(10, 30)}
+    assert all(65 < c < 140 for c in times.values())
+    for k, few in ((3, 2), (3, 0), (1, 1)):
+        found = draws.drawn(requests.limit(4), "request", pool.filter(f"n < {10 + few}"), "n", k, 7)
+        assert found.count() == found.distinct().count() == 4 * min(k, few)
+    assert draws.drawn(requests.limit(0), "request", pool, "n", 3, 7).isEmpty()

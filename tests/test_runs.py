@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +278,57 @@ def test_types_check():
         cli.merged({"name": "x", "rule": "a"}, {"name": "x", "rule": "b"}, True)
     again = TaskSpec.from_json(BINARY.to_json())
     assert again == BINARY
+
+
+def test_norm_index(spark, tmp_path):
+    """Segments merge, inserts need neither stored texts nor buckets without a hit, and a digest decides."""
+    import shutil
+
+    from textloom.sources import norms
+
+    path = str(tmp_path / "s")
+    schema = f"seq long, text string, labels array<string>, spans {SPANS}, split string"
+    drafts = lambda texts: spark.createDataFrame([(i, t, ["x"], [], "train") for i, t in enumerate(texts)], schema)
+    kept, sizes, stored = store.ExampleStore(spark, path), [], set()
+    for texts in (["a", "A ", "b"], [f"t {i}" for i in range(40)], ["t 3", "c", None, None], ["b", "d"], [f"u {i}" for i in range(3)]):
+        fresh = {t.strip().lower() for t in texts if t is not None} - stored
+        assert kept.add(drafts(texts), 0, "me") == len(fresh) + texts.count(None)
+        stored |= fresh
+        sizes.append([s["rows"] for s in kept.segments()])
+    assert sizes == [[2], [42], [42, 3], [42, 3, 1], [42, 7]]
+    for folder in (tmp_path / "s").glob("batch=*"):
+        shutil.rmtree(folder)
+    assert kept.add(drafts(["T 39", "U 2", "a"]), 1, "me") == 0
+
+    index = norms.NormIndex(spark, str(tmp_path / "n"))
+    rows = spark.range(2000).selectExpr("id AS seq", "concat('x ', id) AS norm")
+    many, most = norms.BUCKET_ROWS, 2000
+    try:
+        norms.BUCKET_ROWS = 100
+        segments = index.extended([], rows, most)
+    finally:
+        norms.BUCKET_ROWS = many
+    assert segments[0]["buckets"] == 20
+    probe = rows.filter("seq = 7").unionByName(spark.range(2000, 2400).selectExpr("id AS seq", "concat('x ', id) AS norm"))
+    assert {r["seq"] for r in index.insertable(probe, segments).collect()} == set(range(2000, 2400))
+    own = norms._placed(rows.filter("seq = 7").select(norms.digest().alias("digest")), segments[0]).first()["bucket"]
+    for folder in (tmp_path / "n" / segments[0]["name"] / "digests").glob("bucket=*"):
+        if folder.name != f"bucket={own}":
+            shutil.rmtree(folder)
+    assert index.insertable(rows.filter("seq = 7"), segments).isEmpty()
+    assert index.insertable(rows.filter("seq < 0"), segments).isEmpty()
+
+
+def test_first_texts(spark, tmp_path):
+    """State outlives a restart, the least of equal texts wins whenever it comes, rows behind the watermark are dropped."""
+    at = lambda hour: datetime(2024, 1, 1 + hour // 24, hour % 24)
+    arrivals = [[(5, "A a", at(1)), (6, "b", at(2)), (9, None, at(1))], [(3, "a  A", at(3)), (8, "B", at(50)), (10, None, at(50))], [(1, "a a", at(4)), (7, "b", at(51)), (2, "c", at(52))]]
+    state, out, folder = (str(tmp_path / n) for n in ("state", "out", "in"))
+    for rows in arrivals:  # each query starts anew from what the last one left
+        spark.createDataFrame(rows, "n long, text string, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+        texts = predict.spark_stream(spark, folder, "n long, text string, ts timestamp")
+        predict.dedup_stream(predict.first_texts(texts, "n", delay="10 hours", span="24 hours"), out, state).awaitTermination()
+    found = predict.streamed_firsts(spark, out).collect()
+    # 1 comes 40 hours after its window closed; the window of 50 hours has its own b
+    assert sorted(r["n"] for r in found) == [2, 3, 6, 7, 9, 10]
+    assert predict.streamed_firsts(spark, out).count() == predict.streamed_firsts(spark, out).select("n").distinct().count()

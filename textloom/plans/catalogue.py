@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import describe, normalized_latin, signature
-from textloom.operators import dedup, labelers, metrics, pools, prepare, quotas, sampling, scan, segment, spans, verify
+from textloom.operators import dedup, draws, labelers, metrics, pools, prepare, quotas, sampling, scan, segment, spans, verify
 from textloom.plans import generation, model
 from textloom.session import ensure_checkpoint_dir
 from textloom.sources.store import ExampleStore, label_counts
+from textloom.streaming import predict
 from textloom.types import NONE_KEY, Axis, DataPlan, LabelDef, Pool, Split, TaskKind, TaskSpec, TrainConfig
 
 MAX_CHARS = 300
@@ -67,6 +68,20 @@ def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.insertable(new, stored, "doc_id").select("doc_id", "source")
 
 
+def store_norm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``store_insert``, found by the index of a store that two inserts filled instead of by its texts."""
+    ensure_checkpoint_dir(spark)
+    store = ExampleStore(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+    docs = dedup.with_norm(_docs(spark, sf_dir), norm=normalized_latin(F.col("text")))
+    first = docs.filter("source = 'src0'").select(
+        F.col("doc_id").alias("seq"), "text", "norm", F.array("lang").alias("labels"), labelers.no_spans().alias("spans"), F.lit(Split.TRAIN.value).alias("split")
+    )
+    for half in (0, 1):
+        store.add(first.filter(F.col("seq") % 2 == half), half, "documents")
+    new = docs.filter("source <> 'src0'").select("doc_id", "source", "norm").checkpoint()
+    return store.index.insertable(new, store.segments(), "doc_id").select("doc_id", "source")
+
+
 def store_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two writers at once, whose texts overlap, fill a store: every norm once, under ids of its own."""
     ensure_checkpoint_dir(spark)
@@ -81,6 +96,20 @@ def store_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_norm.groupBy(F.md5("norm").alias("norm_md5")).agg(F.count(F.lit(1)).alias("rows"), F.max("ids").alias("rows_of_id"))
 
 
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``dedup_first_wins`` by a stream of files: the documents arrive in two parts, each to a query that
+    starts from the other's checkpoint."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text", F.timestamp_seconds(F.pmod("doc_id", F.lit(86400))).alias("ts"))
+    for part in (1, 0):
+        docs.filter(F.pmod("doc_id", F.lit(2)) == part).write.mode("append").parquet(f"{base}/in")
+        arrived = predict.spark_stream(spark, f"{base}/in", "doc_id long, lang string, text string, ts timestamp")
+        firsts = predict.first_texts(arrived, "doc_id", "lang", norm=normalized_latin(F.col("text")))
+        predict.dedup_stream(firsts, f"{base}/out", f"{base}/state").awaitTermination()
+    return predict.streamed_firsts(spark, f"{base}/out").select("doc_id", "lang")
+
+
 def held_out_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = normalized_latin(F.col("text"))
     held = dedup.with_norm(_table(spark, sf_dir, "benchmark"), norm=norm)
@@ -208,6 +237,15 @@ def sample_stall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.rows.select("doc_id", "position", "bucket").withColumns(told)
 
 
+def request_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents for each turn of a user, drawn without replacement from all but the one with the talk's number."""
+    ensure_checkpoint_dir(spark)
+    request = F.concat_ws("/", "conv_id", "turn").alias("request")
+    turns = _table(spark, sf_dir, "conversations").filter("role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL")
+    own = turns.select(request, F.col("conv_id").alias("doc_id")).distinct()
+    return draws.drawn(own, "request", _docs(spark, sf_dir), "doc_id", 3, SEED, own)
+
+
 def cell_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"))
     return generation.sampled_cells(keys, "key", PLAN, SEED)
@@ -459,10 +497,10 @@ def span_tagger_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [
-    flagship, normalize_text, dedup_first_wins, store_insert, store_two_writers, held_out_isolation, clean_seeds, prepare_paragraphs, source_stats,
+    flagship, normalize_text, dedup_first_wins, stream_dedup, store_insert, store_norm_index, store_two_writers, held_out_isolation, clean_seeds, prepare_paragraphs, source_stats,
     split_sentences, split_passages, pool_assignment, pool_assignment_blake, fixed_hash_shuffle, chunk_requests,
     train_valid_split, normalized_weights, label_quotas, corpus_weights, rule_labels, sample_quota, sample_fill_report,
-    sample_stats, sample_stall, cell_sampling, consult_labeler, labeler_agreement, verify_filter, verification_gate, signatures,
+    sample_stats, sample_stall, request_samples, cell_sampling, consult_labeler, labeler_agreement, verify_filter, verification_gate, signatures,
     describe_examples, class_items, span_items, locate_quotes, digit_spans, bio_encode, bio_decode, encode_labels, unreachable_spans,
     multiclass_metrics, multiclass_summary, multilabel_metrics, span_metrics, error_listing, error_sample, best_round,
     decision_rules, store_label_counts, train_predict_language,

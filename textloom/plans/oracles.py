@@ -222,3 +222,29 @@ SQL: dict[str, str] = {
         WHEN quality = 1 AND toxic = 1 THEN ['quality', 'toxic'] WHEN quality = 1 THEN ['quality'] WHEN toxic = 1 THEN ['toxic'] ELSE ['__none__'] END AS ls
         FROM labels JOIN documents USING (doc_id)) SELECT split, u.l AS label, count(*) AS count FROM r, unnest(ls) AS u(l) GROUP BY 1, 2""",
 }
+
+SQL["store_norm_index"] = SQL["store_insert"]
+SQL["stream_dedup"] = SQL["dedup_first_wins"]
+
+
+def _draws(turns: int) -> str:
+    """``s<turns>`` with the places ``t<turns>`` that each request of ``s0`` draws."""
+    steps = []
+    for i in range(turns):
+        j = f"(n - {turns} + {i})"
+        drawn = f"concat('0x', substr(sha256(key || '/' || {j}), 1, 13))::BIGINT % ({j} + 1)"
+        steps.append(f"s{i + 1} AS (SELECT *, list_append(t{i}, CASE WHEN list_contains(t{i}, {drawn}) THEN {j} ELSE {drawn} END) AS t{i + 1} FROM s{i})")
+    return ", ".join(steps)
+
+
+SQL["request_samples"] = f"""
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents WHERE doc_id IS NOT NULL),
+s0 AS (
+  SELECT DISTINCT conv_id, conv_id || '/' || turn AS request, '42/' || conv_id || '/' || turn AS key, (SELECT count(*) FROM p) AS n, []::BIGINT[] AS t0
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), {_draws(4)}, each AS (SELECT conv_id, request, key, u.place FROM s4, unnest(t4) AS u(place)), ranked AS (
+  SELECT request, doc_id, row_number() OVER (PARTITION BY request ORDER BY sha256('kept/' || key || '/' || doc_id), doc_id) AS rank
+  FROM each JOIN p USING (place) WHERE doc_id <> conv_id
+)
+SELECT request, doc_id FROM ranked WHERE rank <= 3
+"""

@@ -1,6 +1,7 @@
 """The example store: Parquet batches partitioned by split and round, unique by normalized text, and a log of commits.
 
-``_commits`` holds a numbered manifest for each version: the batch that it adds and the next free id. A manifest is
+``_commits`` holds a numbered manifest for each version: the batch that it adds, the next free id and the segments of the
+index of norms (``norms``) as of that version, by which an insert finds stored texts without reading them. A manifest is
 written beside and then takes its number in one step that fails where the number is taken (a rename of the file
 system; a link on local disks), so versions have one writer each, and a batch is seen whole or not at all. A writer that
 finds its number taken drops what the new versions already hold, takes new ids and tries the next number. Readers read
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.operators.dedup import insertable, not_seen, with_norm
+from textloom.operators.dedup import not_seen, with_norm
 from textloom.operators.verify import agreement
 from textloom.session import ensure_checkpoint_dir
+from textloom.sources.norms import NormIndex
 from textloom.types import LABELS, NONE_KEY, SPANS, Split
 
 SCHEMA = T.StructType(
@@ -70,6 +72,7 @@ class ExampleStore:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        self.index = NormIndex(spark, f"{path}/_norms")
 
     def _file(self, *names: str):
         """A Hadoop path in the store and its file system."""
@@ -92,6 +95,10 @@ class ExampleStore:
         lines = self.spark.read.text(paths, wholetext=True).collect()  # a line for each commit
         return sorted((json.loads(r["value"]) for r in lines), key=lambda m: m["version"])
 
+    def _last(self, version: int) -> dict:
+        """The manifest of a version; version 0 has the first id and no segments."""
+        return self.manifests(version, version - 1)[0] if version else {"next_id": 0, "segments": []}
+
     def _batches(self, manifests: list[dict]) -> DataFrame:
         folders = [f"{self.path}/batch={m['batch']}" for m in manifests if m["rows"]]
         if not folders:
@@ -102,6 +109,10 @@ class ExampleStore:
         """All stored rows as of a version (the last one); columns that older files lack are null."""
         return self._batches(self.manifests(self.version() if version is None else version))
 
+    def segments(self) -> list[dict]:
+        """The index's segments as of the last version."""
+        return self._last(self.version())["segments"]
+
     def _publish(self, manifest: dict) -> bool:
         """Give a manifest its number; false if another writer has it."""
         made, system = self._file("_commits", f"_{uuid.uuid4().hex}")
@@ -142,12 +153,12 @@ class ExampleStore:
         columns = {c: F.lit(None).cast(SCHEMA[c].dataType) for c in ("outcome", "written_labels", "written_spans")}
         columns = {c: e for c, e in columns.items() if c not in given.columns}
         columns |= {"source": F.lit(source), "created_at": F.lit(datetime.now(UTC)), "round": F.lit(round_)}
-        known = self.version()
-        batch = insertable(given, self.rows(known)).withColumns(columns)
         ensure_checkpoint_dir(self.spark)
+        given, known = given.checkpoint(), self.version()
+        batch = self.index.insertable(given, self._last(known)["segments"]).withColumns(columns)
         for _ in range(TRIES):
-            manifests = self.manifests(known)
-            base = manifests[-1]["next_id"] if manifests else 0
+            last = self._last(known)
+            base = last["next_id"]
             name = uuid.uuid4().hex
             folder = f"{self.path}/batch={name}"
             placed = batch.withColumn("id", F.col("seq") + base)
@@ -157,13 +168,16 @@ class ExampleStore:
             if not told["n"]:
                 self._drop(folder)
                 return 0
-            if self._publish({"version": known + 1, "batch": name, "rows": told["n"], "next_id": told["last"] + 1}):
+            segments = self.index.extended(last["segments"], written, told["n"])
+            manifest = {"version": known + 1, "batch": name, "rows": told["n"], "next_id": told["last"] + 1}
+            if self._publish(manifest | {"segments": segments}):
                 return told["n"]
             # what the other writers added since counts as stored; ids move behind theirs
             now = self.version()
             fresh = not_seen(written, self._batches(self.manifests(now, known))).withColumn("seq", F.col("id") - base)
             batch, known = fresh.checkpoint(), now
             self._drop(folder)
+            self._drop(f"{self.path}/_norms/{segments[-1]['name']}")
         raise StoreConflict(f"{self.path}: {TRIES} versions were taken by other writers")
 
     def _any(self, folder: str) -> bool:

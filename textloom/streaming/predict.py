@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textloom.operators.dedup import with_norm
+from textloom.operators.dedup import digest, with_norm
 from textloom.plans import model as models
 from textloom.types import TaskSpec
 
@@ -35,6 +35,40 @@ def predict_stream(
     return stream.trigger(availableNow=True).start()
 
 
-def first_texts(texts: DataFrame, delay: str = "1 day", time: str = "ts") -> DataFrame:
-    """A stream of ``ts, text`` with one row for each normalized text within the watermark; an extension."""
-    return with_norm(texts).withWatermark(time, delay).dropDuplicatesWithinWatermark(["norm"])
+def spark_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of Parquet files that arrive in a folder."""
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def first_texts(
+    texts: DataFrame, order: str, *carried: str, time: str = "ts", delay: str = "1 day", span: str = "7 days", norm: Column | None = None
+) -> DataFrame:
+    """The row that is first in ``order`` of equal normalized texts of a stream, in each window of ``span``.
+
+    State is one row for each window and text: a digest, the order and what is carried, never the text; where it outgrows
+    memory, name the RocksDB provider in ``spark.sql.streaming.stateStore.providerClass``. A group is given again when
+    an earlier row arrives. A window ends, and its state goes, once the watermark (the latest time less ``delay``) is
+    past it; rows of ended windows are dropped. Null texts equal no other; rows without a time are no rows.
+    """
+    keyed = with_norm(texts, norm=norm).withWatermark(time, delay)
+    key = F.coalesce(digest(), F.unhex(F.md5(F.concat(F.lit("null "), F.col(order).cast("string")))))
+    groups = keyed.groupBy(F.window(time, span), key.alias("digest"))
+    first = groups.agg(F.min(F.struct(order, *carried)).alias("first"))
+    return first.select(F.col("window.start").alias("since"), "digest", "first.*")
+
+
+def dedup_stream(firsts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write what ``first_texts`` gives, a folder for each batch; a batch that is repeated replaces its folder."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = firsts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    return stream.trigger(availableNow=True).start()
+
+
+def streamed_firsts(spark: SparkSession, out: str) -> DataFrame:
+    """What ``dedup_stream`` wrote so far, the last word of each group: its first row."""
+    told = spark.read.parquet(out).drop("batch")
+    best = told.groupBy("since", "digest").agg(F.min(F.struct(*[c for c in told.columns if c not in ("since", "digest")])).alias("first"))
+    return best.select("since", "first.*")
