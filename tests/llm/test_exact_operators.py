@@ -352,3 +352,16 @@ def test_null_and_repeated_ids_keep_their_clean_texts(spark):
     clean = decontaminate.decontaminate(docs, bench)
     assert clean.columns == docs.columns
     assert sorted(r["text"] or "" for r in clean.collect()) == sorted(["", text("b"), text("b"), f"{text('c')} more", text("e")])
+
+
+@pytest.mark.parametrize(("n", "substituted", "least"), [(10, 2, 1.0), (12, 4, 1.0), (13, 5, 0.96), (14, 5, 0.99), (15, 6, 0.97), (16, 6, 0.99)])
+def test_masks_hit_what_the_rule_accepts(n, substituted, least):
+    """Every pattern of substitutions at the rule's limit is tried; an item is found if one mask fits between them."""
+    from itertools import combinations
+
+    from textloom.llm.decontaminate import MASKS, MIN_SHARE, MIN_TOKENS
+
+    assert n - substituted == max(MIN_TOKENS, -(-n * round(MIN_SHARE * 10) // 10))
+    laid = [{s + k for k, bit in enumerate(m) if bit == "1"} for m in MASKS for s in range(n - len(m) + 1)]
+    patterns = [set(c) for c in combinations(range(n), substituted)]
+    assert sum(any(not (m & p) for m in laid) for p in patterns) >= least * len(patterns)
