@@ -361,7 +361,7 @@ def test_masks_hit_what_the_rule_accepts(n, substituted, least):
 
     from textloom.llm.decontaminate import MASKS, MIN_SHARE, MIN_TOKENS
 
-    assert n - substituted == max(MIN_TOKENS, -(-n * round(MIN_SHARE * 10) // 10))
-    laid = [{s + k for k, bit in enumerate(m) if bit == "1"} for m in MASKS for s in range(n - len(m) + 1)]
+    assert n - substituted == max(decontaminate.MIN_TOKENS, -(-n * round(decontaminate.MIN_SHARE * 10) // 10))
+    laid = [{s + k for k, bit in enumerate(m) if bit == "1"} for m in decontaminate.MASKS for s in range(n - len(m) + 1)]
     patterns = [set(c) for c in combinations(range(n), substituted)]
     assert sum(any(not (m & p) for m in laid) for p in patterns) >= least * len(patterns)
