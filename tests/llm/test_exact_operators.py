@@ -359,8 +359,6 @@ def test_masks_hit_what_the_rule_accepts(n, substituted, least):
     """Every pattern of substitutions at the rule's limit is tried; an item is found if one mask fits between them."""
     from itertools import combinations
 
-    from textloom.llm.decontaminate import MASKS, MIN_SHARE, MIN_TOKENS
-
     assert n - substituted == max(decontaminate.MIN_TOKENS, -(-n * round(decontaminate.MIN_SHARE * 10) // 10))
     laid = [{s + k for k, bit in enumerate(m) if bit == "1"} for m in decontaminate.MASKS for s in range(n - len(m) + 1)]
     patterns = [set(c) for c in combinations(range(n), substituted)]
