@@ -69,6 +69,8 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead "
     "tr ul caption".split()
 )
+PARAGRAPH = {"p"}
+NOT_PARAGRAPH = BLOCK - PARAGRAPH
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}}
 LISTS = set("ul ol menu dl table body html".split())
 CLOSES |= {"th": {"td", "th"}, "option": {"option"}}
@@ -160,12 +162,12 @@ def parse(page: str | None) -> Node:
             _close(stack, opened, tag)
             continue
         closed = token[3].rstrip().endswith("/")
-        if tag in BLOCK and opened["head"]:
+        if tag in BLOCK and opened.get("head"):
             _close_siblings(stack, opened, {"head"}, {"body"})
         if tag in CLOSES:
             _close_siblings(stack, opened, CLOSES[tag], LISTS)
         elif tag in BLOCK:
-            _close_siblings(stack, opened, {"p"}, BLOCK - {"p"})
+            _close_siblings(stack, opened, PARAGRAPH, NOT_PARAGRAPH)
         node = _element(tag, token[3])
         stack[-1].children.append(node)
         root.soft = root.soft or node.soft
@@ -222,7 +224,8 @@ def _cut_at(stack: list[Node], opened: Counter[str], depth: int, own: bool = Tru
     A menu, header or the like without one ends at its first block that is no list; it and what follows become a plain
     block.
     """
-    opened.subtract(node.tag for node in stack[depth:])
+    for node in stack[depth:]:
+        opened[node.tag] -= 1
     for node in stack[depth + own :]:
         if node.tag in OPEN_TAGS:
             cut = next((i for i, c in enumerate(node.children) if c.tag in BLOCK and c.tag not in LISTED), len(node.children))
@@ -234,7 +237,11 @@ def _cut_at(stack: list[Node], opened: Counter[str], depth: int, own: bool = Tru
 
 
 def _close(stack: list[Node], opened: Counter[str], tag: str) -> None:
-    if not opened[tag]:
+    if not opened.get(tag):
+        return
+    if stack[-1].tag == tag:
+        opened[tag] -= 1
+        stack.pop()
         return
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag == tag:
@@ -245,7 +252,10 @@ def _close(stack: list[Node], opened: Counter[str], tag: str) -> None:
 
 
 def _close_siblings(stack: list[Node], opened: Counter[str], tags: set[str], stop: set[str]) -> None:
-    if not any(opened[tag] for tag in tags):
+    for tag in tags:
+        if opened.get(tag):
+            break
+    else:
         return
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag in stop:
@@ -256,6 +266,17 @@ def _close_siblings(stack: list[Node], opened: Counter[str], tags: set[str], sto
 
 
 def _element(tag: str, attributes: str) -> Node:
+    label, chrome, named = _told(tag, attributes) if len(attributes) <= TOLD_CHARS else _told.__wrapped__(tag, attributes)
+    return Node(tag, label, chrome, tag in SOFT_TAGS, named)
+
+
+#: Start tags that a task remembers, and the most characters of their attributes.
+TOLD, TOLD_CHARS = 1 << 14, 256
+
+
+@lru_cache(TOLD)
+def _told(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """What a start tag says: its label, whether it is chrome, and what a class or id names it; pages repeat their tags."""
     label, chrome, named = "", tag in CHROME_TAGS, ""
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, value in _NAME.findall(attributes):
@@ -271,7 +292,7 @@ def _element(tag: str, attributes: str) -> Node:
                     words = set(re.split(r"[^a-z]+", value))
                     if words & CHROME_WORDS:
                         named = "comments" if named == "comments" or words & COMMENT_WORDS else "chrome"
-    return Node(tag, label, chrome, tag in SOFT_TAGS, named)
+    return label, chrome, named
 
 
 def _white(text: str) -> str:
@@ -573,7 +594,10 @@ def _cut(root: Node, varies: dict[int, bool]) -> tuple[set[int], Node]:
 def extract(page: str | None, wrapper: Wrapper | None) -> str:
     """The main text of a page, by the wrapper of its template."""
     root = parse(page)
-    same = {id(node): False for node, _, _, _ in _paths(root) if node.tag == "#text"}
+    nodes = [root]
+    for node in nodes:
+        nodes.extend(node.children)
+    same = {id(node): False for node in nodes if node.tag == "#text"}
     if wrapper and wrapper.constant:
         same |= {at: id(wrapper.texts[number]) in wrapper.constant for at, number in wrapper.same(root).items()}
     constant = any(same.values())
