@@ -363,3 +363,38 @@ def test_masks_hit_what_the_rule_accepts(n, substituted, least):
     laid = [{s + k for k, bit in enumerate(m) if bit == "1"} for m in decontaminate.MASKS for s in range(n - len(m) + 1)]
     patterns = [set(c) for c in combinations(range(n), substituted)]
     assert sum(any(not (m & p) for m in laid) for p in patterns) >= least * len(patterns)
+
+
+def test_few_edges_take_few_tasks(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    context, group = spark.sparkContext, "few-edges"
+    context.setJobGroup(group, group)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = {r["node"]: r["root"] for r in graph.components(edges).collect()}
+        tracker = context.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)) and info.numCompletedTasks)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == dict.fromkeys(range(301), 0)
+    assert tasks <= 4 * 64  # the tables are made in shuffles; all rounds together add few
+
+
+@pytest.mark.parametrize("per_partition", [1, 50, 250_000])
+def test_components_of_any_partitioning(spark, monkeypatch, per_partition):
+    monkeypatch.setattr(graph, "PER_PARTITION", per_partition)
+    rng = random.Random(per_partition)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(50)]
+    root = list(range(90))
+    for _ in range(90):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    found = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: root[x] for x in nodes}
