@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from pathlib import Path
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer
@@ -16,7 +17,7 @@ from pyspark import SparkContext, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import metrics, spans
+from textloom.operators import characters, metrics, spans
 from textloom.types import LABELS, SPANS, TaskKind, TaskSpec, TrainConfig
 
 FEATURES = 1 << 16
@@ -80,20 +81,41 @@ def _regression(label: str, config: TrainConfig, name: str = "") -> LogisticRegr
 
 #: The column of token contexts tells what the tokens are, also in a stored model.
 WORDS, CHARACTERS = "context", "character_context"
+WEIGHT = "weight"
+
+
+#: Characters are counted by neighbourhood and tag; a count over its share of all of this many becomes several rows.
+LEAST_ROWS = 1_000_000
 
 
 def _tokens(context: str) -> Column:
     return spans.character_tokens(F.col("text")) if context == CHARACTERS else spans.word_tokens(F.col("text"))
 
 
-def _token_rows(rows: DataFrame, named: str) -> DataFrame:
-    """A row for each token of a text: its neighbourhood as a string, its offsets and its tag's id if spans are known.
+def _character_rows(rows: DataFrame) -> DataFrame:
+    """A row for characters with equal neighbourhoods and tags, which ``weight`` counts.
+
+    The loss and its gradient are those of a row for each character. Of weighted rows MLlib takes a variance over
+    n - sum(weight^2) / n instead of n - 1, and scales the optimizer's steps by it. With at most n / LEAST_ROWS a row
+    that is a part in LEAST_ROWS; up to LEAST_ROWS characters have a row each, as listed.
+    """
+    counted = characters.neighbourhoods(rows).persist(StorageLevel.DISK_ONLY)
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(1, -(-total // LEAST_ROWS))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))
+    each = counted.select(characters.context().alias(CHARACTERS), "tag", "n", F.explode(parts).alias("part"))
+    weight = F.least(F.lit(most).cast("long"), F.col("n") - F.col("part") * most).cast("double")
+    return each.select(CHARACTERS, "tag", weight.alias(WEIGHT))
+
+
+def _word_rows(rows: DataFrame) -> DataFrame:
+    """A row for each word of a text: its neighbourhood as a string, its offsets and its tag's id if spans are known.
 
     Neighbours come from shifted arrays of the words, so that a row holds its own token only and a text costs its length.
     """
-    reach = 2 if named == CHARACTERS else 1
-    words = F.split("text", "") if named == CHARACTERS else F.split("text", f"[{spans.WS}]+")
-    own = rows.withColumn("__tokens", _tokens(named)).withColumn("__words", F.filter(words, lambda w: w != ""))
+    reach = 1
+    words = F.split("text", f"[{spans.WS}]+")
+    own = rows.withColumn("__tokens", _tokens(WORDS)).withColumn("__words", F.filter(words, lambda w: w != ""))
     outside = F.array_repeat(F.lit(spans.OUTSIDE), F.size("__tokens"))
     tags = spans.bio_tags(F.col("spans"), F.col("__tokens")) if "spans" in rows.columns else outside
     edge = F.array_repeat(F.lit("_"), reach)
@@ -112,7 +134,7 @@ def _token_rows(rows: DataFrame, named: str) -> DataFrame:
     contexts = spans.let(padded, lambda p: spans.let(F.transform(p, shape), lambda shapes: near(p, shapes)))
     zipped = F.arrays_zip(F.col("__tokens").alias("token"), tags.alias("tag"), contexts.alias("context"))
     each = own.select("id", F.posexplode(zipped).alias("pos", "t"))
-    return each.select("id", "pos", "t.token", "t.tag", F.col("t.context").alias(named))
+    return each.select("id", "pos", "t.token", "t.tag", F.col("t.context").alias(WORDS))
 
 
 def token_context(rows: DataFrame) -> str:
@@ -140,7 +162,8 @@ def _steps(config: TrainConfig, several: bool) -> list[int]:
 def _marked(spec: TaskSpec, rows: DataFrame, context: str) -> tuple[DataFrame, list, list[str]]:
     """Rows with their targets, the stages that make features of them, and the targets' names."""
     if spec.kind is TaskKind.SPAN:
-        tagged = _token_rows(rows, context).withColumn("label", spans.class_id(spec, F.col("tag")).cast("double"))
+        tagged = _character_rows(rows) if context == CHARACTERS else _word_rows(rows).withColumn(WEIGHT, F.lit(1.0))
+        tagged = tagged.withColumn("label", spans.class_id(spec, F.col("tag")).cast("double"))
         tokens = RegexTokenizer(inputCol=context, outputCol="__words", pattern=" ", toLowercase=False)
         return tagged, [tokens, HashingTF(inputCol="__words", outputCol="features", numFeatures=FEATURES)], ["label"]
     if spec.kind is TaskKind.MULTILABEL:
@@ -156,7 +179,8 @@ def _loss(spec: TaskSpec, regressions: list[LogisticRegressionModel], featured:
         scored = fitted.transform(scored)
         chance = F.get(vector_to_array(fitted.getProbabilityCol()), F.col(target).cast("int"))
         total = total - F.log(F.greatest(F.coalesce(chance, F.lit(0.0)), F.lit(1e-15)))
-    return scored.agg(F.avg(total / len(targets)).alias("loss")).first()["loss"]
+    weight = F.when(total.isNotNull(), F.col(WEIGHT) if WEIGHT in featured.columns else F.lit(1.0))
+    return scored.agg((F.sum(total / len(targets) * weight) / F.sum(weight)).alias("loss")).first()["loss"]
 
 
 def train_epochs(
@@ -183,7 +207,7 @@ def train_epochs(
         valid = None
     hashing = stages[:2]
     inputs = PipelineModel(hashing).transform
-    kept = [*targets, stages[1].getOutputCol()]
+    kept = [*targets, stages[1].getOutputCol(), *([WEIGHT] if spec.kind is TaskKind.SPAN else [])]
     hashed = inputs(marked).select(kept).persist(StorageLevel.DISK_ONLY)
     held = inputs(_marked(spec, valid, context)[0]).select(kept).persist(StorageLevel.DISK_ONLY) if valid is not None else None
     weighing = [stage.fit(hashed) for stage in stages[2:]]
@@ -196,6 +220,8 @@ def train_epochs(
         fits = []
         for i, (target, name) in enumerate(zip(targets, names, strict=True)):
             regression = _regression(target, config, name).setMaxIter(steps)
+            if WEIGHT in kept:
+                regression.setWeightCol(WEIGHT)
             if current:
                 regression._java_obj.setInitialModel(current[i]._java_obj)
             fits.append(regression.fit(featured))
@@ -219,12 +245,31 @@ def train(
     return train_epochs(spec, rows, config, valid, start).model
 
 
+def _predicted_characters(spec: TaskSpec, fitted: LogisticRegressionModel, plain: DataFrame) -> DataFrame:
+    """``predict`` with characters as tokens: only those that are in a span, and the one after, leave the tagger."""
+    weights, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    if len(weights) == 1:  # of two classes only the second has a row
+        weights, intercepts = np.vstack([0 * weights, weights]), np.concatenate([[0.0], intercepts])
+    limit = 1e4  # a class that was never met has an infinite intercept
+    find = characters.tagger(weights, np.clip(intercepts, -limit, limit), spans.label_names(spec))
+    each = plain.withColumn("t", find(F.col("text"))).withColumn("tokens", F.col("t.token"))
+    nothing = F.array().cast(SPANS)
+    found = F.when(F.size("t") == 0, nothing).otherwise(F.coalesce(spans.decoded(F.col("text"), F.col("tokens"), F.col("t.tag")), nothing))
+    scored = each.withColumn("pred_spans", found)
+    return scored.select(
+        "id", "text", F.array().cast(LABELS).alias("pred_labels"), "pred_spans",
+        F.lit(None).cast("map<string,double>").alias("scores"), spans.span_scores(F.col("pred_spans"), F.col("tokens")).alias("span_scores"),
+    )
+
+
 def predict(spec: TaskSpec, model: PipelineModel, rows: DataFrame) -> DataFrame:
     """``id, text`` with ``pred_labels, pred_spans``, ``scores`` (map) and ``span_scores``."""
     names = spec.names
     if spec.kind is TaskKind.SPAN:
         plain = rows.select("id", "text")
-        tags = model.transform(_token_rows(plain, model.stages[0].getInputCol())).withColumn("p", vector_to_array("probability"))
+        if model.stages[0].getInputCol() == CHARACTERS:
+            return _predicted_characters(spec, model.stages[-1], plain)
+        tags = model.transform(_word_rows(plain)).withColumn("p", vector_to_array("probability"))
         tag_name = F.get(F.array(*map(F.lit, spans.label_names(spec))), F.col("prediction").cast("int"))
         item = F.struct(
             "pos", F.struct("token.start", "token.end", "token.special", F.array_max("p").alias("prob")).alias("token"), tag_name.alias("tag")
