@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
-from textloom.operators import characters, labelers, spans
+from textloom.functions import text as T
+from textloom.operators import characters, labelers, segment, spans
 from textloom.plans import model
 from textloom.types import LabelDef, TaskKind, TaskSpec, TrainConfig
 
@@ -90,3 +91,20 @@ def test_tagger_equals_the_stages(spark, monkeypatch):
             hits = [i for i, w in enumerate(near) if score[w][0] or (i and score[near[i - 1]][0])]
             assert [(x["token"]["start"], x["tag"]) for x in items] == [(i, names[score[near[i]][0]]) for i in hits]
             assert all(abs(x["token"]["prob"] - score[near[x["token"]["start"]]][1]) < 1e-9 for x in items)
+
+
+def test_lines_are_cut_as_packed(spark):
+    """A short line is a passage as it is, a long one is cut by one pattern: no fold over its sentences."""
+    r = random.Random(2)
+    lines = ["".join(r.choice(["ab", "x", ". ", ".", "! ", "?!", "。", "」", " ", "é𝟙"]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in [*lines, "a" * 95, "b" * 60 + ". c."]], "t string")
+    for n in (1, 7, 30):
+        packed = F.filter(segment.packed(segment.sentences(F.col("t")), n), lambda p: p != "")
+        cut = F.filter(segment.cut(F.col("t"), n), lambda p: p != "")
+        assert frame.filter(packed != cut).count() == 0
+    assert "aggregate(" not in str(segment.passages(F.col("t"), 30))
+
+
+def test_strip_without_a_pattern(spark):
+    row = spark.createDataFrame([(f"{T.WS_CHARS}a b{T.WS_CHARS}", T.WS_CHARS, None)], "a string, b string, c string").select(*[T.strip(F.col(c)) for c in "abc"]).first()
+    assert tuple(row) == ("a b", "", None)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: White space as Python's ``str.strip`` and ``\\s`` have it (fixed values): for Java and Python patterns.
 WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Line ends as ``str.splitlines`` has them (fixed values).
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -37,7 +38,7 @@ def normalized_latin(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """``str.strip`` by built-in functions."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -44,10 +44,20 @@ def packed(parts: Column, max_chars: int) -> Column:
     return F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
 
 
+def cut(line: Column, max_chars: int) -> Column:
+    """``packed(sentences(line))`` without its empty passages, by one pattern.
+
+    The longest part of at most ``max_chars`` that ends where a sentence does is what packing makes of whole sentences; where
+    no sentence ends so soon, ``max_chars`` are cut off. A line that is short enough is a passage as it is.
+    """
+    pattern = rf"(?s).{{1,{max_chars}}}(?:{SENTENCE_END}|\z)|.{{{max_chars}}}"
+    return F.when(F.length(line) <= max_chars, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
+
+
 def passages(text: Column, max_chars: int, min_chars: int = MIN_PASSAGE_CHARS) -> Column:
-    """All passages of a text, in order, that keep ``min_chars`` after stripping."""
-    each = F.flatten(F.transform(lines(text), lambda line: packed(sentences(line), max_chars)))
-    return F.filter(F.transform(each, strip), lambda p: F.length(p) >= min_chars)
+    """All passages of a text, in order, that keep ``min_chars`` (at least one) after stripping."""
+    each = F.flatten(F.transform(lines(text), lambda line: cut(line, max_chars)))
+    return F.filter(F.transform(each, strip), lambda p: F.length(p) >= max(1, min_chars))
 
 
 def explode_passages(docs: DataFrame, max_chars: int, text: str = "text", order: str = "doc_seq") -> DataFrame:

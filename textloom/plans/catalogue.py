@@ -43,7 +43,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated documents, their pools, their passages: counts by pool and language."""
     docs = dedup.with_norm(_docs(spark, sf_dir), norm=normalized_latin(F.col("text")))
-    unique = dedup.first_per_norm(docs, "doc_id").withColumn("pool", pools.portable_pool(F.col("text")))
+    pooled = docs.withColumn("pool", pools.portable_pool(F.col("text")))  # beside the norm, which is computed once for both
+    unique = dedup.first_per_norm(pooled, "doc_id")
     each = segment.explode_passages(unique.select("lang", "pool", "text"), MAX_CHARS)
     return each.groupBy("pool", "lang").agg(
         F.count(F.lit(1)).alias("passages"), F.sum(F.length("text")).cast("long").alias("chars")
