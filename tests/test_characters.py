@@ -9,7 +9,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import characters, labelers, segment, spans
+from textloom.operators import characters, labelers, pools, segment, spans
 from textloom.plans import model
 from textloom.types import LabelDef, TaskKind, TaskSpec, TrainConfig
 
@@ -108,3 +108,17 @@ def test_lines_are_cut_as_packed(spark):
 def test_strip_without_a_pattern(spark):
     row = spark.createDataFrame([(f"{T.WS_CHARS}a b{T.WS_CHARS}", T.WS_CHARS, None)], "a string, b string, c string").select(*[T.strip(F.col(c)) for c in "abc"]).first()
     assert tuple(row) == ("a b", "", None)
+
+
+def test_python_texts_are_held_in_slices(spark, monkeypatch):
+    """However large a batch is, few of its texts are Python strings at once."""
+    monkeypatch.setattr(T, "SLICE_BYTES", 10)
+    texts = pa.array(["Ab  c", "", None, "x" * 40, "ß", "de", "f"], pa.string())
+    runs = list(T.slices(texts))
+    assert [t for run in runs for t in run] == texts.to_pylist()
+    assert all(sum(len((t or "").encode()) for t in run) <= 10 or len(run) == 1 for run in runs) and len(runs) == 3
+    assert T.normalized.func(texts).to_pylist() == ["ab c", "", None, "x" * 40, "ss", "de", "f"]
+    frame = spark.createDataFrame([(t,) for t in ["Ab  c", "ab C", "", None]], "text string")
+    shares = [r[0] for r in frame.select(T.normalized_blake_share(F.col("text"))).collect()]
+    assert shares[:3] == [T.blake_place("ab c")] * 2 + [T.blake_place("")] and shares[3] is None
+    assert len({r[0] for r in frame.limit(2).select(pools.pool(F.col("text"))).collect()}) == 1

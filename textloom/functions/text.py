@@ -6,8 +6,12 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +28,26 @@ def normalize_text(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@F.pandas_udf(T.StringType())
-def normalized(texts: pd.Series) -> pd.Series:
+#: Bytes of text that a Python worker holds as Python strings at once, beside the Arrow batch.
+SLICE_BYTES = 1 << 20
+
+
+def slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The values of an Arrow column in runs of ``SLICE_BYTES``, a longer text alone."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        limit = (ends[begin - 1] if begin else 0) + SLICE_BYTES
+        end = max(begin + 1, int(np.searchsorted(ends, limit, "right")))
+        yield texts[begin:end].to_pylist()
+        begin = end
+
+
+@F.arrow_udf(T.StringType())
+def normalized(texts: pa.Array) -> pa.Array:
     """``normalize_text`` of a column, by Arrow batches: Spark has neither NFKC nor case folding."""
-    return texts.map(normalize_text, na_action="ignore")
+    parts = [pa.array([None if t is None else normalize_text(t) for t in own], pa.string()) for own in slices(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def normalized_latin(text: Column) -> Column:
@@ -41,14 +61,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
 
-@F.pandas_udf(T.DoubleType())
-def blake_share(texts: pd.Series) -> pd.Series:
+def blake_place(text: str) -> float:
     """A place in [0, 1) by an 8-byte blake2b hash of the text."""
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest()) / 2**64
 
-    def place(text: str) -> float:
-        return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest()) / 2**64
 
-    return texts.map(place, na_action="ignore").astype("float64")
+@F.arrow_udf(T.DoubleType())
+def normalized_blake_share(texts: pa.Array) -> pa.Array:
+    """``blake_place`` of normalized texts; no batch of them is held, only numbers."""
+    return pa.array([None if t is None else blake_place(normalize_text(t)) for own in slices(texts) for t in own], pa.float64())
 
 
 def sha_share(text: Column) -> Column:

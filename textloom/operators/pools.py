@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import blake_share, normalized, normalized_latin, sha_share
+from textloom.functions.text import normalized_blake_share, normalized_latin, sha_share
 from textloom.types import Pool, Split
 
 TEST_SHARE = 0.2
@@ -13,7 +13,7 @@ TEST_SHARE = 0.2
 
 def pool(document: Column, share: float = TEST_SHARE) -> Column:
     """Pool of a whole document by a blake2b hash of its normalized text."""
-    return F.when(blake_share(normalized(document)) < share, Pool.TEST.value).otherwise(Pool.TRAIN.value)
+    return F.when(normalized_blake_share(document) < share, Pool.TEST.value).otherwise(Pool.TRAIN.value)
 
 
 def portable_pool(document: Column, share: float = TEST_SHARE) -> Column:
